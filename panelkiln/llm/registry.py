@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from panelkiln.llm import near_dedup
-
-_SHINGLES = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
-  FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]] ELSE list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) END AS shingles
-  FROM w
-)
-"""
-
-QUERIES = {"op8_near_dedup": near_dedup.op8_near_dedup}
-ORACLES: dict[str, str] = {}
+from panelkiln.llm import decontamination, near_dedup, oracles, substring_dedup
+
+QUERIES = {
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_near_dedup": oracles.OP8}
