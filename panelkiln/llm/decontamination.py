@@ -217,5 +217,5 @@ def judged(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that stand in windows of 13 words of benchmark items."""
-    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=4)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
