@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from panelkiln.llm import decontamination, near_dedup, oracles, substring_dedup
+from panelkiln.llm import bpe_codec, decontamination, near_dedup, oracles, substring_dedup, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_bpe": bpe_codec.op9_bpe,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_near_dedup": oracles.OP8}

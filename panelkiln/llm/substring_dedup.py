@@ -1,8 +1,9 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A sentence ends after a word with a final `.`, `!` or `?`, or at a line break. Sentences of over LONG words are cut
-further after words whose hash is a multiple of CUT, so that a passage in the middle of a run-on text is cut at the
-same places wherever it stands, and FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (96 bits over its lower-cased words);
+A sentence ends after a word with a final `.`, `!` or `?`, or at a line break; what has fewer than SHORT words since the
+last such end belongs to the sentence behind it. Sentences of over LONG words are cut further after words whose hash is
+a multiple of CUT, so that a passage in the middle of a run-on text is cut at the same places wherever it stands, and
+FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (96 bits over its lower-cased words);
 a run of fewer than LEAST_WORDS words is lengthened at its end, and another one at its start, until it has as many.
 Runs are joined globally. Of each run the first occurrence, by doc_id and place, stays; the sentences that any other
 occurrence covers are cut out, with the white space behind them. All other bytes stay as they are.
@@ -26,9 +27,10 @@ from panelkiln.llm.textops import NON_SPACE, Words, pieces, sequence_hashes, seq
 
 SPAN = 3
 LEAST_WORDS = 10
-LONG = 10
-CUT = 5
-FORCED = 12
+SHORT = 3
+LONG = 16
+CUT = 8
+FORCED = 16
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -40,8 +42,11 @@ def sentence_starts(words: Words, data: np.ndarray) -> np.ndarray:
     ends = _ENDS[data[words.ends - 1]]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     ends[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]
-    ends[words.of_doc[1:][words.of_doc[1:] > 0] - 1] = True
-    ends[-1] = True
+    last = words.of_doc[1:][words.of_doc[1:] > 0] - 1
+    ends[last] = True
+    at = np.flatnonzero(ends)
+    ends[at[np.diff(at, prepend=-1) < SHORT]] = False
+    ends[last] = True
     sentence = np.concatenate([[0], np.cumsum(ends)[:-1]])
     long = np.bincount(sentence) > LONG
     long = long[sentence]
