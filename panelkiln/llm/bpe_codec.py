@@ -227,7 +227,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), _decode_batches(path), "doc_id long, text string")
 
 
-def _digest_batches(path: str):
+def _digest_batches(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
         for batch in batches:
@@ -236,14 +236,20 @@ def _digest_batches(path: str):
                 text, (starts, ends) = codec.decode(ids, bounds)
                 id_digests = [hashlib.sha256(ids[s:e]).hexdigest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 text_digests = [hashlib.sha256(text[s:e]).hexdigest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(bounds)), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [piece.column(0), pa.array(np.diff(bounds)), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([binary_column(ids, bounds)] * with_ids)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] * with_ids)])
 
     return run
 
 
 def round_trip_digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, decoded and hashed in one pass."""
-    return map_batches(documents.select("doc_id", "text"), _digest_batches(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(documents.select("doc_id", "text"), _digest_batches(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_with_digests(documents: DataFrame, path: str) -> DataFrame:
+    """The columns of round_trip_digests, and ids."""
+    return map_batches(documents.select("doc_id", "text"), _digest_batches(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

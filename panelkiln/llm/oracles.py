@@ -43,3 +43,32 @@ reach AS (
 component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN component USING (doc_id)
 """
+
+
+def _op5() -> str:
+    from panelkiln.llm.url_filter import RULES, SOFT, SOFT_HITS, STRICT
+
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    terms = ", ".join([*(f"('{t}', 1)" for t in SOFT), *(f"('{t}', {SOFT_HITS})" for t in STRICT)])
+    return rf"""
+WITH r(verdict, host, path) AS (VALUES {rules}),
+t(term, weight) AS (VALUES {terms}),
+a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS k FROM pages),
+b AS (SELECT page_id, url, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS rest FROM a),
+c AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
+d AS (
+  SELECT c.page_id, r.host || r.path AS rule, r.verdict
+  FROM c JOIN r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.host || r.path) DESC, r.host) = 1
+),
+e AS (
+  SELECT page_id, sum(weight) AS weight
+  FROM c JOIN t ON regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')
+  GROUP BY page_id
+)
+SELECT c.page_id, c.host, c.path, d.rule, coalesce(d.verdict, CASE WHEN e.weight >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN d USING (page_id) LEFT JOIN e USING (page_id)
+"""
+
+
+OP5 = _op5()
