@@ -1,0 +1 @@
+"""Empty on purpose: the panel inventory has no stream source, watermark or stateful operator."""
