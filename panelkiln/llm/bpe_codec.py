@@ -4,7 +4,8 @@ The tokenizer file supplies vocabulary, merges and rules; encoding and decoding
 normalised (NFC, lower case) and cut into pre-tokens as the file's pattern says. Byte pairs that occur inside no
 vocabulary token mark certain cuts, since no merge can join across them: each pre-token is cut there, the distinct
 fragments of a buffer are encoded independently (by pair_merging), and the ids are concatenated. Special strings inside
-a text become their special ids.
+a text become their special ids. Letters and numbers are those of Python's Unicode tables: a code point that Unicode assigned
+later counts as a sign.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty text. Decoding joins the token strings with
 spaces, as the library does for a file without a decoder. The vocabulary lives in each task: at most MOST_TOKENS tokens.

@@ -122,7 +122,11 @@ def with_successors(documents: DataFrame, buckets: int) -> DataFrame:
     keyed = documents.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
     ids = keyed.select(F.col("key").cast("double").alias("place"))
     cuts = sorted(set(ids.approxQuantile("place", [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
-    bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="bucket_number").transform(keyed.withColumn("place", F.col("key").cast("double")))
+    placed = keyed.withColumn("place", F.col("key").cast("double"))
+    if cuts:
+        bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="bucket_number").transform(placed)
+    else:
+        bucketed = placed.withColumn("bucket_number", F.lit(0))
     bucketed = bucketed.select("doc_id", "text", "key", F.col("bucket_number").cast("int").alias("bucket"))
     firsts = sorted(bucketed.groupBy("bucket").agg(F.max("key")).collect(), reverse=True)  # a row for each bucket
     guests = [(firsts[(k + 1) % len(firsts)][1], firsts[k][0]) for k in range(len(firsts))]
