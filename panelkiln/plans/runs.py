@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from panelkiln.operators import linear, neural, trees
 from panelkiln.operators.evaluate import calibrated, information_coefficient, mae, mse, oos_r2
-from panelkiln.operators.features import assemble, spline_basis, spline_knots
+from panelkiln.operators.features import FeatureBuilder, assemble, spline_basis, spline_knots
+from panelkiln.operators.panel import first_rows
 from panelkiln.operators.portfolio import assign_deciles, long_short, sharpe, value_weighted
+from panelkiln.operators.splits import TimeSplit, apply_split
+from panelkiln.sources.schema import roles
 
 OLS3 = ("mvel1", "bm", "mom12m")
 
@@ -121,3 +124,24 @@ def evaluate_on_test(predictions: DataFrame, target: str, weight: str = "market_
     deciles = portfolios.groupBy(*by, "bucket").agg(F.avg("portfolio_return").alias("mean_return"), sharpe(F.col("portfolio_return")).alias("sharpe"))
     spread = long_short(portfolios, by=(*by, "month")).groupBy(*by).agg(F.avg("long_short").alias("mean_spread"), sharpe(F.col("long_short")).alias("sharpe"))
     return {"metrics": metrics, "deciles": deciles, "spread": spread}
+
+
+def run_custom(function: Callable, panel: DataFrame, features: list[str], target: str, config: dict | None = None, seed: int = 1, keys: tuple[str, ...] = ("month", "permno")) -> tuple[DataFrame, DataFrame]:
+    """A user's own `function(train, validation, test, target, features, config, seed)` on the three parts of a split panel.
+
+    It returns predictions with the keys, the target and a forecast, and any metrics. The keys are checked.
+    """
+    parts = (panel.where(F.col("split") == p) for p in ("train", "validation", "test"))
+    predictions, metrics = function(*parts, target, features, config or {}, seed)
+    if missing := sorted({*keys, target, "forecast"} - set(predictions.columns)):
+        raise ValueError(f"predictions lack {', '.join(missing)}")
+    return predictions, metrics
+
+
+def prepare_model_data(panel: DataFrame, split: TimeSplit, manifest: dict[str, list[str]] | None = None, sample_rows: int | None = None, interactions: bool = True, industry: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, FeatureBuilder]:
+    """train, validation and test rows of a panel and the builder of their feature vectors."""
+    rows = apply_split(panel if sample_rows is None else first_rows(panel, sample_rows), split)
+    own = manifest or roles(panel)
+    builder = FeatureBuilder(own["characteristics"], own["macros"], own["dummies"], interactions, industry)
+    train, validation, test = (rows.where(F.col("split") == p) for p in ("train", "validation", "test"))
+    return train, validation, test, builder

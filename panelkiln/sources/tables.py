@@ -71,6 +71,11 @@ def write_manifest(panel: DataFrame, path: str, schema: PanelSchema = PanelSchem
     row.write.mode("overwrite").json(path)
 
 
+def write_interactions(block: DataFrame, path: str, keys: tuple[str, ...] = ("permno", "month"), vector: str = "interactions") -> None:
+    """Keys and a sparse vector column as Parquet; its feature names stay in the column's metadata."""
+    block.select(*keys, vector).write.mode("overwrite").parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str, panel: DataFrame) -> dict[str, list[str]]:
     """The roles of a stored manifest, cut to the columns that the panel has."""
     row = json.loads(spark.read.json(path).toJSON().first())

@@ -253,6 +253,21 @@ def test_runs_and_test_rows_stay_out_of_training(sample):
     assert ensemble.count() == 450 and ensemble.head().n_runs == 2
 
 
+def test_custom_models_and_prepared_data(spark, sample, tmp_path):
+    df = sample[0]
+    own = lambda train, validation, test, target, features, config, seed: (test.withColumn("forecast", F.lit(config["value"])), train.agg(F.count("*").alias("n")))
+    predictions, metrics = runs.run_custom(own, df, FEATURES, "y", {"value": 0.5})
+    assert predictions.count() == 225 and metrics.head().n == 450
+    with pytest.raises(ValueError, match="forecast"):
+        runs.run_custom(lambda train, validation, test, *rest: (test, None), df, FEATURES, "y")
+    split = make_split(train_start="2000-01-01", train_end="2000-01-31", validation_start="2000-02-01", validation_end="2000-02-29", test_start="2000-03-01", test_end="2000-12-31")
+    train, validation, test, builder = runs.prepare_model_data(df, split, {"characteristics": FEATURES, "macros": [], "dummies": []})
+    assert (train.count(), validation.count(), test.count(), builder.n_features) == (225, 225, 450, 4)
+    block = X.interaction_vector(df.withColumn("sic2", F.col("permno") % 3), FEATURES)
+    tables.write_interactions(block, f"{tmp_path}/block")
+    assert spark.read.parquet(f"{tmp_path}/block").head().interactions.size == 12
+
+
 def test_importance_of_linear_terms(sample):
     df = sample[0]
     model = linear.ols(linear.gram(df.where("split = 'train'"), FEATURES, "y"))
