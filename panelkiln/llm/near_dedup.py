@@ -5,11 +5,14 @@ smallest hash of the set as a register of 16 bits: its leading-zero count (6 bit
 one. Documents that agree in all registers of a band share a bucket. Only links between different sets are searched:
 equal sets are grouped by their digest first and count as linked.
 
-Within a bucket, pairs are tried against pivots first (the smallest id, the largest, the least by hash), which is linear
-in the bucket. Members that are then still in different components are tried pair by pair, so that no link that the
-bands show is lost, while groups of copies cost no pairs. Candidates whose Jaccard estimate, corrected for register
-collisions, lies six standard errors below the threshold are dropped; the others are compared on their full sets. At
-0.8 a pair misses all bands with a probability below 1e-8.
+Each member of a bucket is first compared with the bucket's hub, the member that shares buckets with most others; that is
+linear in the bucket. What then still lies in different components is searched completely: in buckets of at most SMALL
+members pair by pair, in others through differences from the hub. Let D be the shingles that only one of a set and the hub
+has. If c is not linked to the hub, a link between c and x needs so many common elements of their D (the bound follows
+from the two sizes and distances to the hub) that they share one among the first few elements of each, so a join
+on the hub and those elements finds all such pairs, without listing the pairs of a group. Candidates whose Jaccard
+estimate, corrected for register collisions, lies six standard errors below the threshold are dropped; the others are
+compared on their full sets. At 0.8 a pair misses all bands with a probability below 1e-8.
 
 Null and empty texts have empty sets and are linked with nothing. Rows without doc_id are returned as they are: kept,
 component null. Rows that repeat a doc_id are one document with the links of any of them. Other columns are ignored.
@@ -31,9 +34,11 @@ from panelkiln.llm.textops import NON_SPACE, Words, binary_column, mix, pieces,
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
+SMALL = 8
 _FACTORS = mix(np.arange(REGISTERS, dtype=np.uint64), 11) | np.uint64(1)
 _BAND_FACTORS = mix(np.arange(ROWS, dtype=np.uint64), 12) | np.uint64(1)
 _BAND_SEEDS = mix(np.arange(BANDS, dtype=np.uint64), 13)
+_ONLY_HUB = np.uint64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +150,47 @@ def _verify_batches(width: int, percent: int):
     return run
 
 
+def _difference_batches(width: int, percent: int):
+    """Rows hub, element, doc, n, label, open, any, rest, w, slack of each (hub a, document b): leading elements of their difference.
+
+    open: the document is not linked to the hub, and the element is among those that a partner of any kind must share;
+    any: it is among those that a partner which is not linked to the hub must share. With a elements only in the hub of n
+    elements and e only in the document, and w = 100 a + percent e, two sets are linked only if they share
+    (w + w' - (100 - percent) n) / (100 + percent) elements of their differences. The order puts a document's own first.
+    rest counts the elements from this one on: the first element that a linked pair shares leaves enough on both sides.
+    slack is (100 - percent) n.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for outer in pieces(batch, "text_a"):
+                for piece in pieces(outer, "text_b"):
+                    (h, x), (g, y) = (shingle_sets(*utf8(piece.column(i)), width) for i in (2, 3))
+                    elements, rows, opens, anys, rests, ws, slacks = [], [], [], [], [], [], []
+                    for i in range(piece.num_rows):
+                        hub, own = h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]
+                        extra, missing = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+                        w, slack = 100 * len(missing) + percent * len(extra), (100 - percent) * len(hub)
+                        both = np.concatenate([extra, missing ^ _ONLY_HUB])
+                        n_any = max(0, len(both) - (w // (100 + percent) + 1) + 1)
+                        n_open = max(0, len(both) - max(1, -((slack - w) // (100 + percent))) + 1) if w > slack else 0
+                        n = max(n_any, n_open)
+                        elements.append(both[:n])
+                        rows.append(np.full(n, i))
+                        opens.append(np.arange(n) < n_open)
+                        anys.append(np.arange(n) < n_any)
+                        rests.append(len(both) - np.arange(n))
+                        ws.append(np.full(n, w))
+                        slacks.append(np.full(n, slack))
+                    at = pa.array(np.concatenate(rows).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column(0).take(at), pa.array(np.concatenate(elements).view(np.int64)), *(piece.column(k).take(at) for k in (1, 4, 5)), pa.array(np.concatenate(opens)), pa.array(np.concatenate(anys)), *(pa.array(np.concatenate(v).astype(np.int64)) for v in (rests, ws, slacks))],
+                        ["hub", "element", "doc", "n", "label", "open", "any", "rest", "w", "slack"],
+                    )
+
+    return run
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, low, high (a 128-bit digest of the set) and sketch (empty for an empty set) of each text."""
     return map_batches(documents.select("doc_id", "text"), _sketch_batches(width), "doc_id long, n_shingles long, low long, high long, sketch binary")
@@ -154,16 +200,19 @@ def _size_ok(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b and more) with text_a and text_b."""
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: sizes, then the estimate, then the full sets."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     near = pairs.distinct().join(a, "a").join(b, "b").where(_size_ok(percent)).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     near = cut(map_batches(near, _estimate_batches(percent / 100), "a long, b long").distinct())
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
-    with_b = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return cut(map_batches(with_both, _verify_batches(width, percent), "a long, b long").distinct())
+    with_texts = _with_texts(near, texts).select("a", "b", "text_a", "text_b")
+    return cut(map_batches(with_texts, _verify_batches(width, percent), "a long, b long").distinct())
 
 
 def _labels(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,26 +232,32 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets = cut(found.where("n_shingles > 0").join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
 
     buckets = map_batches(sets.select("doc_id", "sketch"), _band_batches, "key long, doc long")
-    by_hash = F.xxhash64("doc")
-    pivots = buckets.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(by_hash).alias("least")).where("lo < hi")
-    members = cut(buckets.join(pivots, "key").select("key", "doc", "lo", "hi", (by_hash == F.col("least")).alias("is_pivot")).distinct())
-
-    to_pivots = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b")
-    edges = _verified(to_pivots, sets, documents, width, percent)
-    for pivot in (True, False):
-        labelled = cut(members.join(_labels(edges, sets), "doc"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        left = cut(labelled.join(open_keys, "key", "left_semi"))
-        one = left.where("is_pivot") if pivot else left.where("doc <> lo AND doc <> hi AND NOT is_pivot")
-        other = left if pivot else one
-        one, other = (x.select("key", F.col("doc").alias(i), F.col("n").alias(f"n_{i}"), F.col("label").alias(f"label_{i}")) for i, x in (("a", one), ("b", other)))
-        pairs = one.join(other, "key").where(F.col("label_a") != F.col("label_b")).where(_size_ok(percent))
-        if not pivot:
-            pairs = pairs.where("a < b")
-        edges = cut(edges.union(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, documents, width, percent)).distinct())
-
-    label = _labels(edges, sets).select(F.col("doc").alias("rep"), F.col("label"))
-    of_doc = found.join(groups, ["n_shingles", "low", "high"], "left").join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(buckets.join(sizes, "key").select("key", "doc", "size"))
+    scores = members.groupBy("doc").agg(F.sum("size").alias("score"))
+    members = cut(members.join(scores, "doc"))
+    hubs = members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub"))
+    members = cut(members.join(hubs, "key").select("key", "doc", "size", "hub"))
+    # Only documents that share a bucket are ever compared; their texts are dealt once.
+    texts = cut(documents.select("doc_id", "text").join(scores.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+    to_hubs = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    edges = _verified(to_hubs, sets, texts, width, percent)
+
+    labelled = cut(members.join(_labels(edges, sets), "doc"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    left = cut(labelled.join(mixed, "key", "left_semi"))
+    a, b = (left.where(F.col("size") <= SMALL).select("key", F.col("doc").alias(i), F.col("n").alias(f"n_{i}"), F.col("label").alias(f"label_{i}")) for i in "ab")
+    apart = (F.col("label_a") != F.col("label_b")) & _size_ok(percent)
+    pairs = a.join(b, "key").where(apart & (F.col("a") < F.col("b"))).select("a", "b")
+    of_hubs = left.where((F.col("size") > SMALL) & (F.col("doc") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"), "n", "label").distinct()
+    differences = cut(map_batches(_with_texts(of_hubs, texts).select("a", "b", "text_a", "text_b", "n", "label"), _difference_batches(width, percent), "hub long, element long, doc long, n long, label long, open boolean, any boolean, rest long, w long, slack long"))
+    a, b = (differences.where(side).select("hub", "element", F.col("doc").alias(i), *(F.col(c).alias(f"{c}_{i}") for c in ("n", "label", "rest", "w", "slack"))) for i, side in (("a", "open"), ("b", "any")))
+    enough = F.least("rest_a", "rest_b") * (100 + percent) >= F.col("w_a") + F.col("w_b") - F.col("slack_a")
+    more = a.join(b, ["hub", "element"]).where(apart & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = cut(edges.union(_verified(pairs.union(more.distinct()), sets, texts, width, percent)))
+
+    label = _labels(edges, sets).select(F.col("doc").alias("rep"), F.col("label")).dropDuplicates(["rep"])
+    of_doc = found.join(groups, ["n_shingles", "low", "high"], "left").join(label, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:
         of_doc = of_doc.join(_merged(of_doc), "doc_id", "left").withColumn("component_id", F.coalesce("merged", "component_id")).drop("merged")
