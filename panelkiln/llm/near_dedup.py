@@ -232,11 +232,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets = cut(found.where("n_shingles > 0").join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
 
     buckets = map_batches(sets.select("doc_id", "sketch"), _band_batches, "key long, doc long")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = cut(buckets.join(sizes, "key").select("key", "doc", "size"))
     scores = members.groupBy("doc").agg(F.sum("size").alias("score"))
     members = cut(members.join(scores, "doc"))
-    hubs = members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub"))
+    hubs = cut(members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub")))
     members = cut(members.join(hubs, "key").select("key", "doc", "size", "hub"))
     # Only documents that share a bucket are ever compared; their texts are dealt once.
     texts = cut(documents.select("doc_id", "text").join(scores.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
@@ -244,7 +244,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     edges = _verified(to_hubs, sets, texts, width, percent)
 
     labelled = cut(members.join(_labels(edges, sets), "doc"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    mixed = cut(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"))
     left = cut(labelled.join(mixed, "key", "left_semi"))
     a, b = (left.where(F.col("size") <= SMALL).select("key", F.col("doc").alias(i), F.col("n").alias(f"n_{i}"), F.col("label").alias(f"label_{i}")) for i in "ab")
     apart = (F.col("label_a") != F.col("label_b")) & _size_ok(percent)
@@ -256,8 +256,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     more = a.join(b, ["hub", "element"]).where(apart & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = cut(edges.union(_verified(pairs.union(more.distinct()), sets, texts, width, percent)))
 
+    # Labels meet the groups, one row each, before they meet the rows, of which one group may hold very many.
     label = _labels(edges, sets).select(F.col("doc").alias("rep"), F.col("label")).dropDuplicates(["rep"])
-    of_doc = found.join(groups, ["n_shingles", "low", "high"], "left").join(label, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    labels = cut(groups.join(label, "rep", "left").select("n_shingles", "low", "high", F.coalesce("label", "rep").alias("label")))
+    rows = found.select("doc_id", "n_shingles", "low", "high")
+    of_doc = rows.join(labels, ["n_shingles", "low", "high"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:
         of_doc = of_doc.join(_merged(of_doc), "doc_id", "left").withColumn("component_id", F.coalesce("merged", "component_id")).drop("merged")
