@@ -1,12 +1,19 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A sentence ends after a word with a final `.`, `!` or `?`, or at a line break; what has fewer than SHORT words since the
-last such end belongs to the sentence behind it. Sentences of over LONG words are cut further after words whose hash is
-a multiple of CUT, so that a passage in the middle of a run-on text is cut at the same places wherever it stands, and
-FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (96 bits over its lower-cased words);
-a run of fewer than LEAST_WORDS words is lengthened at its end, and another one at its start, until it has as many.
-Runs are joined globally. Of each run the first occurrence, by doc_id and place, stays; the sentences that any other
-occurrence covers are cut out, with the white space behind them. All other bytes stay as they are.
+A sentence ends after a word with a final `.`, `!` or `?`, or at a line break. Sentences of over LONG words are cut
+further after words whose hash is a multiple of CUT, so that a passage in the middle of a run-on text is cut at the same
+places wherever it stands, and FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (96
+bits over its lower-cased words); a run of fewer than LEAST_WORDS words is lengthened at its end, and another one at its
+start, until it has as many.
+
+Where sentences end depends on what stands around a passage, so runs of sentences alone can miss one. Anchors do not
+miss it: of every WINDOW consecutive runs of ANCHOR words the one with the least hash is a run too. Two places that share
+ANCHOR + WINDOW - 1 words (51) share a whole window, hence an anchor, wherever the passage begins and ends.
+
+Runs are joined globally. Of each run the first occurrence, by doc_id and place, stays; the words that any other
+occurrence covers are cut out, with the white space behind them. All other bytes stay as they are. Only hashes that two
+rows have (found with a count of hashes alone, sent to the tasks as 2 ** FILTER_BITS bits) are joined with their places;
+the bits can let through too many runs, never too few.
 
 Null texts stay null, texts without a run (fewer than SPAN sentences or LEAST_WORDS words) are not changed. Rows
 without doc_id are not compared and stay. Rows that repeat a doc_id are one place in the order: they do not count as
@@ -27,10 +34,13 @@ from panelkiln.llm.textops import NON_SPACE, Words, pieces, sequence_hashes, seq
 
 SPAN = 3
 LEAST_WORDS = 10
-SHORT = 3
-LONG = 16
-CUT = 8
-FORCED = 16
+LONG = 10
+CUT = 5
+FORCED = 12
+ANCHOR = 26
+WINDOW = 26
+FILTER_BITS = 28
+_PART_BITS = 22
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -44,9 +54,6 @@ def sentence_starts(words: Words, data: np.ndarray) -> np.ndarray:
     ends[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]
     last = words.of_doc[1:][words.of_doc[1:] > 0] - 1
     ends[last] = True
-    at = np.flatnonzero(ends)
-    ends[at[np.diff(at, prepend=-1) < SHORT]] = False
-    ends[last] = True
     sentence = np.concatenate([[0], np.cumsum(ends)[:-1]])
     long = np.bincount(sentence) > LONG
     long = long[sentence]
@@ -75,34 +82,112 @@ def runs(words: Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[order], e[order]
 
 
+def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least or greatest of every `width` consecutive values."""
+    pick, done = (np.minimum if least else np.maximum), 1
+    while done < width:
+        step = min(done, width - done)
+        values = pick(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def anchors(words: Words) -> np.ndarray:
+    """First words of the runs of ANCHOR words that have the least hash in a window of their text."""
+    n, reach = len(words.hashes), ANCHOR + WINDOW - 1
+    if n < reach:
+        return np.empty(0, np.int64)
+    first = np.arange(n - ANCHOR + 1)
+    h = sequence_hashes(sequence_sums(words.hashes), first, first + ANCHOR, 33) | np.uint64(1)
+    doc = words.docs()
+    least = np.where(doc[: n - reach + 1] == doc[reach - 1 :], _sliding(h, WINDOW, True), np.uint64(0))
+    around = np.zeros(WINDOW - 1, np.uint64)
+    chosen = np.flatnonzero(_sliding(np.concatenate([around, least, around]), WINDOW, False) == h)
+    # in a stretch of one repeated word all runs are equal: each WINDOW-th and the last are in every window of it
+    fresh = np.ones(len(chosen), bool)
+    fresh[1:] = (np.diff(chosen) > 1) | (h[chosen[1:]] != h[chosen[:-1]])
+    heads = np.flatnonzero(fresh)
+    place = np.arange(len(chosen)) - np.repeat(heads, np.diff(np.append(heads, len(chosen))))
+    return chosen[(place % WINDOW == 0) | np.append(fresh[1:], True)]
+
+
 def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """32 bits of each text, to tell the texts of a repeated doc_id apart."""
     sums = sequence_sums(data.astype(np.uint64) + np.uint64(1))
     return (sequence_hashes(sums, offsets[:-1], offsets[1:], 5) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _piece_runs(piece: pa.RecordBatch):
+    """Hashes, text, first and end byte of all runs, whether their text has them before, and the texts' bytes."""
+    data, offsets = utf8(piece.column(1))
+    words = Words(data, offsets, NON_SPACE)
+    starts = sentence_starts(words, data)
+    s, e = runs(words, starts)
+    more = anchors(words)
+    first, end = np.concatenate([starts[s], more]), np.concatenate([starts[e], more + ANCHOR])
+    sums = sequence_sums(words.hashes)
+    h, g = (sequence_hashes(sums, first, end, seed) for seed in (31, 32))
+    doc = np.searchsorted(words.of_doc, first, side="right") - 1
+    from_byte = words.starts[first] - offsets[doc]
+    within = end < words.of_doc[doc + 1]
+    to_byte = np.where(within, np.append(words.starts, 0)[np.where(within, end, 0)], offsets[doc + 1]) - offsets[doc]
+    order = np.lexsort((from_byte, h, doc))
+    again = np.zeros(len(h), bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return h, g, doc, from_byte, to_byte, again, data, offsets
+
+
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            data, offsets = utf8(piece.column(1))
-            words = Words(data, offsets, NON_SPACE)
-            starts = sentence_starts(words, data)
-            s, e = runs(words, starts)
-            sums = sequence_sums(words.hashes)
-            h, g = (sequence_hashes(sums, starts[s], starts[e], seed) for seed in (31, 32))
-            doc = np.searchsorted(words.of_doc, starts[s], side="right") - 1
-            from_byte = words.starts[starts[s]] - offsets[doc]
-            next_word = starts[e]
-            within = next_word < words.of_doc[doc + 1]
-            to_byte = np.where(within, np.append(words.starts, 0)[next_word], offsets[doc + 1]) - offsets[doc]
-            order = np.lexsort((from_byte, h, doc))
-            again = np.zeros(len(h), bool)
-            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-            ids = piece.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(text_tags(data, offsets)[doc]), pa.array((from_byte << 32) | to_byte), pa.array(again)],
-                ["h", "g", "doc", "tag", "at", "again"],
-            )
+            h, _, _, _, _, again, _, _ = _piece_runs(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(h[~again].view(np.int64))], ["h"])
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    """The place of each hash in the filter."""
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the filter whose hashes are in one partition."""
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = _bits(batch.column(0).to_numpy().view(np.uint64))
+        for part in np.unique(at >> _PART_BITS).tolist():
+            own = at[at >> _PART_BITS == part] & ((1 << _PART_BITS) - 1)
+            parts.setdefault(part, np.zeros(1 << _PART_BITS, bool))[own] = True
+    for part, marks in parts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["part", "bits"])
+
+
+def repeated_filter(texts: DataFrame) -> np.ndarray:
+    """Bits of the hashes that several rows have: all of them, and those that fall on the same bits."""
+    count = map_batches(texts, _hash_batches, "h long").groupBy("h").count().where("count > 1")
+    part = F.shiftrightunsigned("h", 64 - FILTER_BITS + _PART_BITS).cast("int")
+    dealt = count.select("h").repartition(1 << (FILTER_BITS - _PART_BITS), part)
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    size = 1 << (_PART_BITS - 3)
+    for part, found in map_batches(dealt, _filter_batches, "part int, bits binary").toLocalIterator():
+        bits[part * size : (part + 1) * size] = np.frombuffer(found, np.uint8)
+    return bits
+
+
+def _run_batches(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                h, g, doc, from_byte, to_byte, again, data, offsets = _piece_runs(piece)
+                at = _bits(h)
+                keep = np.flatnonzero(again | (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))
+                h, g, doc, place, again = h[keep], g[keep], doc[keep], (from_byte[keep] << 32) | to_byte[keep], again[keep]
+                ids = piece.column(0).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(text_tags(data, offsets)[doc]), pa.array(place), pa.array(again)],
+                    ["h", "g", "doc", "tag", "at", "again"],
+                )
+
+    return run
 
 
 def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -134,7 +219,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc, cuts (array of tag and at = first byte * 2^32 + end byte): the runs of each document that occur before."""
-    found = map_batches(documents.select("doc_id", "text").where("doc_id IS NOT NULL"), _run_batches, "h long, g int, doc long, tag int, at long, again boolean")
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
+    found = map_batches(texts, _run_batches(repeated_filter(texts)), "h long, g int, doc long, tag int, at long, again boolean")
     fresh = found.where("NOT again")
     first = fresh.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "g", "first")
     later = fresh.join(first, ["h", "g"]).where("doc > first").select("doc", "tag", "at")

@@ -135,6 +135,41 @@ def test_substring_dedup_matches_brute_force(spark):
     assert {r.doc_id: r.text for r in substring_dedup.remove_repeated(docs).collect()} == expected
 
 
+def unaligned(r, length):
+    """Words in sentences of 15, begun and ended inside one, or without any sentence end."""
+    skip = r.choice([0, 3, 7, None])
+    return [r.choice(WORDS) + ("." if skip is not None and (k + skip) % 15 == 14 else "") for k in range(length)]
+
+
+def test_repeats_of_over_50_words_go_wherever_they_begin(spark):
+    r, rows, repeats = random.Random(11), [], []
+    for length in range(51, 63):
+        for _ in range(6):
+            passage = unaligned(r, length)
+            repeats.append(passage)
+            rows += [" ".join([*unaligned(r, r.randrange(40)), *passage, *unaligned(r, r.randrange(40))]) for _ in range(2)]
+    fixed = [f"{k}." if k % 15 == 11 else f"w{k}" for k in range(54)]  # the advice's case: 12 words, 15, 15, 12
+    rows += [" ".join(["p1 p2 p3", *fixed, "q1 q2 q3."]), " ".join(["x1 x2 x3", *fixed, "y1 y2 y3."])]
+    rows += [" ".join(["again"] * 300), "so " + " ".join(["again"] * 200), " ".join(["tick tock"] * 150)]
+    found = {x.doc_id: x.text for x in substring_dedup.remove_repeated(table(spark, list(enumerate(rows)))).collect()}
+
+    def windows(text):
+        words = text.split()
+        return [tuple(words[k : k + 51]) for k in range(len(words) - 50)]
+
+    assert len(windows(rows[-3])) == 250 and len(repeats) == 72
+    kept = [w for k in range(len(rows)) for w in windows(found[k])]
+    assert len(kept) == len(set(kept))
+    assert all(" ".join(p) in found[2 * k] for k, p in enumerate(repeats))
+
+
+def test_substring_dedup_filter_only_lets_through_too_much(spark, monkeypatch):
+    docs = table(spark, [(k, prose(120, k % 7) + "\n" + prose(60, 50 + k)) for k in range(20)])
+    expected = {x.doc_id: x.text for x in substring_dedup.remove_repeated(docs).collect()}
+    monkeypatch.setattr(substring_dedup, "repeated_filter", lambda texts: np.full(1 << (substring_dedup.FILTER_BITS - 3), 255, np.uint8))
+    assert {x.doc_id: x.text for x in substring_dedup.remove_repeated(docs).collect()} == expected
+
+
 def test_substring_dedup_of_hostile_and_empty_tables(spark, hostile):
     rows = substring_dedup.remove_repeated(hostile).collect()
     assert len(rows) == 12 and sum(r.text is None for r in rows) == 2
