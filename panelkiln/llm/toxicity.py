@@ -1,9 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct buckets (2 ** BITS of them) of its words, its word pairs and its pairs with one word
-between. FTRL-proximal (per-coordinate learning rates, L1 and L2 terms) is fitted in SHARDS tasks on at most MOST_ROWS
-labelled rows, chosen by a hash of their doc_id; their weights are averaged. That bound is the only sample: every text is
-scored. L1 leaves few weights, which go to the tasks as two arrays of at most MOST_WEIGHTS entries.
+between. FTRL-proximal (per-coordinate learning rates, L1 and L2 terms) is fitted as one model, in one task, on at most
+MOST_ROWS labelled rows, chosen by a hash of their doc_id. That bound is the only sample: every text is scored. L1 leaves few weights, which go to the tasks as two arrays of at most MOST_WEIGHTS entries.
 
 Null texts and texts without words get the score of the intercept. Rows without doc_id are scored and never learned
 from, as are rows without label; a doc_id with several labels counts as toxic if one of them says so. Without any
@@ -26,10 +25,9 @@ from panelkiln.llm.textops import ALPHANUMERIC, Words, mix, pieces, utf8
 
 BITS = 22
 MOST_ROWS = 24_000
-SHARDS = 4
 MOST_WEIGHTS = 1_000_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 0.3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.3
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -78,7 +76,7 @@ class Ftrl:
 
 
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights of one shard. Its rows are at most MOST_ROWS by contract; their buckets are kept, not their texts."""
+    """The weights of the model. Its rows are at most MOST_ROWS by contract; their buckets are kept, not their texts."""
     rows: list[tuple[np.ndarray, float]] = []
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -108,12 +106,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Weights:
     if n > MOST_ROWS:
         known = known.orderBy(order, "doc_id").limit(MOST_ROWS)
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    shards = min(SHARDS, max(1, n // 2000))
-    dealt = texts.select("text", F.col("label").cast("double").alias("label"), F.pmod(order, F.lit(shards)).alias("shard"), order.alias("place")).repartition(shards, "shard").sortWithinPartitions("shard", "place").select("text", "label")
+    # one partition: the rows are at most MOST_ROWS, and a term's gradients must meet before L1 is applied
+    dealt = texts.select("text", F.col("label").cast("double").alias("label"), order.alias("place"), "doc_id").repartition(1).sortWithinPartitions("place", "doc_id").select("text", "label")
     learned = cut(map_batches(dealt, _train_batches, "bucket long, weight double"))
-    used = learned.where(F.col("bucket") == 1 << BITS).count()
-    mean = learned.groupBy("bucket").agg((F.sum("weight") / max(used, 1)).alias("weight"))
-    rows = bounded_rows(mean.orderBy("bucket"), MOST_WEIGHTS, "toxicity weights")
+    rows = bounded_rows(learned.orderBy("bucket"), MOST_WEIGHTS, "toxicity weights")
     bucket, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     own = bucket < 1 << BITS
     return Weights(bucket[own], weight[own], float(weight[~own].sum()))

@@ -288,6 +288,22 @@ def test_toxicity_learns_the_planted_words(spark):
     assert len(weights.buckets) < 2000
 
 
+def test_toxicity_learns_rare_terms_from_many_rows(spark):
+    """A word of eight toxic rows counts at 6,400 rows as at fewer, however a hash would deal the rows to tasks."""
+    halves = {True: [], False: []}
+    for x in spark.range(6400).selectExpr("id", "pmod(xxhash64(id), 3) = 0 AS half").orderBy("id").collect():
+        halves[x.half].append(x.id)
+    rare, common = {*halves[True][:4], *halves[False][:4]}, {*halves[True][4:200], *halves[False][4:200]}
+    r = random.Random(17)
+    text = lambda k: " ".join([*(r.choice(WORDS) for _ in range(4)), *(["grumbolt"] if k in rare else ["foulword"] if k in common else [])])
+    docs = table(spark, [(k, text(k)) for k in range(6400)])
+    labels = spark.createDataFrame([(k, int(k in rare or k in common)) for k in range(6400)], "doc_id long, label int")
+    weights = toxicity.fit(docs, labels)
+    _, bucket = toxicity.features(*utf8(pa.array(["grumbolt"])))
+    found = dict(zip(weights.buckets.tolist(), weights.values.tolist(), strict=True))
+    assert found.get(int(bucket[0]), 0) > 0
+
+
 def test_toxicity_of_hostile_and_empty_tables(spark, hostile):
     none = spark.createDataFrame([], "doc_id long, label int")
     rows = toxicity.score(hostile, toxicity.fit(hostile, none)).collect()
