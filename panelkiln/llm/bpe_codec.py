@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkiln.llm.pair_merging import PairTable, merge_all
 from panelkiln.llm.sparkops import map_batches, table
-from panelkiln.llm.textops import binary_column, pieces, ranges, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.textops import binary_column, distinct_spans, pieces, ranges, utf8
 
 MOST_TOKENS = 1_000_000
 #: Unicode's White_Space property, the pattern and the normaliser of the files that are supported.
@@ -141,8 +141,7 @@ class Codec:
         word = kind[starts] != _SPACE
         starts, ends = starts[word], ends[word]
         special = kind[starts] == _SPECIAL
-        sums = sequence_sums(points.astype(np.uint64) + np.uint64(1))
-        _, first, which = np.unique(sequence_hashes(sums, starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_spans(points, starts, ends)
         ids, id_bounds = self._encode_words(points, starts[first], ends[first], special[first], bytes_of)
         own = np.diff(id_bounds)[which]
         out = ids[ranges(id_bounds[:-1][which], own)]
@@ -163,8 +162,7 @@ class Codec:
         cut[bounds[:-1]] = True
         fragments = np.flatnonzero(cut)
         stops = np.append(fragments[1:], len(data))
-        sums = sequence_sums(symbols.astype(np.uint64) + np.uint64(1))
-        _, first, which = np.unique(sequence_hashes(sums, fragments, stops), return_index=True, return_inverse=True)
+        first, which = distinct_spans(symbols, fragments, stops)
         sizes = stops[first] - fragments[first]
         ids, id_bounds = merge_all(symbols[ranges(fragments[first], sizes)], np.concatenate([[0], np.cumsum(sizes)]), self.pairs)
         each = np.diff(id_bounds)[which]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.sparkops import map_batches, table
-from panelkiln.llm.textops import NON_SPACE, Words, pieces, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.textops import NON_SPACE, Words, mix, pieces, sequence_hashes, sequence_sums, span_hashes, utf8
 
 SPAN = 3
 LEAST_WORDS = 10
@@ -113,8 +113,7 @@ def anchors(words: Words) -> np.ndarray:
 
 def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """32 bits of each text, to tell the texts of a repeated doc_id apart."""
-    sums = sequence_sums(data.astype(np.uint64) + np.uint64(1))
-    return (sequence_hashes(sums, offsets[:-1], offsets[1:], 5) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (span_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _piece_runs(piece: pa.RecordBatch):
@@ -125,8 +124,8 @@ def _piece_runs(piece: pa.RecordBatch):
     s, e = runs(words, starts)
     more = anchors(words)
     first, end = np.concatenate([starts[s], more]), np.concatenate([starts[e], more + ANCHOR])
-    sums = sequence_sums(words.hashes)
-    h, g = (sequence_hashes(sums, first, end, seed) for seed in (31, 32))
+    h = sequence_hashes(sequence_sums(words.hashes), first, end, 31)
+    g = sequence_hashes(sequence_sums(mix(words.hashes, 34)), first, end, 32)
     doc = np.searchsorted(words.of_doc, first, side="right") - 1
     from_byte = words.starts[first] - offsets[doc]
     within = end < words.of_doc[doc + 1]

@@ -1,7 +1,9 @@
 """Vectorised text helpers on the UTF-8 buffers of Arrow string columns.
 
-Texts are cut into words and hashed without a Python loop over words: a 64-bit polynomial of the bytes is summed once
-per buffer, and the hash of any byte span is a difference of two sums times an inverse power.
+Texts are cut into words and hashed without a Python loop over words. A word's hash sums a random value for each pair of
+place and byte, so no regular pattern of letters makes two words meet. Runs of words, which overlap, are hashed by
+differences of prefix sums of a polynomial over word hashes; runs are short (well under the thousand items from which
+such a polynomial has weak patterns).
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(256, dtype=np.uint64), 1) | np.uint64(1)
+#: Random values of the bytes at the first places of a word; those of later places are computed when needed.
+_PLACES = 32
+_PLACE_VALUES = mix(np.arange(_PLACES << 8, dtype=np.uint64), 1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -90,6 +94,68 @@ NON_SPACE = _byte_table({0x20, *range(0x09, 0x0E)})
 NON_SPACE[0] = 0xFF
 
 
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words whose bytes stand one after the other."""
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    kind = np.int32 if len(letters) < 1 << 22 else np.int64
+    at = np.arange(len(letters), dtype=kind) - np.repeat(first.astype(kind), sizes)
+    at <<= 8
+    at |= letters
+    if len(letters) and int(sizes.max()) <= _PLACES:
+        values = _PLACE_VALUES[at]
+    else:
+        values = _PLACE_VALUES[np.minimum(at, (_PLACES << 8) - 1)]
+        late = np.flatnonzero(at >= _PLACES << 8)
+        values[late] = mix(at[late].astype(np.uint64), 1)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of integers; spans may be empty and in any order."""
+    sizes = ends - starts
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes > 0)
+    if len(full):
+        own = sizes[full]
+        first = np.cumsum(own) - own
+        at = (np.arange(first[-1] + own[-1]) - np.repeat(first, own)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            x = values[ranges(starts[full], own)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            at *= np.uint64(0xD1342543DE82EF95)
+            at ^= at >> np.uint64(32)
+            x ^= at
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(33)
+            out[full] = np.add.reduceat(x, first)
+    with np.errstate(over="ignore"):
+        return mix(out + sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 3)
+
+
+def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of spans that differ from each other, and for each span the place of its equal among them.
+
+    Spans are grouped by hash and then compared value by value; one that differs from its group stands for itself.
+    """
+    _, first, which = np.unique(span_hashes(values, starts, ends), return_index=True, return_inverse=True)
+    sizes, model = ends - starts, first[which]
+    same = sizes == sizes[model]
+    checked = np.flatnonzero(same & (sizes > 0) & (model != np.arange(len(model))))
+    if len(checked):
+        own = sizes[checked]
+        differ = values[ranges(starts[checked], own)] != values[ranges(starts[model[checked]], own)]
+        if differ.any():
+            same[checked] = ~np.logical_or.reduceat(differ, np.cumsum(own) - own)
+    alone = np.flatnonzero(~same)
+    which = which.copy()
+    which[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), which
+
+
 class Words:
     """Words of several texts in one buffer.
 
@@ -110,10 +176,7 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.of_doc = np.searchsorted(self.starts, offsets)
-        sums = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE_VALUES[b] * powers(_MULTIPLIER, n), out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * powers(_INVERSE, n + 1)[self.starts])
+        self.hashes = _word_hashes(b[inside], self.ends - self.starts)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.of_doc)

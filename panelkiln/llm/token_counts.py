@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkiln.llm.pair_merging import PairTable, merge_all
 from panelkiln.llm.sparkops import map_batches, table
-from panelkiln.llm.textops import pieces, ranges, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.textops import distinct_spans, pieces, ranges, utf8
 
 MARK = 0x2581
 MOST_PIECES = 1_000_000
@@ -87,8 +87,7 @@ class Pieces:
         cut[begins] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(points))
-        sums = sequence_sums(points.astype(np.uint64) + np.uint64(1))
-        _, first, which = np.unique(sequence_hashes(sums, starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_spans(points, starts, ends)
         own = ends[first] - starts[first]
         bounds = np.concatenate([[0], np.cumsum(own)])
         merged, merged_bounds = merge_all(self.symbol[points[ranges(starts[first], own)]], bounds, self.pairs)
