@@ -1,18 +1,20 @@
 """Near duplicates by HyperMinHash sketches, banding, estimation and exact verification.
 
-A document's set holds the distinct runs of `width` words. For each of BANDS * ROWS hash functions the sketch keeps the
-smallest hash of the set as a register of 16 bits: its leading-zero count (6 bits) and the 10 bits that follow the first
-one. Documents that agree in all registers of a band share a bucket. Only links between different sets are searched:
-equal sets are grouped by their digest first and count as linked.
+A document's set holds the distinct runs of `width` words. Its sketch has REGISTERS buckets. In each of the first THROWS
+rounds one hash deals all elements of the set to the buckets; a bucket that is still empty keeps the smallest hash that
+falls into it. What is empty after them takes the smallest of one more hash of all elements. So every bucket is filled, also
+from a small set, and two sets agree in a bucket with the probability of their similarity. A bucket's register has 16
+bits: the leading-zero count of its hash (6 bits) and the 10 bits behind the first one. Documents that agree in all
+registers of a band share a band's bucket. Only links between different sets are searched: equal sets are grouped by their digest first
+and count as linked.
 
 Each member of a bucket is first compared with the bucket's hub, the member that shares buckets with most others; that is
-linear in the bucket. What then still lies in different components is searched completely: in buckets of at most SMALL
-members pair by pair, in others through differences from the hub. Let D be the shingles that only one of a set and the hub
-has. If c is not linked to the hub, a link between c and x needs so many common elements of their D (the bound follows
-from the two sizes and distances to the hub) that they share one among the first few elements of each, so a join
-on the hub and those elements finds all such pairs, without listing the pairs of a group. Candidates whose Jaccard
-estimate, corrected for register collisions, lies six standard errors below the threshold are dropped; the others are
-compared on their full sets. At 0.8 a pair misses all bands with a probability below 1e-8.
+linear in the bucket. Buckets whose members then still lie in different components are searched completely: those of
+at most SMALL members pair by pair, larger ones through differences from the head, the strongest hub of the component that
+the bucket's hub is in. See `_through_differences`: pairs are found through the rare elements that both have and the
+head has not, and bounds from set sizes show where there can be none. Candidates whose Jaccard estimate, corrected for
+register collisions, lies six standard errors below the threshold are dropped; the others are compared on their full
+sets. At 0.8 a pair misses all bands with a probability below 1e-8, and is dropped by its estimate with one of about 1e-8.
 
 Null and empty texts have empty sets and are linked with nothing. Rows without doc_id are returned as they are: kept,
 component null. Rows that repeat a doc_id are one document with the links of any of them. Other columns are ignored.
@@ -24,21 +26,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkiln.llm.components import connected_components
 from panelkiln.llm.sparkops import cut, map_batches, table
-from panelkiln.llm.textops import NON_SPACE, Words, binary_column, mix, pieces, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.textops import NON_SPACE, Words, binary_column, mix, pieces, ranges, sequence_hashes, sequence_sums, utf8
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
+THROWS = 8
 MANTISSA_BITS = 10
 SMALL = 8
-_FACTORS = mix(np.arange(REGISTERS, dtype=np.uint64), 11) | np.uint64(1)
 _BAND_FACTORS = mix(np.arange(ROWS, dtype=np.uint64), 12) | np.uint64(1)
 _BAND_SEEDS = mix(np.arange(BANDS, dtype=np.uint64), 13)
-_ONLY_HUB = np.uint64(0x5851F42D4C957F2D)
+_BUCKET_FACTORS = mix(np.arange(REGISTERS, dtype=np.uint64), 11) | np.uint64(1)
+#: A bucket's register also says, in its last bits, in which round the bucket was filled.
+_ROUND_MARKS = (mix(np.arange(THROWS + 1, dtype=np.uint64), 14) & np.uint64((1 << MANTISSA_BITS) - 1)).astype(np.uint16)
+_ONLY_HEAD = np.uint64(0x5851F42D4C957F2D)
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The estimate compares the last PACKED bits of each register, side by side in WORDS 64-bit integers.
+PACKED = 4
+WORDS = REGISTERS * PACKED // 64
+_LAST_BITS = 0x1111111111111111
+_DIFFERENCES = "hub long, element long, extra boolean, doc long, n long, label long, open boolean, w long, slack long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,21 +77,41 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 def registers(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The register matrix of sets that are not empty, (sets, REGISTERS) of uint16."""
     sets = len(bounds) - 1
-    out = np.empty((sets, REGISTERS), np.uint16)
-    s = 0
-    with np.errstate(over="ignore"):
-        while s < sets:  # as many sets at once as stay in the processor's cache
-            e = max(s + 1, int(np.searchsorted(bounds, bounds[s] + 32768, side="right")) - 1)
-            own, starts = h[bounds[s] : bounds[e]], bounds[s:e] - bounds[s]
-            buffer = np.empty_like(own)
-            least = np.empty((REGISTERS, e - s), np.uint64)
-            for j in range(REGISTERS):
-                np.multiply(own, _FACTORS[j], out=buffer)
-                np.minimum.reduceat(buffer, starts, out=least[j])
-            # A double's exponent holds the leading zeros and its first fraction bits are those after the first one.
-            out[s:e] = ((least.astype(np.float64).view(np.uint64) >> np.uint64(52 - MANTISSA_BITS)) & np.uint64(0xFFFF)).T
-            s = e
-    return out
+    least = np.full(sets * REGISTERS, _EMPTY, np.uint64)
+    rounds = np.full(sets * REGISTERS, THROWS, np.uint8)
+    sizes = np.diff(bounds)
+    own, base = h, np.repeat(np.arange(sets) * REGISTERS, sizes)
+    for r in range(THROWS):
+        if not len(own):
+            break
+        x = mix(own, 50 + r)
+        at = base + (((x >> np.uint64(40)) * np.uint64(REGISTERS)) >> np.uint64(24)).astype(np.int64)
+        free = rounds[at] == THROWS
+        at, x = at[free], x[free] << np.uint64(24)
+        np.minimum.at(least, at, x)
+        rounds[at] = r
+        empty = (rounds.reshape(sets, REGISTERS) == THROWS).any(axis=1)
+        more = empty[base // REGISTERS]
+        own, base = own[more], base[more]
+    left = np.flatnonzero(rounds == THROWS)
+    step = 1 << 16
+    for s in range(0, len(left), step):
+        at = left[s : s + step]
+        who = at // REGISTERS
+        n = sizes[who]
+        with np.errstate(over="ignore"):
+            x = mix(h[ranges(bounds[:-1][who], n)] * np.repeat(_BUCKET_FACTORS[at % REGISTERS], n), 49)
+        least[at] = np.minimum.reduceat(x, np.cumsum(n) - n)
+    # A double's exponent holds the leading zeros and its first fraction bits are those after the first one.
+    found = (np.maximum(least, np.uint64(1)).astype(np.float64).view(np.uint64) >> np.uint64(52 - MANTISSA_BITS)) & np.uint64(0xFFFF)
+    return (found.astype(np.uint16) ^ _ROUND_MARKS[rounds]).reshape(sets, REGISTERS)
+
+
+def packed(sketch: np.ndarray) -> np.ndarray:
+    """The last PACKED bits of all registers, (sets, WORDS) of int64."""
+    shifts = np.arange(0, 64, PACKED, dtype=np.uint64)
+    low = (sketch & np.uint16((1 << PACKED) - 1)).astype(np.uint64).reshape(-1, WORDS, 64 // PACKED)
+    return (low << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _sketch_batches(width: int):
@@ -112,24 +144,34 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "doc"])
 
 
-def estimate(same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates from shares of equal registers, less the chance that different minima give equal registers."""
-    chance = 0.169919487159739 * 4.0 * n_a * n_b / (n_a + n_b) ** 2 / 2**MANTISSA_BITS
-    return np.clip((same - chance) / (1.0 - chance), 0.0, 1.0)
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch, "sketch"):
+            bits = packed(np.frombuffer(utf8(piece.column(2))[0].tobytes(), np.uint16).reshape(-1, REGISTERS))
+            columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *columns], ["doc_id", "n", *(f"r{k}" for k in range(WORDS))])
 
 
-def _estimate_batches(threshold: float):
-    least = threshold - 6.0 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+def estimate(same, bits: int = PACKED):
+    """The Jaccard estimate from the share of registers whose last bits are equal, less those that are equal by chance.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "sketch_a"):
-                a, b, n_a, n_b = (piece.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                same = np.equal(*(np.frombuffer(utf8(piece.column(i))[0].tobytes(), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))).mean(axis=1)
-                likely = estimate(same, n_a.astype(float), n_b.astype(float)) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(a[likely]), pa.array(b[likely])], ["a", "b"])
+    The last bits of a mantissa are even, so registers that were filled from different elements collide with 2 ** -bits.
+    """
+    return (same - 0.5**bits) / (1 - 0.5**bits)
 
-    return run
+
+def _likely(percent: int) -> Column:
+    """Whether `estimate` of a pair lies at most six standard errors below the threshold, as a bound on unequal registers."""
+    differ = F.lit(0)
+    for k in range(WORDS):
+        x = F.col(f"r{k}_a").bitwiseXOR(F.col(f"r{k}_b"))
+        for step in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_LAST_BITS)))
+    collide, level = 0.5**PACKED, percent / 100
+    same = level + (1 - level) * collide
+    least = same - 6.0 * (same * (1 - same) / REGISTERS) ** 0.5
+    return differ <= int((1 - least) * REGISTERS)
 
 
 def _verify_batches(width: int, percent: int):
@@ -137,7 +179,7 @@ def _verify_batches(width: int, percent: int):
         for batch in batches:
             for outer in pieces(batch, "text_a"):
                 for piece in pieces(outer, "text_b"):
-                    (h, x), (g, y) = (shingle_sets(*utf8(piece.column(i)), width) for i in (2, 3))
+                    (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
                     linked = np.zeros(piece.num_rows, bool)
                     for i in range(piece.num_rows):
                         both = np.concatenate([h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]])
@@ -151,46 +193,86 @@ def _verify_batches(width: int, percent: int):
 
 
 def _difference_batches(width: int, percent: int):
-    """Rows hub, element, doc, n, label, open, any, rest, w, slack of each (hub a, document b): leading elements of their difference.
-
-    open: the document is not linked to the hub, and the element is among those that a partner of any kind must share;
-    any: it is among those that a partner which is not linked to the hub must share. With a elements only in the hub of n
-    elements and e only in the document, and w = 100 a + percent e, two sets are linked only if they share
-    (w + w' - (100 - percent) n) / (100 + percent) elements of their differences. The order puts a document's own first.
-    rest counts the elements from this one on: the first element that a linked pair shares leaves enough on both sides.
-    slack is (100 - percent) n.
+    """The elements that only one of a head (text_a) and a document (text_b) has, a row each.
+
+    With a elements only in the head, which has n, and e only in the document: w = 100 a + percent e and
+    slack = (100 - percent) n. The two are linked if w <= slack; open marks the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for outer in pieces(batch, "text_a"):
                 for piece in pieces(outer, "text_b"):
-                    (h, x), (g, y) = (shingle_sets(*utf8(piece.column(i)), width) for i in (2, 3))
-                    elements, rows, opens, anys, rests, ws, slacks = [], [], [], [], [], [], []
+                    (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
+                    elements, extras, sizes, ws, slacks = [], [], [], [], []
                     for i in range(piece.num_rows):
-                        hub, own = h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]
-                        extra, missing = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
-                        w, slack = 100 * len(missing) + percent * len(extra), (100 - percent) * len(hub)
-                        both = np.concatenate([extra, missing ^ _ONLY_HUB])
-                        n_any = max(0, len(both) - (w // (100 + percent) + 1) + 1)
-                        n_open = max(0, len(both) - max(1, -((slack - w) // (100 + percent))) + 1) if w > slack else 0
-                        n = max(n_any, n_open)
-                        elements.append(both[:n])
-                        rows.append(np.full(n, i))
-                        opens.append(np.arange(n) < n_open)
-                        anys.append(np.arange(n) < n_any)
-                        rests.append(len(both) - np.arange(n))
-                        ws.append(np.full(n, w))
-                        slacks.append(np.full(n, slack))
-                    at = pa.array(np.concatenate(rows).astype(np.int64))
+                        head, own = h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]
+                        extra, missing = np.setdiff1d(own, head, assume_unique=True), np.setdiff1d(head, own, assume_unique=True)
+                        elements += [extra, missing ^ _ONLY_HEAD]
+                        extras += [np.ones(len(extra), bool), np.zeros(len(missing), bool)]
+                        sizes.append(len(extra) + len(missing))
+                        ws.append(100 * len(missing) + percent * len(extra))
+                        slacks.append((100 - percent) * len(head))
+                    at = np.repeat(np.arange(piece.num_rows), sizes)
+                    w, slack = np.array(ws, np.int64)[at], np.array(slacks, np.int64)[at]
+                    hub, doc, n, label = (piece.column(k).take(pa.array(at)) for k in (0, 1, 4, 5))
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column(0).take(at), pa.array(np.concatenate(elements).view(np.int64)), *(piece.column(k).take(at) for k in (1, 4, 5)), pa.array(np.concatenate(opens)), pa.array(np.concatenate(anys)), *(pa.array(np.concatenate(v).astype(np.int64)) for v in (rests, ws, slacks))],
-                        ["hub", "element", "doc", "n", "label", "open", "any", "rest", "w", "slack"],
+                        [hub, pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(extras)), doc, n, label, pa.array(w > slack), pa.array(w), pa.array(slack)],
+                        ["hub", "element", "extra", "doc", "n", "label", "open", "w", "slack"],
                     )
 
     return run
 
 
+def _through_differences(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of one head that may be linked, at least one of them open, by bounds on their sets.
+
+    Two documents with w, w' are linked only if they share T = (w + w' - slack) / (100 + percent) elements of their
+    differences, or more. Only elements that two components share, one of them with an open document, can count; of
+    these a document has e that are extra and a that are missing. Then:
+    1. An open document can have a link only if percent a + 100 e >= w - slack, another only if (100 + percent) (a + e) > w.
+    2. Let g = (100 + percent) a - w, and G the greatest g of a head's documents. A pair of an open document shares at
+       least s = (w - slack - G) / (100 + percent) extra elements; a partner shares (M - g) / (100 + percent) of them, M
+       being the least w - slack of the open ones. Where s is positive, the pair meets in one of the e - s + 1 rarest
+       extra elements of each side (prefix filter). Missing elements are needed only where s is not positive.
+    """
+    both, doc = 100 + percent, ["hub", "doc", "w"]
+    for _ in range(2):
+        often = rows.groupBy("hub", "element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("open").alias("opened"), F.count("*").alias("often"))
+        shared = rows.drop("often", "e", "a").join(often.where("low < high AND opened").select("hub", "element", "often"), ["hub", "element"])
+        own = shared.groupBy(*doc).agg(F.count_if("extra").alias("e"), F.count_if(~F.col("extra")).alias("a"), F.max("slack").alias("most_slack"), F.bool_or("open").alias("opens"))
+        own = own.where(f"CASE WHEN opens THEN {percent} * a + 100 * e >= w - most_slack ELSE {both} * (a + e) > w END")
+        rows = cut(shared.join(own.select(*doc, "e", "a"), doc))
+    docs = rows.groupBy(*doc).agg(F.max("slack").alias("slack"), F.bool_or("open").alias("open"), F.max("e").alias("e"), F.max("a").alias("a"))
+    most = docs.groupBy("hub").agg(F.max(both * F.col("a") - F.col("w")).alias("most"), F.min(F.when(F.col("open"), F.col("w") - F.col("slack"))).alias("least"))
+    need = docs.join(most, "hub").select(*doc, F.expr(f"CASE WHEN open THEN ceil((w - slack - most) / {both}) ELSE ceil((least - {both} * a + w) / {both}) END").alias("need"))
+    place = Window.partitionBy(*doc, "extra").orderBy("often", "element")
+    kept = rows.join(need, doc).withColumn("place", F.row_number().over(place))
+    kept = cut(kept.where("CASE WHEN extra THEN place <= e - greatest(need, 1) + 1 OR need <= 0 ELSE need <= 0 END"))
+    a, b = (kept.where(side).select("hub", "element", F.col("doc").alias(i), *(F.col(c).alias(f"{c}_{i}") for c in ("n", "label", "e", "a", "w", "slack"))) for i, side in (("a", "open"), ("b", "true")))
+    enough = (F.least("e_a", "e_b") + F.least("a_a", "a_b")) * both >= F.col("w_a") + F.col("w_b") - F.col("slack_a")
+    met = a.join(b, ["hub", "element"]).where((F.col("label_a") != F.col("label_b")) & _size_ok(percent) & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed UTF-8."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            data, offsets = utf8(piece.column(1))
+            view = memoryview(data.tobytes())
+            packed = [pack.compress(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of compressed texts, and the offsets of the texts."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(x) for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, low, high (a 128-bit digest of the set) and sketch (empty for an empty set) of each text."""
     return map_batches(documents.select("doc_id", "text"), _sketch_batches(width), "doc_id long, n_shingles long, low long, high long, sketch binary")
@@ -208,10 +290,10 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: sizes, then the estimate, then the full sets."""
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    near = pairs.distinct().join(a, "a").join(b, "b").where(_size_ok(percent)).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    near = cut(map_batches(near, _estimate_batches(percent / 100), "a long, b long").distinct())
-    with_texts = _with_texts(near, texts).select("a", "b", "text_a", "text_b")
+    bits = map_batches(sets.select("doc_id", "n_shingles", "sketch"), _packed_batches, "doc_id long, n long, " + ", ".join(f"r{k} long" for k in range(WORDS)))
+    a, b = (bits.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in bits.columns)) for x in "ab")
+    near = pairs.distinct().join(b, "b").join(a, "a").where(_size_ok(percent)).where(_likely(percent)).select("a", "b")
+    with_texts = _with_texts(near.distinct(), texts).select("a", "b", "text_a", "text_b")
     return cut(map_batches(with_texts, _verify_batches(width, percent), "a long, b long").distinct())
 
 
@@ -228,37 +310,39 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     with doc_id = component_id. Two documents are linked if 100 * shared shingles >= percent * shingles of both.
     """
     found = cut(sketches(documents, width))
-    groups = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
-    sets = cut(found.where("n_shingles > 0").join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
+    full = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    sets = cut(full.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.min_by("sketch", "doc_id").alias("sketch")))
 
     buckets = map_batches(sets.select("doc_id", "sketch"), _band_batches, "key long, doc long")
-    sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(sizes, "key").select("key", "doc", "size"))
-    scores = members.groupBy("doc").agg(F.sum("size").alias("score"))
-    members = cut(members.join(scores, "doc"))
-    hubs = cut(members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub")))
-    members = cut(members.join(hubs, "key").select("key", "doc", "size", "hub"))
-    # Only documents that share a bucket are ever compared; their texts are dealt once.
-    texts = cut(documents.select("doc_id", "text").join(scores.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+    members = members.join(members.groupBy("doc").agg(F.sum("size").alias("score")), "doc")
+    hubs = members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub"))
+    members = cut(members.join(hubs, "key").select("key", "doc", "size", "score", "hub"))
+    # Only documents that share a bucket are ever compared; their texts are dealt once, compressed.
+    texts = map_batches(documents.select("doc_id", "text"), _pack_batches, "doc_id long, text binary")
+    texts = cut(texts.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     to_hubs = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     edges = _verified(to_hubs, sets, texts, width, percent)
 
-    labelled = cut(members.join(_labels(edges, sets), "doc"))
-    mixed = cut(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"))
+    labelled = members.join(_labels(edges, sets), "doc")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     left = cut(labelled.join(mixed, "key", "left_semi"))
     a, b = (left.where(F.col("size") <= SMALL).select("key", F.col("doc").alias(i), F.col("n").alias(f"n_{i}"), F.col("label").alias(f"label_{i}")) for i in "ab")
-    apart = (F.col("label_a") != F.col("label_b")) & _size_ok(percent)
-    pairs = a.join(b, "key").where(apart & (F.col("a") < F.col("b"))).select("a", "b")
-    of_hubs = left.where((F.col("size") > SMALL) & (F.col("doc") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"), "n", "label").distinct()
-    differences = cut(map_batches(_with_texts(of_hubs, texts).select("a", "b", "text_a", "text_b", "n", "label"), _difference_batches(width, percent), "hub long, element long, doc long, n long, label long, open boolean, any boolean, rest long, w long, slack long"))
-    a, b = (differences.where(side).select("hub", "element", F.col("doc").alias(i), *(F.col(c).alias(f"{c}_{i}") for c in ("n", "label", "rest", "w", "slack"))) for i, side in (("a", "open"), ("b", "any")))
-    enough = F.least("rest_a", "rest_b") * (100 + percent) >= F.col("w_a") + F.col("w_b") - F.col("slack_a")
-    more = a.join(b, ["hub", "element"]).where(apart & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = cut(edges.union(_verified(pairs.union(more.distinct()), sets, texts, width, percent)))
+    pairs = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & _size_ok(percent) & (F.col("a") < F.col("b"))).select("a", "b")
+    large = left.where(F.col("size") > SMALL)
+    hubs = large.where("doc = hub").select("key", "hub", "label", "score")
+    heads = hubs.groupBy("label").agg(F.expr("max_by(hub, score * 1048576L + (xxhash64(hub) & 1048575L))").alias("head"))
+    heads = hubs.join(heads, "label").select("key", "head").distinct()
+    of_heads = large.join(heads, "key").where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"), "n", "label").distinct()
+    differences = cut(map_batches(_with_texts(of_heads, texts).select("a", "b", "text_a", "text_b", "n", "label"), _difference_batches(width, percent), _DIFFERENCES))
+    to_heads = differences.where("NOT open").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    more = _through_differences(differences, percent)
+    edges = cut(edges.union(to_heads).union(_verified(pairs.union(more), sets, texts, width, percent)))
 
     # Labels meet the groups, one row each, before they meet the rows, of which one group may hold very many.
-    label = _labels(edges, sets).select(F.col("doc").alias("rep"), F.col("label")).dropDuplicates(["rep"])
-    labels = cut(groups.join(label, "rep", "left").select("n_shingles", "low", "high", F.coalesce("label", "rep").alias("label")))
+    components = connected_components(edges)
+    labels = sets.join(components, sets.doc_id == components.node, "left").select("n_shingles", "low", "high", F.coalesce("component", "doc_id").alias("label"))
     rows = found.select("doc_id", "n_shingles", "low", "high")
     of_doc = rows.join(labels, ["n_shingles", "low", "high"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
