@@ -2,8 +2,8 @@
 
 A sentence ends after a word with a final `.`, `!` or `?`, or at a line break. Sentences of over LONG words are cut
 further after words whose hash is a multiple of CUT, so that a passage in the middle of a run-on text is cut at the same
-places wherever it stands, and FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (96
-bits over its lower-cased words); a run of fewer than LEAST_WORDS words is lengthened at its end, and another one at its
+places wherever it stands, and FORCED words after the last cut. Every run of SPAN consecutive sentences is hashed (two
+independent sums over its lower-cased words, 96 bits); a run of fewer than LEAST_WORDS words is lengthened at its end, and another one at its
 start, until it has as many.
 
 Where sentences end depends on what stands around a passage, so runs of sentences alone can miss one. Anchors do not
@@ -12,12 +12,13 @@ ANCHOR + WINDOW - 1 words (51) share a whole window, hence an anchor, wherever t
 
 Runs are joined globally. Of each run the first occurrence, by doc_id and place, stays; the words that any other
 occurrence covers are cut out, with the white space behind them. All other bytes stay as they are. Only hashes that two
-rows have (found with a count of hashes alone, sent to the tasks as 2 ** FILTER_BITS bits) are joined with their places;
-the bits can let through too many runs, never too few.
+rows have are joined with their places. They are found from the hashes alone: these go in blocks to ranges of the hash
+space, of which a task sorts one at a time, and come back as 2 ** FILTER_BITS bits; the bits can let through too many
+runs, never too few.
 
 Null texts stay null, texts without a run (fewer than SPAN sentences or LEAST_WORDS words) are not changed. Rows
 without doc_id are not compared and stay. Rows that repeat a doc_id are one place in the order: they do not count as
-repetitions of each other, and each is cut by its own runs. Other columns are kept.
+repetitions of each other, and each is cut by the runs of its own text. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.sparkops import map_batches, table
-from panelkiln.llm.textops import NON_SPACE, Words, mix, pieces, sequence_hashes, sequence_sums, span_hashes, utf8
+from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, pieces, sequence_hashes, sequence_sums, utf8
 
 SPAN = 3
 LEAST_WORDS = 10
@@ -40,7 +42,9 @@ FORCED = 12
 ANCHOR = 26
 WINDOW = 26
 FILTER_BITS = 28
-_PART_BITS = 22
+#: Hashes that a task holds before it sends them out, and the text for which the hash space gets one more range.
+HELD = 1 << 20
+RANGE_BYTES = 1 << 24
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -111,13 +115,8 @@ def anchors(words: Words) -> np.ndarray:
     return chosen[(place % WINDOW == 0) | np.append(fresh[1:], True)]
 
 
-def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each text, to tell the texts of a repeated doc_id apart."""
-    return (span_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _piece_runs(piece: pa.RecordBatch):
-    """Hashes, text, first and end byte of all runs, whether their text has them before, and the texts' bytes."""
+    """Hashes, text, first and end byte of all runs, and whether their text has them before."""
     data, offsets = utf8(piece.column(1))
     words = Words(data, offsets, NON_SPACE)
     starts = sentence_starts(words, data)
@@ -133,14 +132,35 @@ def _piece_runs(piece: pa.RecordBatch):
     order = np.lexsort((from_byte, h, doc))
     again = np.zeros(len(h), bool)
     again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    return h, g, doc, from_byte, to_byte, again, data, offsets
+    return h, g, doc, from_byte, to_byte, again
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            h, _, _, _, _, again, _, _ = _piece_runs(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(h[~again].view(np.int64))], ["h"])
+def _hash_batches(range_bits: int):
+    """Rows part, block: sorted hashes of one range of the hash space; of equal ones two stay."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        more = np.ones(len(h), bool)
+        more[2:] = h[2:] != h[:-2]
+        h = h[more]
+        part = (h >> np.uint64(64 - range_bits)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]) if len(h) else [])
+        return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), binary_column(h, np.append(starts, len(h)))], ["part", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                h, _, _, _, _, again = _piece_runs(piece)
+                held.append(h[~again])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
+
+    return run
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -148,43 +168,67 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _filter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of the filter whose hashes are in one partition."""
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = _bits(batch.column(0).to_numpy().view(np.uint64))
-        for part in np.unique(at >> _PART_BITS).tolist():
-            own = at[at >> _PART_BITS == part] & ((1 << _PART_BITS) - 1)
-            parts.setdefault(part, np.zeros(1 << _PART_BITS, bool))[own] = True
-    for part, marks in parts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["part", "bits"])
+def _filter_batches(range_bits: int):
+    """Rows part, bits: the filter's bits of one range, compressed. Rows come sorted by part."""
+    size = 1 << (FILTER_BITS - range_bits)
+
+    def sent(part: int, blocks: list[bytes]) -> pa.RecordBatch:
+        h = np.sort(np.frombuffer(b"".join(blocks), np.uint64))
+        marks = np.zeros(size, bool)
+        marks[_bits(h[1:][h[1:] == h[:-1]]) & (size - 1)] = True
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zstandard.compress(np.packbits(marks).tobytes())], pa.binary())], ["part", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and blocks:
+                    yield sent(now, blocks)
+                    blocks = []
+                now = part
+                blocks.append(block)
+        if blocks:
+            yield sent(now, blocks)
+
+    return run
 
 
 def repeated_filter(texts: DataFrame) -> np.ndarray:
     """Bits of the hashes that several rows have: all of them, and those that fall on the same bits."""
-    count = map_batches(texts, _hash_batches, "h long").groupBy("h").count().where("count > 1")
-    part = F.shiftrightunsigned("h", 64 - FILTER_BITS + _PART_BITS).cast("int")
-    dealt = count.select("h").repartition(1 << (FILTER_BITS - _PART_BITS), part)
+    amount = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    range_bits = min(FILTER_BITS - 3, max(6, (amount // RANGE_BYTES).bit_length()))
+    blocks = map_batches(texts, _hash_batches(range_bits), "part long, block binary")
+    dealt = blocks.repartition(1 << (range_bits - 2), "part").sortWithinPartitions("part")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (_PART_BITS - 3)
-    for part, found in map_batches(dealt, _filter_batches, "part int, bits binary").toLocalIterator():
-        bits[part * size : (part + 1) * size] = np.frombuffer(found, np.uint8)
+    size = 1 << (FILTER_BITS - 3 - range_bits)
+    for part, found in map_batches(dealt, _filter_batches(range_bits), "part long, bits binary").collect():
+        bits[part * size : (part + 1) * size] = np.frombuffer(zstandard.decompress(found), np.uint8)
     return bits
 
 
-def _run_batches(bits: np.ndarray):
+def _run_batches(bits: np.ndarray, inner: bool):
+    """Runs that pass the filter; inner: the places of runs that the same text has before, joined, without hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                h, g, doc, from_byte, to_byte, again, data, offsets = _piece_runs(piece)
+                h, g, doc, from_byte, to_byte, again = _piece_runs(piece)
                 at = _bits(h)
-                keep = np.flatnonzero(again | (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))
-                h, g, doc, place, again = h[keep], g[keep], doc[keep], (from_byte[keep] << 32) | to_byte[keep], again[keep]
-                ids = piece.column(0).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(text_tags(data, offsets)[doc]), pa.array(place), pa.array(again)],
-                    ["h", "g", "doc", "tag", "at", "again"],
-                )
+                keep = np.flatnonzero(~again & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))
+                place = pa.array((from_byte[keep] << 32) | to_byte[keep])
+                rows = pa.array(doc[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array((g[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), piece.column(0).take(rows), piece.column(2).take(rows), place], ["h", "g", "doc", "tag", "at"])
+                if inner and again.any():
+                    own, start, stop = doc[again], from_byte[again], to_byte[again]
+                    order = np.lexsort((start, own))
+                    own, start, stop = own[order], start[order], stop[order]
+                    reach = np.maximum.accumulate(stop + (own << 40)) - (own << 40)  # no text has 2^40 bytes
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (start[1:] > reach[:-1])
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(own)) - 1
+                    rows = pa.array(own[first])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32()), piece.column(0).take(rows), piece.column(2).take(rows), pa.array((start[first] << 32) | reach[last])], ["h", "g", "doc", "tag", "at"])
 
     return run
 
@@ -200,41 +244,51 @@ def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column's texts compressed; a null text stays null."""
+    pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for piece in pieces(batch, "__text"):
-            texts, cuts = piece.column(0), piece.column(1)
-            out, spans = texts.to_pylist(), [0] * piece.num_rows
-            hit = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
-            if len(hit):
-                own = texts.take(pa.array(hit))
-                tags = text_tags(*utf8(own)).tolist()
-                for i, tag, marks in zip(hit.tolist(), tags, cuts.take(pa.array(hit)).to_pylist(), strict=True):
-                    ranges = [(m["at"] >> 32, m["at"] & 0xFFFFFFFF) for m in marks if m["tag"] == tag]
-                    if ranges and out[i] is not None:
-                        out[i], spans[i] = cut_text(out[i], ranges), len(ranges)
+            packed = [None if x is None else pack.compress(x.encode()) for x in piece.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *piece.columns[1:]], piece.schema.names)
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for piece in pieces(batch, "__text", PIECE_BYTES // 2):
+            out, spans = [], []
+            for packed, marks in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                text = None if packed is None else unpack.decompress(packed).decode()
+                if text and marks:
+                    text = cut_text(text, [(at >> 32, at & 0xFFFFFFFF) for at in marks])
+                out.append(text)
+                spans.append(len(marks or ()))
             yield pa.RecordBatch.from_arrays([*piece.columns[2:], pa.array(out, pa.string()), pa.array(spans, pa.int64())], [*piece.schema.names[2:], "__new", "__spans"])
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """doc, cuts (array of tag and at = first byte * 2^32 + end byte): the runs of each document that occur before."""
-    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = map_batches(texts, _run_batches(repeated_filter(texts)), "h long, g int, doc long, tag int, at long, again boolean")
-    fresh = found.where("NOT again")
-    first = fresh.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "g", "first")
-    later = fresh.join(first, ["h", "g"]).where("doc > first").select("doc", "tag", "at")
-    return later.union(found.where("again").select("doc", "tag", "at")).distinct().groupBy("doc").agg(F.collect_list(F.struct("tag", "at")).alias("cuts"))
+    """doc, tag (xxhash64 of the text), cuts (array of first byte * 2^32 + end byte): runs of a text that occur before."""
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("tag")).where("doc_id IS NOT NULL")
+    bits = repeated_filter(texts.select("doc_id", "text"))
+    schema = "h long, g int, doc long, tag long, at long"
+    first = map_batches(texts, _run_batches(bits, False), schema).groupBy("h", "g").agg(F.min("doc").alias("first"))
+    found = map_batches(texts, _run_batches(bits, True), schema)
+    # Left: runs without a hash have no first row.
+    later = found.join(first, ["h", "g"], "left").where("h IS NULL OR doc > first")
+    return later.groupBy("doc", "tag").agg(F.collect_set("at").alias("cuts"))
 
 
 def remove_repeated(documents: DataFrame) -> DataFrame:
     """`documents` with repeated passages cut out of text, and span_hits (long): repeated runs found in the text."""
     names = [c for c in documents.columns if c != "text"]
     cuts = repeated_spans(documents)
-    inner = documents.select(F.col("text").alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))
-    at = f"__{names.index('doc_id')}"
-    joined = inner.join(cuts.select(F.col("doc").alias("__doc"), F.col("cuts").alias("__cuts")), F.col(at) == F.col("__doc"), "left").select("__text", "__cuts", *(f"__{i}" for i in range(len(names))))
-    schema = ", ".join([*(f"__{i} {kind}" for i, (_, kind) in enumerate(documents.select(*names).dtypes)), "__new string", "__spans long"])
-    done = map_batches(joined, _cut_batches, schema)
+    inner = documents.select(F.col("text").alias("__text"), F.xxhash64("text").alias("__tag"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))
+    kinds = [f"__{i} {kind}" for i, (_, kind) in enumerate(documents.select(*names).dtypes)]
+    packed = map_batches(inner, _pack_batches, ", ".join(["__text binary", "__tag long", *kinds]))
+    same = (packed[f"__{names.index('doc_id')}"] == cuts.doc) & (packed["__tag"] == cuts.tag)
+    joined = packed.join(cuts, same, "left").select("__text", F.col("cuts").alias("__cuts"), *(f"__{i}" for i in range(len(names))))
+    done = map_batches(joined, _cut_batches, ", ".join([*kinds, "__new string", "__spans long"]))
     back = {c: F.col(f"__{i}") for i, c in enumerate(names)} | {"text": F.col("__new")}
     return done.select(*(back[c].alias(c) for c in documents.columns), F.col("__spans").alias("span_hits"))
 
