@@ -1,13 +1,17 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct buckets (2 ** BITS of them) of its words, its word pairs and its pairs with one word
-between. FTRL-proximal (per-coordinate learning rates, L1 and L2 terms) is fitted as one model, in one task, on at most
-MOST_ROWS labelled rows, chosen by a hash of their doc_id. That bound is the only sample: every text is scored. L1 leaves few weights, which go to the tasks as two arrays of at most MOST_WEIGHTS entries.
+between. FTRL-proximal (per-coordinate learning rates, L1 and L2 terms) is fitted on at most `most_rows` labelled rows,
+chosen by a hash of their doc_id. That bound is the only sample: every text is scored. The model is fitted in one task,
+since a feature's gradients must meet before L1 is applied; beside it FOLDS models, each without one part of the rows, score
+the rows they have not seen, and a logistic curve through those scores calibrates the model (slope and intercept).
+L1 leaves few weights, which go to the tasks as two arrays of at most MOST_WEIGHTS entries; of more, the smallest are
+left out.
 
 Null texts and texts without words get the score of the intercept. Rows without doc_id are scored and never learned
-from, as are rows without label; a doc_id with several labels counts as toxic if one of them says so. Without any
-labelled row, or with labels of one class only, every score is the share of toxic rows (0 without rows).
-Other columns are ignored or kept.
+from, as are rows without label; a doc_id with several labels counts as toxic if one of them says so, one with several
+texts teaches by the least of them. Without any labelled row, or with labels of one class only, every score is the share
+of toxic rows (0 without rows). Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -27,7 +31,10 @@ BITS = 22
 MOST_ROWS = 24_000
 MOST_WEIGHTS = 1_000_000
 EPOCHS = 4
+FOLDS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.3
+#: Partitions over which the hash deals the models 0 to FOLDS one by one.
+TASKS = 7
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -57,62 +64,115 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-class Ftrl:
-    """The state of FTRL-proximal over all buckets; the last coordinate is the intercept, without L1."""
-
-    def __init__(self) -> None:
-        self.z, self.n = np.zeros((1 << BITS) + 1, np.float32), np.zeros((1 << BITS) + 1, np.float32)
-
-    def weights(self, at: np.ndarray) -> np.ndarray:
-        z, l1 = self.z[at], np.where(at == 1 << BITS, 0.0, L1)
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
-
-    def learn(self, at: np.ndarray, label: float) -> None:
-        w = self.weights(at)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
-        self.z[at] += g - sigma * w
-        self.n[at] += g * g
+def learned(rows: list[np.ndarray], labels: np.ndarray, l1: float = L1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of FTRL-proximal over rows of distinct buckets; the bucket 1 << BITS, the intercept, has no L1.
+
+    A gradient is less than 1, so a feature of at most l1 / EPOCHS rows keeps the weight 0 and has no part in any other:
+    such features are left out before.
+    """
+    sizes = np.array([len(r) for r in rows])
+    buckets, which, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    used = (counts * EPOCHS > l1) | (buckets == 1 << BITS)
+    common = np.flatnonzero(used)[np.argsort(-counts[used], kind="stable")]  # features of many rows lie together
+    number = np.zeros(len(buckets), np.int32)
+    number[common] = np.arange(len(common))
+    inside = used[which]
+    at_of = number[which[inside]]
+    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(inside, np.cumsum(sizes) - sizes))])
+    buckets = buckets[common]
+    z, n, w = np.zeros(len(buckets)), np.zeros(len(buckets)), np.zeros(len(buckets))
+    limit = np.where(buckets == 1 << BITS, 0.0, l1)
+    order = np.random.default_rng(seed)
+    for _ in range(EPOCHS):
+        for k in order.permutation(len(rows)).tolist():
+            at = at_of[bounds[k] : bounds[k + 1]]
+            old, have = w[at], n[at]
+            g = 1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, old.sum())))) - labels[k]
+            root = np.sqrt(have + g * g)
+            now = z[at] + g - (root - np.sqrt(have)) / ALPHA * old
+            z[at], n[at] = now, have + g * g
+            most = limit[at]
+            w[at] = np.where(np.abs(now) <= most, 0.0, -(now - np.copysign(most, now)) / ((BETA + root) / ALPHA + L2))
+    return buckets, w
+
+
+def calibration(totals: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope (0.1 to 10) and intercept of the logistic curve through unseen rows' totals, by Newton steps."""
+    slope, intercept = 1.0, 0.0
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(slope * totals + intercept, -35, 35)))
+        r = p * (1 - p) + 1e-9
+        gradient = np.array([((p - labels) * totals).sum() + (slope - 1) * 0.01, (p - labels).sum() + intercept * 0.01])
+        curve = np.array([[(r * totals * totals).sum() + 0.01, (r * totals).sum()], [(r * totals).sum(), r.sum() + 0.01]])
+        step = np.linalg.solve(curve, gradient)
+        slope, intercept = float(np.clip(slope - step[0], 0.1, 10)), float(np.clip(intercept - step[1], -35, 35))
+        if np.abs(step).max() < 1e-9:
+            break
+    return slope, intercept
 
 
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights of the model. Its rows are at most MOST_ROWS by contract; their buckets are kept, not their texts."""
-    rows: list[tuple[np.ndarray, float]] = []
+    """Rows kind, at, value, label: weights of model 0; totals of the rows that another model has not seen.
+
+    Rows come sorted by model. Their number is bounded by contract; their buckets are kept, not their texts.
+    """
+
+    def fitted_rows(model: int, rows: list[np.ndarray], labels: list[float], folds: list[int]) -> pa.RecordBatch:
+        label, fold = np.array(labels), np.array(folds)
+        seen = np.flatnonzero(fold != model - 1)
+        buckets, w = learned([rows[k] for k in seen], label[seen])
+        if model == 0:
+            at = np.flatnonzero((w != 0) | (buckets == 1 << BITS))
+            columns = [buckets[at].astype(np.int64), w[at], np.zeros(len(at))]
+        else:
+            rest = np.flatnonzero(fold == model - 1)
+            lookup = np.zeros((1 << BITS) + 1)
+            lookup[buckets] = w
+            columns = [rest, np.array([lookup[rows[k]].sum() for k in rest], float), label[rest]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), model, np.int32)), *(pa.array(x) for x in columns)], ["model", "at", "value", "label"])
+
+    now, rows, labels, folds = None, [], [], []
     for batch in batches:
         for piece in pieces(batch, "text"):
-            labels = piece.column(1).to_numpy(zero_copy_only=False)
             doc, bucket = features(*utf8(piece.column(0)))
-            bounds = np.searchsorted(doc, np.arange(piece.num_rows + 1))
-            rows += [(np.append(bucket[s:e], 1 << BITS).astype(np.int32), float(y)) for s, e, y in zip(bounds[:-1], bounds[1:], labels, strict=True)]
+            bounds = np.searchsorted(doc, np.arange(piece.num_rows + 1)).tolist()
+            for k, (label, fold, model) in enumerate(zip(*(piece.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                if model != now and rows:
+                    yield fitted_rows(now, rows, labels, folds)
+                    rows, labels, folds = [], [], []
+                now = model
+                rows.append(np.append(bucket[bounds[k] : bounds[k + 1]], 1 << BITS).astype(np.int32))
+                labels.append(label)
+                folds.append(fold)
     if rows:
-        model, order = Ftrl(), np.random.default_rng(7)
-        for _ in range(EPOCHS):
-            for k in order.permutation(len(rows)).tolist():
-                model.learn(*rows[k])
-        w = model.weights(np.arange((1 << BITS) + 1))
-        at = np.flatnonzero(w)
-        at = np.union1d(at, [1 << BITS])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w[at].astype(np.float64))], ["bucket", "weight"])
+        yield fitted_rows(now, rows, labels, folds)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Weights:
+def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Weights:
     """Weights from the texts of labelled rows. labels: doc_id, label (0 or 1); both tables are joined on doc_id."""
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.withColumn("place", F.xxhash64("doc_id"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).head()
-    if n == 0 or toxic in (0, n):
+    if n > most_rows:
+        known = known.orderBy("place", "doc_id").limit(most_rows)
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL").join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.shiftright("place", 7), F.lit(FOLDS)).cast("int")
+    models = F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))
+    dealt = texts.select("text", F.col("label").cast("double").alias("label"), fold.alias("fold"), models.alias("model"), "place", "doc_id")
+    dealt = dealt.repartition(TASKS, "model").sortWithinPartitions("model", "place", "doc_id").select("text", "label", "fold", "model")
+    none = not n or toxic in (0, n)
+    rows = [] if none else bounded_rows(cut(map_batches(dealt, _train_batches, "model int, at long, value double, label double")), most_rows + (1 << BITS) + 1, "weights and calibration rows")
+    if not rows:
         share = toxic / n if n else 0.0
         return Weights(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))) if 0 < share < 1 else 35.0 * np.sign(share - 0.5))
-    order = F.xxhash64("doc_id")
-    if n > MOST_ROWS:
-        known = known.orderBy(order, "doc_id").limit(MOST_ROWS)
-    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    # one partition: the rows are at most MOST_ROWS, and a term's gradients must meet before L1 is applied
-    dealt = texts.select("text", F.col("label").cast("double").alias("label"), order.alias("place"), "doc_id").repartition(1).sortWithinPartitions("place", "doc_id").select("text", "label")
-    learned = cut(map_batches(dealt, _train_batches, "bucket long, weight double"))
-    rows = bounded_rows(learned.orderBy("bucket"), MOST_WEIGHTS, "toxicity weights")
-    bucket, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-    own = bucket < 1 << BITS
-    return Weights(bucket[own], weight[own], float(weight[~own].sum()))
+    unseen = np.array([r[2:] for r in rows if r[0]], float).reshape(-1, 2)
+    slope, intercept = calibration(unseen[:, 0], unseen[:, 1])
+    own = sorted((r[1], r[2]) for r in rows if r[0] == 0)
+    bucket, weight = np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own]) * slope
+    intercept += float(weight[bucket == 1 << BITS].sum())
+    most = np.sort(np.argsort(-np.abs(weight[bucket < 1 << BITS]), kind="stable")[:MOST_WEIGHTS])
+    return Weights(bucket[most], weight[most], intercept)
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, weights: Weights) -> np.ndarray:
