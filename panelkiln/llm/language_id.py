@@ -29,6 +29,7 @@ from panelkiln.llm.textops import pieces, utf8
 BITS = 15
 MOST_LANGUAGES = 256
 PENALTY = 25.0
+CELLS = 1 << 23
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 #: Scripts by code point ranges; what is in none of them is the last one.
@@ -149,8 +150,10 @@ def train(documents: DataFrame) -> Model:
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best label of each word: most score, less `penalty` for each change inside a text. scores: (words, labels).
 
-    If no run of words favours another label by more than the penalty, the label with the most score holds throughout,
-    which sums show without the recursion; only the other texts go through it.
+    Most texts need no recursion. Let b be the label with the most score over a text. In a path of k >= 2 runs, the first
+    run's gain over b is at most A (the best start of the text), the last one's at most Z (the best end) and each one's
+    between at most M (the best stretch). If M <= penalty and A + Z <= penalty, A + Z + (k - 2) M <= (k - 1) penalty: no
+    path beats b throughout.
     """
     words, labels = scores.shape
     out = np.zeros(words, np.int64)
@@ -158,7 +161,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) ->
     full = np.flatnonzero(counts)
     if labels < 2 or not len(full):
         return out
-    best = np.add.reduceat(scores, bounds[:-1][full], axis=0).argmax(axis=1)
+    heads = bounds[:-1][full]
+    best = np.add.reduceat(scores, heads, axis=0).argmax(axis=1)
     own = np.repeat(best, counts[full])
     out[:] = own
     gain = scores - scores[np.arange(words), own][:, None]
@@ -167,30 +171,47 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) ->
     part = np.repeat(np.arange(len(full)), counts[full])
     step = float(np.abs(sums).max()) * 2 + 1  # moves each text below the ones before it, so that one minimum serves all
     low = np.minimum.accumulate(sums[:-1] - (part * step)[:, None], axis=0) + (part * step)[:, None]
-    rise = (sums[1:] - low).max(axis=1)
-    mixed = full[np.maximum.reduceat(rise, bounds[:-1][full]) > penalty]
-    for d in mixed.tolist():
-        s, e = int(bounds[d]), int(bounds[d + 1])
-        back = np.empty((e - s, labels), np.int64)
-        value = scores[s].astype(float)
-        for t in range(s, e):
-            if t > s:
-                top = int(value.argmax())
-                change = value[top] - penalty > value
-                back[t - s] = np.where(change, top, np.arange(labels))
-                value = np.where(change, value[top] - penalty, value) + scores[t]
-        label = int(value.argmax())
-        for t in range(e - 1, s - 1, -1):
-            out[t] = label
-            if t > s:
-                label = int(back[t - s, label])
+    between = np.maximum.reduceat((sums[1:] - low).max(axis=1), heads)
+    first = np.maximum.reduceat((sums[1:] - sums[heads][part]).max(axis=1), heads)
+    last = np.maximum.reduceat((sums[heads + counts[full]][part] - sums[:-1]).max(axis=1), heads)
+    rest = full[(between > penalty) | (np.maximum(first, 0) + np.maximum(last, 0) > penalty)]
+    rest = rest[np.argsort(-counts[rest], kind="stable")]
+    while len(rest):  # texts of about one length at once, as many as fit into CELLS cells
+        many = max(1, CELLS // (int(counts[rest[0]]) * labels))
+        _recursion(scores, bounds, rest[:many], penalty, out)
+        rest = rest[many:]
     return out
 
 
+def _recursion(scores: np.ndarray, bounds: np.ndarray, texts: np.ndarray, penalty: float, out: np.ndarray) -> None:
+    """Viterbi over some texts, longest first, a word of each at a time. Writes the labels of their words to out."""
+    starts, sizes = bounds[:-1][texts], np.diff(bounds)[texts]
+    labels = scores.shape[1]
+    back = np.empty((int(sizes[0]), len(texts), labels), np.int16)
+    value = scores[starts].astype(float)
+    for t in range(1, int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -t, side="left"))  # texts of more than t words
+        now = value[:n]
+        top = now.argmax(axis=1)
+        moved = now[np.arange(n), top][:, None] - penalty
+        back[t, :n] = np.where(moved > now, top[:, None], np.arange(labels))
+        value[:n] = np.maximum(now, moved) + scores[starts[:n] + t]
+    label = value.argmax(axis=1)
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        out[starts[:n] + t] = label[:n]
+        if t:
+            label[:n] = back[t, np.arange(n), label[:n]]
+
+
 def label_words(words: Letters, model: Model) -> np.ndarray:
-    """The language number of each word."""
+    """The language number of each word.
+
+    A language that is not allowed for a word's script scores so little there that leaving it for one word, at two
+    changes, is always better: the script leaves only its candidates.
+    """
     each = np.stack([np.add.reduceat(row[words.trigrams], words.starts) for row in model.scores], axis=1)
-    each = np.where(model.allowed[words.scripts], each, each.min(axis=1, keepdims=True) - 2 * PENALTY)
+    each = np.where(model.allowed[words.scripts], each, each.min(axis=1, keepdims=True) - 2 * PENALTY - 1)
     return viterbi(each, words.of_doc)
 
 
