@@ -4,8 +4,8 @@ The tokenizer file supplies vocabulary, merges and rules; encoding and decoding
 normalised (NFC, lower case) and cut into pre-tokens as the file's pattern says. Byte pairs that occur inside no
 vocabulary token mark certain cuts, since no merge can join across them: each pre-token is cut there, the distinct
 fragments of a buffer are encoded independently (by pair_merging), and the ids are concatenated. Special strings inside
-a text become their special ids. Letters and numbers are those of Python's Unicode tables: a code point that Unicode assigned
-later counts as a sign.
+a text become their special ids. Letters and numbers are those of Python's Unicode tables; texts with code points that
+these do not know are normalised by the file's own normaliser, and its pattern is asked, once for each, what they are.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty text. Decoding joins the token strings with
 spaces, as the library does for a file without a decoder. The vocabulary lives in each task: at most MOST_TOKENS tokens.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ MOST_TOKENS = 1_000_000
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-_SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL = range(5)
+_SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL, _UNKNOWN = range(6)
 _FIRST_SPECIAL = 0xD800  # special strings become lone surrogates, which no UTF-8 text holds
 _SUFFIX = "</w>"
 
@@ -55,6 +56,8 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             kind[c] = _LETTER
         elif category == "N":
             kind[c] = _NUMBER
+        elif unicodedata.category(x) == "Cn":
+            kind[c] = _UNKNOWN
         low = x.lower()
         if low != x and len(low) == 1:
             lower[c] = ord(low)
@@ -64,10 +67,17 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, lower, (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int8)
 
 
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after the other, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), bounds
+
+
 class Codec:
     """A BPE tokenizer file with word ends."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -110,8 +120,29 @@ class Codec:
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("İ", "i̇")
             out.append(text)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
-        return np.frombuffer("".join(out).encode("utf-32-le", "surrogatepass"), np.uint32), bounds
+        points, bounds = _flat(out)
+        kind = _classes()[0]
+        unknown = np.flatnonzero(kind[points] == _UNKNOWN)
+        if len(unknown):
+            for k in np.unique(np.searchsorted(bounds, unknown, side="right") - 1).tolist():
+                parts = re.split(r"([\ud800-\udfff])", out[k])
+                out[k] = "".join(x if i % 2 else self._library().normalizer.normalize_str(x) for i, x in enumerate(parts))
+            points, bounds = _flat(out)
+            for c in np.unique(points[kind[points] == _UNKNOWN]).tolist():
+                kind[c] = self._asked(c)
+        return points, bounds
+
+    def _library(self):
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
+    def _asked(self, point: int) -> int:
+        """The class of a code point: a letter joins letters, signs join each other, a number stands alone."""
+        found = len(self._library().pre_tokenizer.pre_tokenize_str(f"a{chr(point) * 2}a"))
+        return {1: _LETTER, 3: _OTHER, 4: _NUMBER}.get(found, _SPACE)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their bounds."""

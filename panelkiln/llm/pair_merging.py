@@ -2,8 +2,10 @@
 
 All sequences lie one after the other in one array of symbols. In each round every sequence applies its own lowest-rank
 pair, at its leftmost place, as a merge queue would; finished sequences leave the array. The results are those of the
-sequential algorithm for every table of merges. The few sequences of over LONG symbols go through a heap instead, whose
-time does not grow with the square of the length.
+sequential algorithm for every table of merges. A sequence of over LONG symbols would need very many rounds over a long
+array: it is held as a linked list in arrays, and a round applies its lowest-rank pair at all places at once. In tables
+where a pair's result can have a pair of a lower rank (those made from scored pieces, not those from lists of merges)
+that could differ from one merge after the other; there such a sequence leaves the arrays for a heap of its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,13 @@ class PairTable:
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
         keys, self.rank, self.merged = keys[first], np.append(rank[first], _NONE).astype(np.int64), np.append(merged[first], -1).astype(np.int32)
+        # ordered: no pair's result has a pair of a lower rank.
+        size = int(max(keys.max() >> 32, (keys & 0xFFFFFFFF).max(), self.merged.max())) + 1 if len(keys) else 1
+        least = np.full(size, _NONE, np.int64)
+        for part in (keys >> 32, keys & 0xFFFFFFFF):
+            np.minimum.at(least, part, self.rank[:-1])
+        self.ordered = bool((least[np.maximum(self.merged[:-1], 0)] > self.rank[:-1]).all())
+        self.known: dict[tuple[int, int], tuple[int, int]] = {}
         # A hash table of one key a slot; what finds its slot taken goes to the sorted rest.
         self.bits = max(12, int(len(keys)).bit_length() + 3)
         self.slot_key, self.slot_at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, len(keys), np.int32)
@@ -60,32 +69,79 @@ class PairTable:
 
 
 def _merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
-    """One sequence through a heap of (rank, place)."""
+    """One sequence: places wait by the rank of the pair that begins there, and the lowest rank is merged at all of them."""
     n = len(symbols)
+    value, after, before = symbols.astype(np.int32), np.arange(1, n + 1), np.arange(-1, n - 1)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[after[places] < n]
+        own = table.rank[table.find(value[places], value[after[places]])]
+        good = own != _NONE
+        order = np.argsort(own[good], kind="stable")
+        places, own = places[good][order], own[good][order]
+        if not len(own):
+            return
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        for s, e in zip(heads, np.append(heads[1:], len(own)), strict=True):
+            rank = int(own[s])
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(ranks, rank)
+            waiting[rank].append(places[s:e])
+
+    wait(np.arange(n - 1))
+    while ranks:
+        rank = heapq.heappop(ranks)
+        places = np.unique(np.concatenate(waiting.pop(rank)))
+        places = places[(value[places] >= 0) & (after[places] < n)]
+        at = table.find(value[places], value[after[places]])
+        good = table.rank[at] == rank
+        places, at = places[good], at[good]
+        if not len(places):
+            continue
+        # of places that overlap, as in a run of one symbol, every second one merges, from the left
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = after[places[:-1]] != places[1:]
+        heads = np.flatnonzero(fresh)
+        taken = (np.arange(len(places)) - np.repeat(heads, np.diff(np.append(heads, len(places))))) % 2 == 0
+        rest = places[~taken]
+        places, at = places[taken], at[taken]
+        gone = after[places]
+        value[places], value[gone] = table.merged[at], -1
+        after[places] = after[gone]
+        inner = after[places] < n
+        before[after[places[inner]]] = places[inner]
+        left = before[places]
+        wait(np.concatenate([places, left[left >= 0], rest[value[rest] >= 0]]))
+    return value[value >= 0]
+
+
+def _merge_by_heap(symbols: np.ndarray, table: PairTable) -> np.ndarray:
+    """One sequence through a heap of (rank, place)."""
+    if not table.known:
+        keys = np.concatenate([table.slot_key[table.slot_key >= 0], table.rest_key])
+        at = np.concatenate([table.slot_at[table.slot_key >= 0], table.rest_at])
+        table.known.update(zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True), zip(table.rank[at].tolist(), table.merged[at].tolist(), strict=True), strict=True))
+    known, n = table.known, len(symbols)
     value, after, before = symbols.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
-    at = table.find(symbols[:-1], symbols[1:])
-    ranks = table.rank[at].tolist()
-    heap = [(r, i, value[i], value[i + 1]) for i, r in enumerate(ranks) if r != _NONE]
+    heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(value, value[1:], strict=False)) if (found := known.get((a, b)))]
     heapq.heapify(heap)
-
-    def push(i: int, j: int) -> None:
-        k = int(table.find(np.array([value[i]]), np.array([value[j]]))[0])
-        if table.rank[k] != _NONE:
-            heapq.heappush(heap, (int(table.rank[k]), i, value[i], value[j]))
-
     while heap:
         _, i, a, b = heapq.heappop(heap)
         j = after[i]
         if value[i] != a or j < 0 or value[j] != b:
             continue
-        value[i] = int(table.merged[table.find(np.array([a]), np.array([b]))[0]])
+        value[i] = known[a, b][1]
         value[j] = -1
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-            push(i, after[j])
-        if before[i] >= 0:
-            push(before[i], i)
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+            if found := known.get((value[i], value[k])):
+                heapq.heappush(heap, (found[0], i, value[i], value[k]))
+        if (h := before[i]) >= 0 and (found := known.get((value[h], value[i]))):
+            heapq.heappush(heap, (found[0], h, value[h], value[i]))
     return np.array([v for v in value if v != -1], np.int32)
 
 
@@ -94,7 +150,7 @@ def merge_all(symbols: np.ndarray, bounds: np.ndarray, table: PairTable) -> tupl
     symbols, lengths = symbols.astype(np.int32), np.diff(bounds)
     results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sequence numbers, lengths, symbols
     for k in np.flatnonzero(lengths > LONG).tolist():
-        done = _merge_long(symbols[bounds[k] : bounds[k + 1]], table)
+        done = (_merge_long if table.ordered else _merge_by_heap)(symbols[bounds[k] : bounds[k + 1]], table)
         results.append((np.array([k]), np.array([len(done)]), done))
     alive = np.flatnonzero((lengths > 0) & (lengths <= LONG))
     own = lengths[alive]
