@@ -3,105 +3,179 @@
 A turn is written as `### role: text</turn>` and a line break. Inside roles and texts a backslash stands before each
 backslash, `###`, `</turn>` and (in roles) colon, so that a window can be read back without loss.
 
-The prefix sum of a conversation's turn tokens chooses the window of each turn: windows begin at multiples of
-`budget - history` tokens, at turn bounds, so a window holds whole turns and only its last one can pass the budget.
-The turns before it that fit into `history` tokens are repeated in front, and a leading system turn is repeated in every
-window. The loss mask covers the texts of assistant turns where they are new; repeated turns are masked, so that each
-assistant text counts once.
-
-Null texts and roles count as empty. Turns follow the column turn (nulls first), ties role and text. Repeated rows are turns
-of their own. Rows with a null conv_id are one conversation without id. Other columns are ignored.
+Running sums of turn tokens choose the windows of a conversation. A window holds the leading system turn, then the last
+turns before it as far as they have at most `history` tokens, then new turns; all of them together have at most `budget`
+tokens. History gives way to the first new turn, and so does the system turn if both together would pass the budget. Only a
+turn that alone has more than `budget` tokens passes it, in a window of its own. The loss mask covers the texts of
+assistant turns where they are new; repeated turns are masked, so that each assistant text counts once. Tokens are
+counted over whole written turns, by a BPE tokenizer file (see bpe_codec) or, without one, as a fourth of their bytes.
+
+A conversation's turns pass through one task in order; the task holds a window and a history of them, not the
+conversation. Null texts and roles count as empty. Turns follow the column turn (nulls first), ties role and text.
+Repeated rows are turns of their own. Rows with a null conv_id are one conversation without id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkiln.llm import bpe_codec
 from panelkiln.llm.sparkops import map_batches, table
+from panelkiln.llm.textops import pieces
 
 BUDGET, HISTORY = 1024, 256
-ROLE_END, TURN_END = ": ", "</turn>\n"
+TURN_BEGIN, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
+_ESCAPE = re.compile(r"(\\|###|</turn>)")
+_ESCAPE_ROLE = re.compile(r"(\\|###|</turn>|:)")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
-
-
-def escape(column: Column, control: str = "###|</turn>") -> Column:
-    """Text with a backslash in front of backslashes and control strings."""
-    return F.regexp_replace(F.coalesce(column, F.lit("")), rf"(\\|{control})", r"\\$1")
+_LOSS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
-
-
-def turn_tokens(text: Column) -> Column:
-    """About the tokens of a turn: one for every four bytes, and four for the marks."""
-    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4) + 4
-
-
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, repeated (turns in front that are context only), loss (array of start, stop).
-
-    One row for each window of `conversations` (conv_id, turn, role, text). start and stop count code points of formatted.
+    return _UNESCAPE.sub(r"\1", text) if "\\" in text else text
+
+
+def written(role: str, text: str) -> tuple[str, str]:
+    """What stands before a turn's text, and the text, escaped."""
+    return TURN_BEGIN + _ESCAPE_ROLE.sub(r"\\\1", role) + ROLE_END, _ESCAPE.sub(r"\\\1", text)
+
+
+class _Conversation:
+    """The open window of a conversation. Turns: head, body, tokens, whether the body is learned."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history, self.window = budget, history, 0
+        self.system, self.first = None, True
+        self.before: deque = deque()  # the last turns, of at most `history` tokens
+        self.before_tokens, self.tokens = 0, 0
+        self.repeated: list = []
+        self.new: list = []
+
+    def add(self, turn: tuple, role: str) -> dict | None:
+        """The window that this turn closes, if it does."""
+        closed = None
+        if self.new and self.tokens + turn[2] > self.budget:
+            closed = self.close()
+        if not self.new:
+            self._open(turn[2])
+        self.new.append(turn)
+        self.tokens += turn[2]
+        if self.first and role == "system":
+            self.system = turn
+        else:
+            self.before.append(turn)
+            self.before_tokens += turn[2]
+            while self.before_tokens > self.history:
+                self.before_tokens -= self.before.popleft()[2]
+        self.first = False
+        return closed
+
+    def _open(self, tokens: int) -> None:
+        self.repeated, self.tokens = [], 0
+        if self.system and self.system[2] + tokens <= self.budget:
+            self.repeated, self.tokens = [self.system], self.system[2]
+        kept, room = [], self.budget - self.tokens - tokens
+        for turn in reversed(self.before):
+            if turn[2] > room:
+                break
+            kept.append(turn)
+            room -= turn[2]
+            self.tokens += turn[2]
+        self.repeated += reversed(kept)
+
+    def close(self) -> dict:
+        parts, loss, size = [], [], 0
+        for k, (head, body, _, learn) in enumerate([*self.repeated, *self.new]):
+            start = size + len(head)
+            size = start + len(body) + len(TURN_END)
+            parts += [head, body, TURN_END]
+            if learn and k >= len(self.repeated):
+                loss.append({"start": start, "stop": start + len(body)})
+        row = {"window": self.window, "formatted": "".join(parts), "tokens": self.tokens, "repeated": len(self.repeated), "loss": loss}
+        self.window += 1
+        self.new = []
+        return row
+
+
+def _window_batches(budget: int, history: int, tokenizer: str | None):
+    kinds = {"conv_id": pa.int64(), "window": pa.int64(), "formatted": pa.string(), "tokens": pa.int64(), "repeated": pa.int64(), "loss": _LOSS}
+
+    def rows(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in kinds.items()], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe_codec.load(tokenizer) if tokenizer else None
+        now, talk = None, None
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                ids, roles, texts = (piece.column(i).to_pylist() for i in range(3))
+                turns = [written(role, text) for role, text in zip(roles, texts, strict=True)]
+                whole = [head + body + TURN_END for head, body in turns]
+                if codec:
+                    bounds = codec.encode(whole)[1]
+                    tokens = (bounds[1:] - bounds[:-1]).tolist()
+                else:
+                    tokens = [-(-len(x.encode()) // 4) for x in whole]
+                out = []
+                for conv, role, (head, body), n in zip(ids, roles, turns, tokens, strict=True):
+                    if talk is None or conv != now:
+                        if talk is not None:
+                            out.append(talk.close() | {"conv_id": now})
+                        now, talk = conv, _Conversation(budget, history)
+                    if closed := talk.add((head, body, n, role == "assistant"), role):
+                        out.append(closed | {"conv_id": now})
+                yield rows(out)
+        if talk is not None:
+            yield rows([talk.close() | {"conv_id": now}])
+
+    return run
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
+    """conv_id, window, formatted, tokens, repeated (turns in front that are context only), loss (array of start, stop).
+
+    One row for each window of `conversations` (conv_id, turn, role, text), in order within the partition that holds its
+    conversation. start and stop count code points of formatted.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    sums = order.rowsBetween(Window.unboundedPreceding, 0)
-    tokens = turn_tokens(F.col("text"))
-    rows = rows.select("*", F.row_number().over(order).alias("place"), (F.sum(tokens).over(sums) - tokens).alias("begin"))
-    rows = rows.withColumn("window", F.floor(F.col("begin") / (budget - history)))
-    rows = rows.withColumn("opens", F.coalesce(F.lag("window").over(order) < F.col("window"), F.lit(True)))
-    system = F.first(F.when(F.col("role") == "system", F.col("text"))).over(sums)
-    rows = rows.withColumn("system", F.when(F.col("opens") & (F.col("place") > 1), system))
-    behind = Window.partitionBy("conv_id").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.when(F.col("opens"), F.struct("window", "begin"))
-    rows = rows.withColumn("next", F.last(opening, ignorenulls=True).over(behind))
-    # A turn is new in its own window, and context of the next one if it is near enough; the system turn stands apart.
-    own = F.struct("window", "place", F.lit(True).alias("new"), "role", "text")
-    near = (F.col("next.begin") - F.col("begin") <= history) & ~((F.col("place") == 1) & (F.col("role") == "system"))
-    context = F.when(near, F.struct(F.col("next.window").alias("window"), "place", F.lit(False).alias("new"), "role", "text"))
-    head = F.when(F.col("system").isNotNull(), F.struct("window", F.lit(0).alias("place"), F.lit(False).alias("new"), F.lit("system").alias("role"), F.col("system").alias("text")))
-    turns = rows.select("conv_id", F.explode(F.array_compact(F.array(own, context, head))).alias("t")).select("conv_id", "t.*")
-    turns = turns.select("conv_id", "window", "place", "new", F.concat(F.lit("### "), escape(F.col("role"), ":|###|</turn>"), F.lit(ROLE_END)).alias("head"), escape(F.col("text")).alias("body"), (F.col("new") & (F.col("role") == "assistant")).alias("learn"))
-    grouped = turns.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("place", "new", "head", "body", "learn"))).alias("turns"))
-    return map_batches(grouped, _window_batches, "conv_id long, window long, formatted string, repeated long, loss array<struct<start: long, stop: long>>")
-
-
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for batch in batches:
-        formatted, repeated, loss = [], [], []
-        for turns in batch.column(2).to_pylist():
-            parts, spans, size = [], [], 0
-            for t in turns:
-                start = size + len(t["head"])
-                if t["learn"]:
-                    spans.append({"start": start, "stop": start + len(t["body"])})
-                parts += [t["head"], t["body"], TURN_END]
-                size = start + len(t["body"]) + len(TURN_END)
-            formatted.append("".join(parts))
-            repeated.append(sum(not t["new"] for t in turns))
-            loss.append(spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(formatted, pa.string()), pa.array(repeated, pa.int64()), pa.array(loss, kind)], ["conv_id", "window", "formatted", "repeated", "loss"])
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))]
+    ordered = conversations.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    schema = "conv_id long, window long, formatted string, tokens long, repeated long, loss array<struct<start: long, stop: long>>"
+    return map_batches(ordered.select("conv_id", "role", "text"), _window_batches(budget, history, tokenizer), schema)
+
+
+def _mark(text: str, mark: str, at: int) -> int:
+    """The first place of a mark from `at` on that no backslash escapes."""
+    while True:
+        at = text.find(mark, at)
+        if at < 0:
+            raise ValueError("not a formatted window")
+        first = at
+        while first and text[first - 1] == "\\":
+            first -= 1
+        if (at - first) % 2 == 0:
+            return at
+        at += len(mark)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """Role and text of every turn of a window."""
     turns, at = [], 0
     while at < len(formatted):
-        found = _TURN.match(formatted, at)
-        if found is None:
+        if not formatted.startswith(TURN_BEGIN, at):
             raise ValueError("not a formatted window")
-        turns.append((unescape(found[1]), unescape(found[2])))
-        at = found.end()
+        role_end = _mark(formatted, ROLE_END, at + len(TURN_BEGIN))
+        text_end = _mark(formatted, TURN_END, role_end + len(ROLE_END))
+        turns.append((unescape(formatted[at + len(TURN_BEGIN) : role_end]), unescape(formatted[role_end + len(ROLE_END) : text_end])))
+        at = text_end + len(TURN_END)
     return turns
 
 
@@ -115,34 +189,37 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
     for batch in batches:
-        out = []
-        for conv, text, repeated, loss in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-            if state is None or conv != now:
-                if state is not None:
-                    out.append(row())
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, said in read_back(text)[repeated:]:
-                state[0] += 1
-                state[1].update(f"{role}\n{said}\n".encode())
-            for span in loss:
-                learned = unescape(text[span["start"] : span["stop"]])
-                state[2] += len(learned)
-                state[3].update(learned.encode())
-            state[4] += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+        for piece in pieces(batch, "formatted"):
+            out = []
+            for conv, text, repeated, loss in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
+                if state is None or conv != now:
+                    if state is not None:
+                        out.append(row())
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said in read_back(text)[repeated:]:
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                for span in loss:
+                    learned = unescape(text[span["start"] : span["stop"]])
+                    state[2] += len(learned)
+                    state[3].update(learned.encode())
+                state[4] += len(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
     if state is not None:
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row(), kinds, strict=True)], names)
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What the windows of each conversation hold, read back from them."""
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "window", "formatted", "repeated", "loss")
-    return map_batches(dealt, _digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """What the windows of each conversation hold, read back from them. formatted: as `windows` gives it, in its order."""
+    rows = formatted.select("conv_id", "formatted", "repeated", "loss")
+    return map_batches(rows, _digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
+    import public_tokenizers
+
     said = "\\### Assistant: </turn> ok"
     odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return conversation_digests(windows(own.unionByName(odd)))
+    return conversation_digests(windows(own.unionByName(odd), tokenizer=public_tokenizers.path("word_bpe_49k.json")))
