@@ -64,28 +64,34 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def learned(rows: list[np.ndarray], labels: np.ndarray, l1: float = L1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of FTRL-proximal over rows of distinct buckets; the bucket 1 << BITS, the intercept, has no L1.
+def learned(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray | None = None, l1: float = L1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of FTRL-proximal over the rows that are `seen` (all, if it is None).
+
+    Rows hold distinct buckets, of which 1 << BITS, the intercept, has no L1. Each row is replaced by the places of its
+    buckets in what is returned, so that the rows are held once.
 
     A gradient is less than 1, so a feature of at most l1 / EPOCHS rows keeps the weight 0 and has no part in any other:
     such features are left out before.
     """
-    sizes = np.array([len(r) for r in rows])
-    buckets, which, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    used = (counts * EPOCHS > l1) | (buckets == 1 << BITS)
-    common = np.flatnonzero(used)[np.argsort(-counts[used], kind="stable")]  # features of many rows lie together
-    number = np.zeros(len(buckets), np.int32)
-    number[common] = np.arange(len(common))
-    inside = used[which]
-    at_of = number[which[inside]]
-    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(inside, np.cumsum(sizes) - sizes))])
-    buckets = buckets[common]
+    seen = np.arange(len(rows)) if seen is None else seen
+    counts = np.zeros((1 << BITS) + 1, np.int32)
+    for k in seen.tolist():
+        counts[rows[k]] += 1
+    counts[-1] *= int(l1) + 1
+    buckets = np.flatnonzero(counts * EPOCHS > l1)
+    buckets = buckets[np.argsort(-counts[buckets], kind="stable")]  # features of many rows lie together
+    number = np.full((1 << BITS) + 1, -1, np.int32)
+    number[buckets] = np.arange(len(buckets))
+    for k, row in enumerate(rows):
+        own = number[row]
+        rows[k] = own[own >= 0]
+    del counts, number
     z, n, w = np.zeros(len(buckets)), np.zeros(len(buckets)), np.zeros(len(buckets))
     limit = np.where(buckets == 1 << BITS, 0.0, l1)
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        for k in order.permutation(len(rows)).tolist():
-            at = at_of[bounds[k] : bounds[k + 1]]
+        for k in seen[order.permutation(len(seen))].tolist():
+            at = rows[k]
             old, have = w[at], n[at]
             g = 1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, old.sum())))) - labels[k]
             root = np.sqrt(have + g * g)
@@ -120,20 +126,18 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def fitted_rows(model: int, rows: list[np.ndarray], labels: list[float], folds: list[int]) -> pa.RecordBatch:
         label, fold = np.array(labels), np.array(folds)
         seen = np.flatnonzero(fold != model - 1)
-        buckets, w = learned([rows[k] for k in seen], label[seen])
+        buckets, w = learned(rows, label, seen)
         if model == 0:
             at = np.flatnonzero((w != 0) | (buckets == 1 << BITS))
             columns = [buckets[at].astype(np.int64), w[at], np.zeros(len(at))]
         else:
             rest = np.flatnonzero(fold == model - 1)
-            lookup = np.zeros((1 << BITS) + 1)
-            lookup[buckets] = w
-            columns = [rest, np.array([lookup[rows[k]].sum() for k in rest], float), label[rest]]
+            columns = [rest, np.array([w[rows[k]].sum() for k in rest], float), label[rest]]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), model, np.int32)), *(pa.array(x) for x in columns)], ["model", "at", "value", "label"])
 
     now, rows, labels, folds = None, [], [], []
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", 1 << 19):
             doc, bucket = features(*utf8(piece.column(0)))
             bounds = np.searchsorted(doc, np.arange(piece.num_rows + 1)).tolist()
             for k, (label, fold, model) in enumerate(zip(*(piece.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
