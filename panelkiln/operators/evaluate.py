@@ -138,14 +138,15 @@ def r2_to_sharpe(sharpe: Column, r2: Column) -> Column:
     return F.sqrt(divide(sharpe * sharpe + r2, 1 - r2))
 
 
-def sign_restricted(panel: DataFrame, target: str, predictor: str, sign: int, date: str = "month", asset: str = "permno") -> DataFrame:
+def sign_restricted(panel: DataFrame, target: str, predictor: str, sign: int, date: str = "month", asset: str = "permno", least: int = 12) -> DataFrame:
     """Recursive one-predictor forecasts of a target that is known one row later.
 
     At each row the regression uses the asset's earlier rows only. A slope of the wrong sign, or none, gives the mean of
-    the earlier targets instead.
+    the earlier targets instead, and so do fewer than `least` earlier rows. An asset's first row has no forecast.
     """
     past = Window.partitionBy(asset).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     slope, level = F.regr_slope(target, predictor).over(past), F.avg(target).over(past)
     rows = panel.select("*", slope.alias("__b"), F.regr_intercept(target, predictor).over(past).alias("__a"), level.alias("hist_mean"))
-    fitted = F.when((F.col("__b") * sign > 0), F.col("__a") + F.col("__b") * F.col(predictor)).otherwise(F.col("hist_mean"))
-    return rows.withColumn("restricted", fitted).drop("__a", "__b")
+    rows = rows.withColumn("__n", F.count("*").over(past))
+    fitted = F.when((F.col("__n") >= least) & (F.col("__b") * sign > 0), F.col("__a") + F.col("__b") * F.col(predictor)).otherwise(F.col("hist_mean"))
+    return rows.withColumn("restricted", fitted).drop("__a", "__b", "__n")

@@ -98,11 +98,13 @@ class FeatureBuilder:
 
     def __init__(self, characteristics: list[str], macros: list[str] = (), dummies: list[str] = (), interactions: bool = True, industry: str | None = None):  # type: ignore[assignment]
         self.characteristics, self.macros, self.dummies, self.interactions, self.industry = list(characteristics), list(macros), list(dummies), interactions, industry
+        self.block = 0
         self.dense = [*self.characteristics, *(interaction_names(self.characteristics, self.macros) if interactions else []), *self.dummies]
 
     @property
     def n_features(self) -> int:
-        return len(self.dense)
+        """Dense features and, once a panel with industries was transformed, those of its sparse block."""
+        return len(self.dense) + self.block
 
     def transform(self, panel: DataFrame, output: str = "features") -> DataFrame:
         """All months at once: partitions take the place of month batches."""
@@ -110,6 +112,7 @@ class FeatureBuilder:
         sparse = []
         if self.industry:
             wide, sparse = interaction_vector(wide, self.characteristics, self.industry, "__block"), ["__block"]
+            self.block = int(wide.schema["__block"].metadata["ml_attr"]["num_attrs"])
         return assemble(wide, self.dense, sparse, output).select(*panel.columns, output)
 
 

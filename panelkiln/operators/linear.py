@@ -206,11 +206,11 @@ def _huber_batches(features: int, center: np.ndarray, scale: np.ndarray, beta: n
     return run
 
 
-def elastic_net_huber(train: DataFrame, features: list[str], target: str, alpha: float = 1e-4, l1_ratio: float = 0.5, xi: float | None = None, rounds: int = 40) -> Linear:
+def elastic_net_huber(train: DataFrame, features: list[str], target: str, alpha: float = 1e-4, l1_ratio: float = 0.5, xi: float | None = 0.1, rounds: int = 40) -> Linear:
     """Minimises the mean Huber loss (half of u^2 up to xi) plus alpha (l1_ratio |b|_1 + (1 - l1_ratio) / 2 |b|_2^2).
 
     Accelerated proximal gradient on standardised features: each step sums gradients over the cached rows in one job and
-    soft-thresholds on the driver. xi: the standard deviation of the target, if none is given.
+    soft-thresholds on the driver. xi: if it is None, the standard deviation of the target.
     """
     g = gram(train, features, target)
     center, scale = g.means()[0], g.deviations()

@@ -20,7 +20,6 @@ from panelkiln.operators.features import moments
 
 MOST_WEIGHTS = 2_000_000
 WIDTHS = {f"NN{d}": [32] * d for d in range(1, 6)}
-PYRAMID = [32, 16, 8, 4, 2]
 
 
 def _start(widths: list[int], features: int, seed: int) -> list[np.ndarray]:

@@ -10,8 +10,8 @@ from panelkiln.operators.evaluate import oos_r2
 from panelkiln.operators.features import assemble
 
 #: Presets of the forest: trees, depth, least rows of a leaf, features tried, share of rows.
-FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 100, "featureSubsetStrategy": "onethird", "subsamplingRate": 1.0}
-FOREST_GRID = [{"numTrees": 300, "maxDepth": d, "featureSubsetStrategy": s, "subsamplingRate": 0.5, "bootstrap": True} for d in (2, 4, 6) for s in ("sqrt", "50")]
+FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 100, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+FOREST_GRID = [{"numTrees": 300, "maxDepth": d, "minInstancesPerNode": 1, "featureSubsetStrategy": s, "subsamplingRate": 0.5, "bootstrap": True} for d in (2, 4, 6) for s in ("sqrt", "50")]
 
 
 def _vector(df: DataFrame, features: list[str]) -> DataFrame:

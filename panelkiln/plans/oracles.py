@@ -203,7 +203,7 @@ ORACLES: dict[str, str] = {
     "timing_strategy": _q(f"SELECT {_r(_SHARPE.format('(p * r)', 12), 'timed')}, {_r(_SHARPE.format('r', 12), 'held')}, {_r('avg(p)', 'mean_position')} FROM (SELECT least(greatest(50.0 * avg(forecast), 0), 1.5) AS p, avg(ret_excess_lead1) AS r FROM one GROUP BY month)"),
     "positive_forecasts": _q(f"SELECT permno, month, {_r('greatest(0.0, forecast)', 'forecast')} FROM one"),
     "hist_mean_benchmark": _q(f"SELECT permno, month, {_r('avg(ret_excess) OVER (PARTITION BY permno ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'hist_mean')} FROM panel"),
-    "sign_restricted_forecast": _q(f"SELECT permno, month, {_r('hist_mean')}, {_r('CASE WHEN b > 0 THEN a + b * disc ELSE hist_mean END', 'restricted')} FROM rows WHERE n >= 12", _REGRESSION),
+    "sign_restricted_forecast": _q(f"SELECT permno, month, {_r('hist_mean')}, {_r('CASE WHEN n >= 12 AND b > 0 THEN a + b * disc ELSE hist_mean END', 'restricted')} FROM rows", _REGRESSION),
     "drop_importance_linear": _importance({"disc": "0.8 * disc", "qty": "0.01 * qty", "tax": "-0.5 * tax"}),
     "group_importance": _importance({"terms": "0.8 * disc - 0.5 * tax", "trade": "0.01 * qty"}),
     "ssd_importance": _q(" UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'{b!r}::DOUBLE * {b!r}::DOUBLE * count(*)', 'ssd')} FROM panel" for c, b in (("disc", 0.8), ("qty", 0.01), ("tax", -0.5)))),

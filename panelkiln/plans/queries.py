@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import divide, plain
@@ -282,8 +282,7 @@ def hist_mean_benchmark(spark, d):
 
 def sign_restricted_forecast(spark, d):
     rows = E.sign_restricted(_panel(spark, d), TARGET, "disc", 1)
-    history = F.count("*").over(Window.partitionBy("permno").orderBy("month").rowsBetween(Window.unboundedPreceding, -1))
-    return _out(rows.withColumn("n", history).where("n >= 12"), *KEYS, "hist_mean", "restricted")
+    return _out(rows, *KEYS, "hist_mean", "restricted")
 
 
 def _fixed_linear() -> linear.Linear:

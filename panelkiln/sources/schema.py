@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +11,25 @@ DUMMY_PREFIX, MACRO_PREFIX, INTERACTION_MARK = "sic2_", "macro_", "__x__"
 MACROS = ("dp", "ep", "bm", "ntis", "tbl", "tms", "dfy", "svar")
 
 
-@dataclass(frozen=True)
-class PanelSchema:
-    """Names of the special columns; date, asset and target must exist."""
+#: What the special columns are for, and their usual names. The first three must exist.
+USUAL = {"date": "month", "asset": "permno", "target": "ret_excess_lead1", "weight": "market_equity", "industry": "sic2"}
+NEEDED = ("date", "asset", "target")
+#: Columns of a panel that are neither features nor special.
+CARRIED = frozenset("yyyymm ret ret_excess next_month me rf rf_welch_goyal rf_ff mktrf smb hml rmw cma umd split forecast".split())
 
-    date: str = "month"
-    asset: str = "permno"
-    target: str = "ret_excess_lead1"
-    weight: str = "market_equity"
-    industry: str = "sic2"
-    reserved: tuple[str, ...] = field(default=("yyyymm", "ret", "ret_excess", "next_month", "me", "rf", "rf_welch_goyal", "rf_ff", "mktrf", "smb", "hml", "rmw", "cma", "umd", "split", "forecast"))
 
-    @property
-    def required(self) -> tuple[str, ...]:
-        return (self.date, self.asset, self.target)
+def named(names: dict[str, str] | None = None) -> dict[str, str]:
+    """The usual names, some of them replaced: {"date": "period"} renames one purpose. Unknown purposes are an error."""
+    unknown = sorted(set(names or ()) - set(USUAL))
+    if unknown:
+        raise ValueError(f"no special columns: {', '.join(unknown)}")
+    return USUAL | (names or {})
 
 
-def validate(panel: DataFrame, schema: PanelSchema = PanelSchema()) -> DataFrame:
+def validate(panel: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """The panel itself; ValueError naming the required columns that are missing."""
-    missing = sorted(set(schema.required) - set(panel.columns))
+    own = named(names)
+    missing = sorted({own[k] for k in NEEDED} - set(panel.columns))
     if missing:
         raise ValueError(f"panel lacks {', '.join(missing)}")
     return panel
@@ -58,9 +56,9 @@ def choose_columns(df: DataFrame, columns: list[str] | None = None, identifiers:
     return [c for c in numeric(df) if c.lower() not in names]
 
 
-def roles(panel: DataFrame, schema: PanelSchema = PanelSchema()) -> dict[str, list[str]]:
+def roles(panel: DataFrame, names: dict[str, str] | None = None) -> dict[str, list[str]]:
     """characteristics, dummies, macros and interactions of a panel, in column order."""
-    special = {*schema.required, schema.weight, schema.industry, *schema.reserved}
+    special = {*named(names).values(), *CARRIED}
     found: dict[str, list[str]] = {"characteristics": [], "dummies": [], "macros": [], "interactions": []}
     for c in numeric(panel):
         if INTERACTION_MARK in c:
@@ -74,15 +72,15 @@ def roles(panel: DataFrame, schema: PanelSchema = PanelSchema()) -> dict[str, li
     return found
 
 
-def select_features(panel: DataFrame, listed: list[str] | None = None, manifest: dict[str, list[str]] | None = None, schema: PanelSchema = PanelSchema()) -> list[str]:
+def select_features(panel: DataFrame, listed: list[str] | None = None, manifest: dict[str, list[str]] | None = None, names: dict[str, str] | None = None) -> list[str]:
     """Features in order of preference: a list (missing ones are an error), a manifest's, or all by role."""
     if listed:
         absent = sorted(set(listed) - set(panel.columns))
         if absent:
             raise ValueError(f"features not in the panel: {', '.join(absent)}")
         return list(listed)
-    own = manifest or roles(panel, schema)
-    return [c for k in ("characteristics", "dummies", "macros", "interactions") for c in own.get(k, []) if c in panel.columns]
+    own = manifest or roles(panel, names)
+    return [c for k in ("characteristics", "macros", "dummies", "interactions") for c in own.get(k, []) if c in panel.columns]
 
 
 def duplicate_keys(panel: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import nan_to_null
 from panelkiln.functions.ranks import rank_minmax_scaled
-from panelkiln.sources.schema import PanelSchema, choose_columns, roles, validate
+from panelkiln.sources.schema import choose_columns, named, roles, validate
 
 RAW_TABLES = ("stock_returns", "stock_characteristics", "industry_dummies", "welch_goyal_macros", "fama_french_factors")
 REPORTS = ("sample_summary", "model_r2", "model_dm_tests", "decile_portfolios", "long_short_performance", "variable_importance")
@@ -20,14 +20,16 @@ def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet")) for name in RAW_TABLES}
 
 
-def load_panel(spark: SparkSession, path: str, schema: PanelSchema = PanelSchema()) -> DataFrame:
+def load_panel(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """A stored panel, checked. Its order is left open: whatever needs one orders its windows."""
-    return validate(nan_to_null(spark.read.parquet(path)), schema).withColumn(schema.date, F.to_date(schema.date))
+    date = named(names)["date"]
+    return validate(nan_to_null(spark.read.parquet(path)), names).withColumn(date, F.to_date(date))
 
 
-def write_panel(panel: DataFrame, path: str, schema: PanelSchema = PanelSchema()) -> None:
+def write_panel(panel: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
     """Parquet by year, sorted within files, so that date filters prune folders and row groups."""
-    panel.withColumn("year", F.year(schema.date)).repartition("year").sortWithinPartitions(schema.date, schema.asset).write.mode("overwrite").partitionBy("year").parquet(path)
+    own = named(names)
+    panel.withColumn("year", F.year(own["date"])).repartition("year").sortWithinPartitions(own["date"], own["asset"]).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -55,17 +57,17 @@ def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
         write_csv(df, f"{folder}/{name}")
 
 
-def manifest(panel: DataFrame, schema: PanelSchema = PanelSchema()) -> DataFrame:
+def manifest(panel: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """One row: rows, columns, the features of each role and the special columns."""
-    own = roles(panel, schema)
+    own, special = roles(panel, names), named(names)
     lists = [F.array(*map(F.lit, own[k])).cast("array<string>").alias(k) for k in ("characteristics", "dummies", "macros")]
-    names = [F.lit(getattr(schema, k)).alias(f"{k}_column") for k in ("target", "date", "asset", "weight")]
-    return panel.agg(F.count("*").alias("rows")).select("rows", F.lit(len(panel.columns)).cast("long").alias("columns"), *lists, *names)
+    columns = [F.lit(special[k]).alias(f"{k}_column") for k in ("target", "date", "asset", "weight")]
+    return panel.agg(F.count("*").alias("rows")).select("rows", F.lit(len(panel.columns)).cast("long").alias("columns"), *lists, *columns)
 
 
-def write_manifest(panel: DataFrame, path: str, schema: PanelSchema = PanelSchema(), interactions: DataFrame | None = None) -> None:
+def write_manifest(panel: DataFrame, path: str, names: dict[str, str] | None = None, interactions: DataFrame | None = None) -> None:
     """The manifest as JSON; of long interactions (feature, value) also their shape and number of values that are not 0."""
-    row = manifest(panel, schema)
+    row = manifest(panel, names)
     if interactions is not None:
         row = row.crossJoin(interactions.agg(F.countDistinct("feature").alias("interaction_features"), F.sum((F.col("value") != 0).cast("long")).alias("interaction_nonzero")))
     row.write.mode("overwrite").json(path)
@@ -77,8 +79,9 @@ def write_interactions(block: DataFrame, path: str, keys: tuple[str, ...] = ("pe
 
 
 def read_manifest(spark: SparkSession, path: str, panel: DataFrame) -> dict[str, list[str]]:
-    """The roles of a stored manifest, cut to the columns that the panel has."""
-    row = json.loads(spark.read.json(path).toJSON().first())
+    """The roles of a stored manifest, cut to the columns that the panel has. Dummies may be called industry_dummies."""
+    row = json.loads(spark.read.option("multiLine", True).json(path).toJSON().first())
+    row.setdefault("dummies", row.get("industry_dummies", []))
     return {k: [c for c in row.get(k, []) if c in panel.columns] for k in ("characteristics", "dummies", "macros")}
 
 

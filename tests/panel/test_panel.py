@@ -168,7 +168,7 @@ def test_interactions(spark):
         X.industry_interactions(panel, [])
     built = X.FeatureBuilder(["a", "b"], ["macro_m"], industry="sic2")
     row = built.transform(panel).orderBy("permno").head().features.toArray()
-    assert row.tolist() == [2.0, 0.0, 6.0, 0.0, 2.0, 0.0] and built.n_features == 4
+    assert row.tolist() == [2.0, 0.0, 6.0, 0.0, 2.0, 0.0] and built.n_features == 6
     assert X.interaction_names(["a", "b"], ["s1", "s2"], True) == ["a__x__s1", "b__x__s1", "a__x__s2", "b__x__s2"]
 
 
@@ -218,7 +218,7 @@ def test_elastic_net_huber_equals_a_long_run(sample):
         a += step * u.mean()
         b = b + step * (z.T @ u / len(y) - alpha * 0.5 * b)
         b = np.sign(b) * np.maximum(np.abs(b) - step * alpha * 0.5, 0)
-    fit = linear.elastic_net_huber(df.where("split = 'train'"), FEATURES, "y", alpha=alpha, rounds=60)
+    fit = linear.elastic_net_huber(df.where("split = 'train'"), FEATURES, "y", alpha=alpha, xi=None, rounds=60)
     assert np.allclose(np.array(fit.coefficients) * x.std(0), b, atol=1e-5)
 
 
