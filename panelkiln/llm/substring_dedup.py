@@ -130,8 +130,12 @@ def _piece_runs(piece: pa.RecordBatch):
     within = end < words.of_doc[doc + 1]
     to_byte = np.where(within, np.append(words.starts, 0)[np.where(within, end, 0)], offsets[doc + 1]) - offsets[doc]
     order = np.lexsort((from_byte, h, doc))
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    equal = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    moved = from_byte[order[1:]] != from_byte[order[:-1]]
+    again, once = np.zeros(len(h), bool), np.ones(len(h), bool)
+    again[order[1:]] = equal & moved
+    once[order[1:]] = ~equal | moved  # an anchor can be a run of sentences too
+    h, g, doc, from_byte, to_byte, again = (x[once] for x in (h, g, doc, from_byte, to_byte, again))
     return h, g, doc, from_byte, to_byte, again
 
 
@@ -150,7 +154,7 @@ def _hash_batches(range_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES // 2):
                 h, _, _, _, _, again = _piece_runs(piece)
                 held.append(h[~again])
                 size += len(held[-1])
@@ -193,8 +197,8 @@ def _filter_batches(range_bits: int):
     return run
 
 
-def repeated_filter(texts: DataFrame) -> np.ndarray:
-    """Bits of the hashes that several rows have: all of them, and those that fall on the same bits."""
+def repeated_filter(texts: DataFrame) -> bytes:
+    """Bits of the hashes that several rows have, and of those that fall on the same bits, compressed."""
     amount = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     range_bits = min(FILTER_BITS - 3, max(6, (amount // RANGE_BYTES).bit_length()))
     blocks = map_batches(texts, _hash_batches(range_bits), "part long, block binary")
@@ -203,15 +207,16 @@ def repeated_filter(texts: DataFrame) -> np.ndarray:
     size = 1 << (FILTER_BITS - 3 - range_bits)
     for part, found in map_batches(dealt, _filter_batches(range_bits), "part long, bits binary").collect():
         bits[part * size : (part + 1) * size] = np.frombuffer(zstandard.decompress(found), np.uint8)
-    return bits
+    return zstandard.compress(bits.tobytes())
 
 
-def _run_batches(bits: np.ndarray, inner: bool):
+def _run_batches(packed: bytes, inner: bool):
     """Runs that pass the filter; inner: the places of runs that the same text has before, joined, without hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zstandard.decompress(packed), np.uint8)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES // 2):
                 h, g, doc, from_byte, to_byte, again = _piece_runs(piece)
                 at = _bits(h)
                 keep = np.flatnonzero(~again & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))

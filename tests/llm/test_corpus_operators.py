@@ -1,15 +1,15 @@
 import hashlib
 import random
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from panelkiln.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from panelkiln.llm.components import connected_components
-from panelkiln.llm.pair_merging import PairTable, _merge_long, merge_all
+from panelkiln.llm.pair_merging import PairTable, _merge_by_heap, _merge_long, merge_all
 from panelkiln.llm.textops import utf8
 
 tokenizer_files = pytest.importorskip("public_tokenizers")
@@ -167,7 +167,7 @@ def test_repeats_of_over_50_words_go_wherever_they_begin(spark):
 def test_substring_dedup_filter_only_lets_through_too_much(spark, monkeypatch):
     docs = table(spark, [(k, prose(120, k % 7) + "\n" + prose(60, 50 + k)) for k in range(20)])
     expected = {x.doc_id: x.text for x in substring_dedup.remove_repeated(docs).collect()}
-    monkeypatch.setattr(substring_dedup, "repeated_filter", lambda texts: np.full(1 << (substring_dedup.FILTER_BITS - 3), 255, np.uint8))
+    monkeypatch.setattr(substring_dedup, "repeated_filter", lambda texts: zstandard.compress(np.full(1 << (substring_dedup.FILTER_BITS - 3), 255, np.uint8).tobytes()))
     assert {x.doc_id: x.text for x in substring_dedup.remove_repeated(docs).collect()} == expected
 
 
@@ -240,15 +240,56 @@ def test_array_merging_equals_the_sequential_algorithm():
         flat = np.array([x for s in sequences for x in s], np.int32)
         out, bounds = merge_all(flat, np.concatenate([[0], np.cumsum([len(s) for s in sequences])]), merges)
         assert [out[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
-        assert [_merge_long(np.array(s, np.int32), merges).tolist() if len(s) > 1 else s for s in sequences] == expected
+        one = _merge_long if merges.ordered else _merge_by_heap
+        assert [one(np.array(s, np.int32), merges).tolist() if len(s) > 1 else s for s in sequences] == expected
+    for _ in range(40):  # lists of merges, as tokenizer files have them: each makes a new symbol
+        pairs = []
+        for k in range(30):
+            pairs.append((r.randrange(3 + k), r.randrange(3 + k), k, 3 + k))
+        merges = PairTable(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        long = np.array([r.randrange(3) for _ in range(400)], np.int32)
+        assert merges.ordered and _merge_long(long, merges).tolist() == _merge_by_heap(long, merges).tolist()
 
 
 def odd_texts():
     r = random.Random(6)
     fixed = ["", "It's we'll they're 's 't '' \"'s 'sam 'llama '", "İstanbul ΣΑΣ Å", "123 4a5 ½ Ⅷ", "<|startoftext|>Hi<|endoftext|>", "<s> </s> <unk>", "x" * 3000, "  a   b ", "▁▁ x", "\x00\x1c\x85", "日本 😀"]
     random_texts = [*("".join(chr(r.choice([32, 39, r.randint(97, 122), r.randint(1, 0x2FF), r.randint(0x300, 0x1FFF), 10])) for _ in range(60)) for _ in range(80))]
-    known = lambda t: "".join(c for c in t if unicodedata.category(c) != "Cn")
-    return [*fixed, *map(known, random_texts), prose(500, 3)]
+    late = ["x\u1c89\u1c8ay", "\ua7cb1\ua7cd", "\U0001fae8\u2ffc\U0002ebf0a", "<|endoftext|>\u1c89<|startoftext|>", "\u0378\uffff"]
+    return [*fixed, *late, *random_texts, *thue_morse(), prose(500, 3)]
+
+
+def thue_morse():
+    """Words whose polynomial hashes modulo 2^64 are equal, with any multiplier, to those of their complements."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [f"{word[:n]} {word[:n].translate(str.maketrans('ab', 'ba'))}" for n in (1024, 2048, 4096)]
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    from panelkiln.llm import textops
+
+    for text in thue_morse():
+        data, offsets = utf8(pa.array(text.split()))
+        assert len(set(textops.Words(data, offsets).hashes.tolist())) == 2
+        assert textops.distinct_spans(data, offsets[:-1], offsets[1:])[1].tolist() in ([0, 1], [1, 0])
+    rows = [(k, x) for k, x in enumerate(" ".join(thue_morse()).split())]
+    assert len({r.component_id for r in near_dedup.near_duplicates(table(spark, rows), width=2).collect()}) == 6
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.judged(table(spark, rows), items).where("contaminated").collect()] == [0]
+    repeated = [(0, rows[0][1] + " " + prose(60, 1)), (1, rows[1][1] + " " + prose(60, 2))]
+    assert {r.doc_id: r.text for r in substring_dedup.remove_repeated(table(spark, repeated)).collect()} == dict(repeated)
+
+
+def test_equal_hashes_of_different_spans_stay_apart(monkeypatch):
+    from panelkiln.llm import textops
+
+    monkeypatch.setattr(textops, "span_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
+    values, bounds = np.array([1, 2, 1, 2, 3, 3]), np.array([0, 2, 4, 5, 6, 6])
+    first, which = textops.distinct_spans(values, bounds[:-1], bounds[1:])
+    spans = [values[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [spans[first[k]] for k in which] == spans
 
 
 def test_token_counts_equal_the_library(spark):
@@ -316,12 +357,41 @@ def test_viterbi_equals_brute_force():
     import itertools
 
     draw = np.random.default_rng(3)
-    for n in (1, 2, 5):
-        scores = draw.normal(0, 6, (n, 3))
-        best = max(itertools.product(range(3), repeat=n), key=lambda p: sum(scores[t, k] for t, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
-        padded = np.concatenate([draw.normal(0, 6, (3, 3)), scores])
-        found = language_id.viterbi(padded, np.array([0, 3, 3, 3 + n]), 4.0)[3:]
-        assert found.tolist() == list(best)
+    assert language_id.viterbi(np.array([[0, 20, -100], [0, -100, 20.0]]), np.array([0, 2]), 25.0).tolist() == [1, 2]
+    for _ in range(400):
+        labels, sizes = int(draw.integers(2, 6)), draw.integers(0, 6, draw.integers(1, 4))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        scores = draw.choice([-100, -26, -24, 0, 5, 13, 20, 24, 26], (bounds[-1], labels)) + draw.random((bounds[-1], labels))
+        found = language_id.viterbi(scores, bounds, 25.0)
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            paths = itertools.product(range(labels), repeat=e - s)
+            best = max(paths, key=lambda p: sum(scores[s + t, k] for t, k in enumerate(p)) - 25.0 * sum(x != y for x, y in zip(p, p[1:], strict=False)))  # noqa: B023
+            assert found[s:e].tolist() == list(best)
+
+
+def test_ftrl_equals_the_plain_recursion():
+    draw = np.random.default_rng(4)
+    rows = [np.append(np.unique(draw.integers(0, 60, 12)), 1 << toxicity.BITS).astype(np.int32) for _ in range(300)]
+    labels = np.array([float(r[0] < 3) for r in rows])
+    z, n = {}, {}
+
+    def weight(k):
+        limit = 0.0 if k == 1 << toxicity.BITS else toxicity.L1
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= limit else -(x - np.sign(x) * limit) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(rows)).tolist():
+            w = {k: weight(k) for k in rows[i].tolist()}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+            for k, old in w.items():
+                have = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((have + g * g) ** 0.5 - have**0.5) / toxicity.ALPHA * old
+                n[k] = have + g * g
+    buckets, found = toxicity.learned(list(rows), labels)
+    got = dict(zip(buckets.tolist(), found.tolist(), strict=True))
+    assert all(abs(got.get(k, 0.0) - weight(k)) < 1e-9 for k in z) and np.count_nonzero(found) > 2
 
 
 def test_language_spans(spark):
@@ -391,3 +461,35 @@ def test_chat_windows_read_back(spark):
     two = [r for r in made.orderBy("window").collect() if r.conv_id == 2]
     assert len(two) > 3 and all(chat_format.read_back(r.formatted)[0] == ("system", "be kind") for r in two) and two[1].repeated > 1
     assert chat_format.conversation_digests(chat_format.windows(talks.limit(0))).count() == 0
+
+
+def test_chat_windows_hold_their_budget(spark):
+    rows = [(1, 0, "system", prose(20, 1)), *((1, k, ("user", "assistant")[k % 2], prose(5 + 7 * (k % 11), k)) for k in range(1, 80))]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history, path in ((400, 100, None), (400, 390, None), (60, 20, None), (300, 200, tokenizer_files.path("word_bpe_49k.json"))):
+        made = chat_format.windows(talks, budget, history, path).orderBy("window").collect()
+        new = [t for r in made for t in chat_format.read_back(r.formatted)[r.repeated :]]
+        assert new == [(r, x) for _, _, r, x in rows]
+        for r in made:
+            turns = chat_format.read_back(r.formatted)
+            assert r.tokens <= budget or len(turns) == 1
+            assert [(t["stop"] - t["start"]) for t in r.loss] == [len(x) for role, x in turns[r.repeated :] if role == "assistant"]
+    wide = chat_format.windows(talks, 1000, 900).collect()
+    assert max(r.repeated for r in wide) > 10
+
+
+def test_chat_reads_long_texts_back():
+    text = "x</turn>\n\\" * 400_000
+    head, body = chat_format.written("user: ###", text)
+    assert chat_format.read_back(head + body + chat_format.TURN_END) == [("user: ###", text)]
+
+
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_token_counts", "op3_language", "op4_toxicity", "op5_url_filter", "op6_fingerprints", "op7_decontamination", "op8_near_dedup", "op9_bpe", "op10_substring_dedup"])
+def test_registered_queries_return_every_row(spark, name):
+    from panelkiln.llm.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES[name](spark, folder)
+    of = {"op1_chat_format": "conversations", "op5_url_filter": "pages"}.get(name, "documents")
+    whole = spark.read.parquet(f"{folder}/{of}.parquet")
+    assert rows.count() == (whole.select("conv_id").distinct().count() + 1 if name == "op1_chat_format" else whole.count())
