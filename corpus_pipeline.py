@@ -1,4 +1,9 @@
-"""A training-data pipeline over the documents table, stage by stage."""
+"""A training-data pipeline over the documents table, stage by stage.
+
+All stages but the last return the columns of documents (COLUMNS); other columns of an input are dropped. Rows without
+doc_id stay: they are scored for toxicity, and neither compared nor matched. Rows that repeat a doc_id stay or go
+together in the near-duplicate and decontamination stages.
+"""
 
 from __future__ import annotations
 
