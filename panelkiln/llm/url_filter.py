@@ -6,7 +6,9 @@ terms with no letter or digit (ASCII) next to them, and the weights of the disti
 SOFT_HITS distinct soft ones, block.
 
 Null urls and urls without `://` have an empty host and path; a null url is allowed. Repeated rows are judged alike.
-Rules and vocabulary live in each task: at most MOST_ENTRIES entries. Other columns are ignored.
+Rules and vocabulary live in each task: at most MOST_ENTRIES entries. Other columns are ignored. Terms are lower-cased
+(A-Z) too; empty ones are left out, and one that is both strict and soft is strict. The lists here are a small default:
+`read_vocabulary` takes a table of terms instead.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm.sparkops import map_batches, table
+from panelkiln.llm.sparkops import bounded_rows, map_batches, table
 
 MOST_ENTRIES = 200_000
 SOFT_HITS = 2
@@ -51,7 +53,8 @@ class Judge:
             self.rules.setdefault(host, []).append((path, verdict))
         self.limit = soft_hits
         self.terms = ahocorasick.Automaton()
-        for term, weight in [*((t, 1) for t in soft), *((t, soft_hits) for t in strict)]:
+        weights = {t.translate(_LOWER): w for terms, w in ((soft, 1), (strict, soft_hits)) for t in terms if t}
+        for term, weight in weights.items():
             self.terms.add_word(term, (term, weight))
         if len(self.terms):
             self.terms.make_automaton()
@@ -105,6 +108,12 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
     return map_batches(pages.select("page_id", "url"), run, "page_id long, host string, path string, rule string, verdict string, weight long")
 
 
+def read_vocabulary(terms: DataFrame) -> tuple[list[str], list[str]]:
+    """The strict and the soft terms of a table (term, strict boolean); null counts as soft, null terms are left out."""
+    rows = bounded_rows(terms.where("term IS NOT NULL").select("term", "strict").distinct(), MOST_ENTRIES, "vocabulary")
+    return sorted(r[0] for r in rows if r[1]), sorted(r[0] for r in rows if not r[1])
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
