@@ -12,6 +12,8 @@ As text a fingerprint has 19 hexadecimal digits for each chunk, digest and lengt
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from panelkiln.llm.sparkops import map_batches, table
 from panelkiln.llm.textops import mix, pieces, ranges, sequence_hashes, sequence_sums, utf8
 
-LEAST, NORMAL, MOST = 24, 64, 256
-_STRICT, _LOOSE = np.uint32(24), np.uint32(28)  # shifts that leave 8 and 4 bits
+LEAST, NORMAL, MOST = 16, 32, 128
+#: Stands for a missing doc_id: below all ids.
+_NOWHERE = -1.7e308
+_STRICT, _LOOSE = np.uint32(25), np.uint32(29)  # shifts that leave 7 and 3 bits
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 61) >> np.uint64(32)).astype(np.uint32)
 _HEX = np.frombuffer(b"".join(f"{b:02x}".encode() for b in range(256)), np.uint8).reshape(256, 2)
 
@@ -116,24 +120,35 @@ def with_successors(documents: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text, bucket, guest: each document stands before its successor in descending order of doc_id.
 
     Rows are sorted within buckets of adjacent ids. Each bucket ends with a guest, a copy of the first row of the next
-    bucket (after the last: of the first), so that no global order is needed. Equal doc_ids follow a hash of their
-    texts; rows without doc_id come last.
+    bucket (after the last: of the first), so that no global order is needed. Equal doc_ids stand in descending order of
+    a hash of their texts, rows without doc_id come last; where one id (or none) fills several buckets, that hash
+    divides its rows among them.
     """
-    keyed = documents.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
-    ids = keyed.select(F.col("key").cast("double").alias("place"))
-    cuts = sorted(set(ids.approxQuantile("place", [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
-    placed = keyed.withColumn("place", F.col("key").cast("double"))
-    if cuts:
-        bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="bucket_number").transform(placed)
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(_NOWHERE))
+    keyed = documents.select(
+        "doc_id", "text", place.alias("place"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("digest"),
+    )
+    cuts = keyed.approxQuantile("place", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+    # An id that is a cut more than once gets buckets of its own. From 2 ** 53 on a double may stand for several ids.
+    hot = {v: n for v, n in Counter(cuts).items() if n > 1 and (abs(v) < 2.0**53 or v == _NOWHERE)}
+    splits = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)})
+    if splits:
+        numbered = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="place", outputCol="number").transform(keyed)
     else:
-        bucketed = placed.withColumn("bucket_number", F.lit(0))
-    bucketed = bucketed.select("doc_id", "text", "key", F.col("bucket_number").cast("int").alias("bucket"))
-    firsts = sorted(bucketed.groupBy("bucket").agg(F.max("key")).collect(), reverse=True)  # a row for each bucket
-    guests = [(firsts[(k + 1) % len(firsts)][1], firsts[k][0]) for k in range(len(firsts))]
-    guest_rows = documents.sparkSession.createDataFrame(guests or [(0, -1)], "key long, target int")
-    copies = bucketed.join(F.broadcast(guest_rows), "key").select("doc_id", "text", "key", F.col("target").alias("bucket"), F.lit(True).alias("guest"))
-    both = bucketed.withColumn("guest", F.lit(False)).unionByName(copies)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.xxhash64("text")).select("doc_id", "text", "bucket", "guest")
+        numbered = keyed.withColumn("number", F.lit(0))
+    share = F.lit(0)
+    if hot:  # at most buckets / 2 of them
+        parts = F.element_at(F.create_map(*(F.lit(x) for v, n in hot.items() for x in (v, n))), F.col("place"))
+        share = F.coalesce(F.floor((F.col("digest") / 2.0**64 + 0.5) * parts), F.lit(0))
+    bucket = F.col("number").cast("int") * buckets + F.least(share, F.lit(buckets - 1)).cast("int")
+    bucketed = numbered.select("doc_id", "text", "known", "key", "digest", bucket.alias("bucket"))
+    order = ("known", "key", "digest")
+    firsts = sorted(bucketed.groupBy("bucket").agg(F.max(F.struct(*order)).alias("first")).collect(), reverse=True)  # a row for each bucket
+    guests = [(*firsts[(k + 1) % len(firsts)][1], firsts[k][0]) for k in range(len(firsts))]
+    guest_rows = documents.sparkSession.createDataFrame(guests or [(False, 0, 0, -1)], "known boolean, key long, digest long, target int")
+    copies = bucketed.join(F.broadcast(guest_rows), list(order)).drop("bucket").dropDuplicates(["target"]).withColumnRenamed("target", "bucket")
+    both = bucketed.withColumn("guest", F.lit(False)).unionByName(copies.withColumn("guest", F.lit(True)))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "guest", *(F.col(c).desc() for c in order)).select("doc_id", "text", "bucket", "guest")
 
 
 def edited(text: str, following: str) -> str:
