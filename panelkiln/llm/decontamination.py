@@ -8,7 +8,9 @@ others start from the positions of their rarest word and intersect the lists of
 offset. What is left are exact phrase matches. With `slack`, windows without an exact match whose words all stand within
 width + slack words of one document, in any order, give proximity matches.
 
-Test items are searched in blocks of at most BLOCK_WORDS words, whose size does not depend on the number of items.
+Test items are packed into blocks of at most BLOCK_BYTES of text; a longer item is cut into pieces that share width - 1
+words, so that it has the same windows. The driver holds one block at a time: the matches of a block are written to the
+shared folder before the next one is read.
 Null texts and texts without words have no words and no matches; rows without doc_id or item_id are left out of the
 matches. Repeated item_ids count as one item, repeated doc_ids as one document whose words are those of all its rows.
 Other columns are ignored.
@@ -16,6 +18,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,10 @@ from panelkiln.llm.textops import ALPHANUMERIC, Words, binary_column, pieces, ra
 
 WIDTH = 13
 SHARD_BYTES = 1 << 21
-BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 2_000_000
 _INDEX = "ids binary, firsts binary, terms binary, bounds binary, places binary"
+#: The same words as those of ALPHANUMERIC.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _MATCH = "doc_id long, item_id long, kind string, start long, stop long"
 
 
@@ -179,21 +184,61 @@ def word_counts(index: DataFrame) -> DataFrame:
     return map_batches(index.select("ids", "firsts"), _count_batches, "doc_id long, n_words long")
 
 
-def matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int | None = None) -> DataFrame:
-    """doc_id, item_id, kind (phrase or near), start and stop: matched words of documents, windows of an item joined.
+def _item_pieces(text: str, width: int, limit: int) -> Iterator[str]:
+    """The text itself, or if it is longer than `limit` bytes, pieces that together have the same windows."""
+    size = len(text.encode())
+    words = [m.span() for m in _WORD.finditer(text)] if size > limit else []
+    if len(words) <= width:
+        yield text if size <= limit else " ".join(text[a:b] for a, b in words)
+        return
+    first = 0
+    while first + width <= len(words):
+        last = first + width  # as many words as fit, at least one window
+        while last < len(words) and 4 * (words[last][1] - words[first][0]) <= limit:
+            last += 1
+        yield text[words[first][0] : words[last - 1][1]]
+        first = last - width + 1
 
-    Items are brought to the driver block by block, BLOCK_WORDS words at once at most, and searched over all shards.
-    """
+
+def _block_batches(width: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            out: list[tuple[int, int, str]] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in _item_pieces(text, width, limit):
+                    size = len(piece.encode())
+                    if held and held + size > limit:
+                        block, held = block + 1, 0
+                    held += size
+                    out.append((block, item, piece))
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["block", "item_id", "text"])
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """block, item_id, text: the test items packed into blocks of bounded size, stored in the shared folder."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    blocks = max(1, -(-size // BLOCK_WORDS))  # a word has a byte at least
+    packed = map_batches(items.repartition(max(1, -(-size // BLOCK_BYTES))), _block_batches(width, BLOCK_BYTES), "block long, item_id long, text string")
+    return cut(packed)
+
+
+def matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int | None = None) -> DataFrame:
+    """doc_id, item_id, kind (phrase or near), start and stop: matched words of documents, windows of an item joined."""
+    items = item_blocks(benchmark, width)
+    blocks = sorted(r[0] for r in items.select("block").distinct().collect())  # one number for each BLOCK_BYTES
     found = None
-    for k in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        block = [(r[0], r[1]) for r in rows.collect()]
-        if block:
-            part = map_batches(index, _search_batches(block, width, slack), _MATCH)
-            found = part if found is None else found.union(part)
+    for block in blocks:
+        rows = [(r[0], r[1]) for r in items.where(F.col("block") == block).select("item_id", "text").collect()]
+        part = map_batches(index, _search_batches(rows, width, slack), _MATCH)
+        if len(blocks) > 1:
+            part = cut(part)
+        found = part if found is None else found.union(part)
     return index.sparkSession.createDataFrame([], _MATCH) if found is None else found
 
 

@@ -195,13 +195,20 @@ def brute_contamination(docs, items):
 
 
 def test_decontamination_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 300)  # several blocks of items
-    items = [(k, prose(30, 900 + k)) for k in range(8)] + [(50, "Short one, here"), (51, "..."), (52, None), (50, "Short one, here")]
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)  # several blocks of items, and one item of several blocks
+    items = [(k, prose(30, 900 + k)) for k in range(8)] + [(60, prose(300, 1)), (61, "x" * 900 + " " + "y" * 20)] + [(50, "Short one, here"), (51, "..."), (52, None), (50, "Short one, here")]
     docs = [(1, prose(60, 1) + " " + items[0][1]), (2, items[3][1][20:150].upper()), (3, prose(900, 2) + " short-one: HERE! " + prose(10, 3)), (4, None), (5, ""), (6, items[0][1] + " " + items[0][1] + " " + items[1][1]), (7, prose(100, 9))]
     found = decontamination.judged(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found} == brute_contamination(docs, items)
 
 
+def test_item_pieces_keep_all_windows():
+    words = re.findall(r"[a-z]+", text := prose(400, 77).lower())
+    parts = [re.findall(r"[a-z]+", p) for p in decontamination._item_pieces(text, 13, 300)]
+    assert len(parts) > 3 and all(len(p) >= 13 for p in parts)
+    assert [tuple(p[k : k + 13]) for p in parts for k in range(len(p) - 12)] == [tuple(words[k : k + 13]) for k in range(len(words) - 12)]
+
+
 def test_proximity_matches(spark):
     item = "alpha beta gamma delta epsilon"
     docs = [(1, "one alpha gamma x beta delta epsilon two"), (2, "alpha beta gamma and very much later comes delta and epsilon"), (3, item), (4, "alpha beta gamma delta")]
@@ -430,6 +437,77 @@ def test_urls_of_empty_tables_and_without_terms(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules=(), strict=(), soft=()).collect()} == {"allow"}
 
 
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("BadWord", True), ("meh", False), ("meh", True), ("so-so", None), ("blah", False), (None, True), ("", False)], "term string, strict boolean")
+    strict, soft = url_filter.read_vocabulary(terms)
+    assert strict == ["BadWord", "meh"] and soft == ["", "blah", "meh", "so-so"]
+    judge = url_filter.Judge([], strict, soft, 2)
+    of = [judge.judge(f"http://h.org/{x}")[3] for x in ("badword", "BADWORD/x", "badwords", "meh", "so-so", "so-so/blah", "blah/blah", "so-so_blah")]
+    assert of == ["block", "block", "allow", "block", "allow", "block", "allow", "block"]
+
+
+def test_urls_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from panelkiln.llm import oracles
+
+    r = random.Random(8)
+    parts = ["http://", "://", "HTTPS://", "a.example.com", "example.com", "EXAMPLE.net", "net", "badnet", "org", "/", "/en/", "/en/7", "/de/8", "/es/", "?", "#", "free", "win", "porn", "-", "_", "é", ".", "com", ":80", "x" * 5000, " "]
+    urls = [None, "", "://", "http://"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    pages = list(enumerate(urls))
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    con.execute(f"CREATE TABLE want AS {oracles.OP5}")
+    found = url_filter.op5_url_filter(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM want").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in found.collect())
+
+
+def brute_chunks(text):
+    """The chunks of a text by the rule, a byte at a time."""
+    gear, data, out, start = fingerprints._GEAR.tolist(), text.encode(), [], 0
+    while start < len(data):
+        for end in range(start + 1, len(data) + 1):
+            h = sum(gear[data[end - 1 - k]] << k for k in range(min(16, end))) % (1 << 32)
+            n = end - start
+            if n == fingerprints.MOST or fingerprints.LEAST <= n and h >> int(fingerprints._STRICT if n < fingerprints.NORMAL else fingerprints._LOOSE) == 0:
+                break
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def test_fingerprints_equal_brute_force():
+    texts = [prose(n, 300 + n) for n in (1, 3, 9, 40, 200, 500)] + ["", "a" * 1000, "漢字" * 200, prose(40, 340) + prose(200, 500)]
+    f = fingerprints.Fingerprints(*utf8(pa.array(texts)))
+    data, offsets = utf8(pa.array(texts))
+    doc, start, end = fingerprints.chunk_bounds(data, offsets)
+    chunks = [brute_chunks(t) for t in texts]
+    assert [bytes(data[a:b]) for a, b in zip(start, end)] == [c for own in chunks for c in own] and np.array_equal(doc, np.repeat(np.arange(len(texts)), [len(c) for c in chunks]))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    near = fingerprints.likeness(f, np.array([p[0] for p in pairs]), f, np.array([p[1] for p in pairs]))
+    for (i, j), found in zip(pairs, near):
+        a, b = set(chunks[i]), set(chunks[j])
+        least = min(sum(map(len, a)), sum(map(len, b)))
+        assert found == pytest.approx(sum(map(len, a & b)) / least if least else float(not a and not b))
+
+
+def test_successors_where_one_id_or_none_fills_buckets(spark):
+    rows = [(None, f"none {k}") for k in range(400)] + [(7, f"seven {k}") for k in range(300)] + [(k, f"own {k}") for k in range(100)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    found = fingerprints.with_successors(table(spark, rows), 16)
+    assert found.where("NOT guest").count() == len(rows) and found.where("guest").count() == found.select("bucket").distinct().count()
+    assert max(r[1] for r in found.groupBy("bucket").count().collect()) < 200
+    # Following bucket after bucket gives each row once, ids falling, rows without one last.
+    rows_of = {}
+    for r in found.orderBy("bucket", "guest").collect():
+        rows_of.setdefault(r.bucket, []).append(r)
+    whole = [r for b in sorted(rows_of, reverse=True) for r in sorted((x for x in rows_of[b] if not x.guest), key=lambda x: (x.doc_id is not None, x.doc_id or 0), reverse=True)]
+    ids = [r.doc_id for r in whole]
+    assert ids == sorted((i for i, _ in rows if i is not None), reverse=True) + [None] * 400
+    done = found.mapInArrow(fingerprints._edited_batches, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    assert done.count() == len(rows)
+
+
 def test_fingerprints_find_moved_text_and_successors(spark, hostile):
     base = prose(800, 1)
     f = fingerprints.Fingerprints(*utf8(pa.array([base, "new words in front " + base, prose(800, 2), "", base])))
