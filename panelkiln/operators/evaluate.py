@@ -108,6 +108,18 @@ def importance_row(feature: str, baseline: DataFrame, ablated: DataFrame, actual
     return both.select(F.lit(feature).alias("feature"), "baseline_r2", "ablated_r2", (F.col("baseline_r2") - F.col("ablated_r2")).alias("importance"))
 
 
+def rescored_importance(model, panel: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """feature, baseline_r2, ablated_r2, importance of any fitted model: its forecasts are made anew with the feature set to 0.
+
+    Each row is scored once as it is and once for each feature, all in one plan and one aggregate.
+    """
+    long = panel.withColumn("__without", F.explode(F.array(F.lit(""), *map(F.lit, features))))
+    changed = long.select(*(F.when(F.col("__without") == c, 0.0).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in long.columns))
+    scored = model.predict(changed, "__forecast").groupBy("__without").agg(oos_r2(target, "__forecast").alias("r2")).agg(F.map_from_entries(F.collect_list(F.struct("__without", "r2"))).alias("r2"))
+    each = scored.select(F.element_at("r2", F.lit("")).alias("baseline_r2"), F.explode("r2").alias("feature", "ablated_r2")).where("feature <> ''")
+    return each.select("feature", "baseline_r2", "ablated_r2", (F.col("baseline_r2") - F.col("ablated_r2")).alias("importance"))
+
+
 def sample_summary(panel: DataFrame, date: str = "month", asset: str = "permno", industry: str = "sic2") -> DataFrame:
     monthly = panel.groupBy(date).agg(F.count("*").alias("n"), F.countDistinct(industry).alias("k"))
     whole = panel.agg(F.count("*").alias("n_rows"), F.countDistinct(asset).alias("n_assets"), F.min(date).alias("first_month"), F.max(date).alias("last_month"))

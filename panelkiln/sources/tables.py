@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelkiln.functions.nulls import nan_to_null
 from panelkiln.functions.ranks import rank_minmax_scaled
@@ -15,9 +19,28 @@ RAW_TABLES = ("stock_returns", "stock_characteristics", "industry_dummies", "wel
 REPORTS = ("sample_summary", "model_r2", "model_dm_tests", "decile_portfolios", "long_short_performance", "variable_importance")
 
 
-def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five raw tables, NaN turned into NULL. Scans stay lazy, so each use reads its own columns."""
-    return {name: nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet")) for name in RAW_TABLES}
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share. Only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    folder = given.get() if given.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def read_raw(spark: SparkSession, folder: str, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
+    """The five raw tables, NaN turned into NULL. Scans stay lazy, so each use reads its own columns.
+
+    A table with a given schema is read with it; columns that its files lack are then NULL.
+    """
+    def read(name: str) -> DataFrame:
+        reader = spark.read.schema(schemas[name]) if schemas and name in schemas else spark.read
+        return nan_to_null(reader.parquet(f"{folder}/{name}.parquet"))
+
+    return {name: read(name) for name in RAW_TABLES}
 
 
 def load_panel(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:

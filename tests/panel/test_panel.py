@@ -282,3 +282,11 @@ def test_turnover_and_windows(spark):
     found = Q.turnover(frame(spark, rows, "permno long, month date, bucket int, market_equity double")).collect()
     assert [(r.month, r.turnover) for r in found] == [(M[1], 0.5)]
     assert nan_to_null(frame(spark, [(float("nan"),)], "x double")).head().x is None
+
+
+def test_rescored_importance_of_a_tree(spark):
+    rows = spark.createDataFrame([(float(k % 2), float(k % 7), float(k % 2)) for k in range(200)] + [(None, 1.0, 0.0)], "a double, b double, y double")
+    model = trees.regression_tree(rows, ["a", "b"], "y", depth=2, leaf=1)
+    found = {r.feature: r for r in E.rescored_importance(model, rows, "y", ["a", "b"]).collect()}
+    assert found["a"].baseline_r2 == 1.0 and found["a"].importance == 1.0 and found["b"].importance == 0.0
+    assert E.rescored_importance(model, rows.limit(0), "y", ["a", "b"]).count() == 0

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__
+from panelkiln.plans import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["panel_build", "rank_minmax_scaled", "asof_release_lag", "dm_matrix", "turnover", "ols3_forecast", "decile_table", "full_evaluation"])
+@pytest.mark.parametrize("name", ["panel_build", "rank_minmax_scaled", "asof_release_lag", "dm_matrix", "turnover", "ols3_forecast", "decile_table", "full_evaluation", *stored.QUERIES])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
