@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelkiln.llm.components import connected_components
 from panelkiln.llm.sparkops import cut, map_batches, table
-from panelkiln.llm.textops import NON_SPACE, Words, binary_column, mix, pieces, ranges, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, pieces, ranges, sequence_hashes, sequence_sums, utf8
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
@@ -114,10 +114,14 @@ def packed(sketch: np.ndarray) -> np.ndarray:
     return (low << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
+#: Bytes of compressed text of either side handled at once; a few times as many when unpacked.
+PACKED_BYTES = 1 << 18
+
+
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES // 2):
                 h, bounds = shingle_sets(*utf8(piece.column(1)), width)
                 n = np.diff(bounds)
                 full = n > 0
@@ -177,8 +181,8 @@ def _likely(percent: int) -> Column:
 def _verify_batches(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outer in pieces(batch, "text_a"):
-                for piece in pieces(outer, "text_b"):
+            for outer in pieces(batch, "text_a", PACKED_BYTES):
+                for piece in pieces(outer, "text_b", PACKED_BYTES):
                     (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
                     linked = np.zeros(piece.num_rows, bool)
                     for i in range(piece.num_rows):
@@ -201,8 +205,8 @@ def _difference_batches(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outer in pieces(batch, "text_a"):
-                for piece in pieces(outer, "text_b"):
+            for outer in pieces(batch, "text_a", PACKED_BYTES):
+                for piece in pieces(outer, "text_b", PACKED_BYTES):
                     (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
                     elements, extras, sizes, ws, slacks = [], [], [], [], []
                     for i in range(piece.num_rows):
