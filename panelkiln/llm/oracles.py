@@ -72,3 +72,30 @@ FROM c LEFT JOIN d USING (page_id) LEFT JOIN e USING (page_id)
 
 
 OP5 = _op5()
+
+
+def _op13() -> str:
+    """Ten rounds, one after the other, each a materialised step."""
+    near = (
+        "a{0} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(distance := list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, cluster := k)) AS near "
+        "FROM kept, c{0} GROUP BY vec_id, v, n)"
+    )
+    means = (
+        "m{0} AS (SELECT k, list(floor_div ORDER BY i) AS c FROM (SELECT near.cluster AS k, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div "
+        "FROM a{0}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY k), c{1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c)::BIGINT[] AS c FROM c{0} o LEFT JOIN m{0} m ON m.k = o.k)"
+    )
+    steps = ", ".join(x for i in range(10) for x in (near.format(i), means.format(i, i + 1)))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS n FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64
+),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS k, v AS c FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY 1 NULLS LAST, 2 LIMIT 8)),
+{steps}, {near.format(10)},
+s AS (SELECT near.cluster AS cluster, sum(near.distance)::BIGINT AS cluster_inertia FROM a10 GROUP BY 1)
+SELECT vec_id, near.cluster AS cluster, near.distance AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM s)::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN s ON s.cluster = near.cluster JOIN c10 ON c10.k = near.cluster
+"""
+
+
+OP13 = _op13()
