@@ -99,3 +99,45 @@ FROM a10 JOIN s ON s.cluster = near.cluster JOIN c10 ON c10.k = near.cluster
 
 
 OP13 = _op13()
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal text, two half bytes at a time."""
+    def half(x: str) -> str:
+        return f"xor({x} >> 4, {_halves()}[({x} & 15) + 1])"
+
+    step = half(half("xor(a, b)"))
+    return f"xor(list_reduce(list_transform(string_split({number}::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda a, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _halves() -> str:
+    values = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        values.append(f"{i}::BIGINT")
+    return f"[{', '.join(values)}]"
+
+
+OP12 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY p) AS own, {_crc32("c")} % 4 AS h FROM t GROUP BY c),
+seqs AS (SELECT a.c, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS s FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+members AS (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth, s FROM seqs),
+named AS (SELECT c, n, depth, s[1:depth] AS path FROM members),
+nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM named GROUP BY path, depth
+),
+families AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.path[n.depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN families f ON f.path = n.path AND f.depth = n.depth
+),
+above AS (SELECT path[1:d] AS path, d AS depth, saved, n_children = 0 AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own)),
+totals AS (SELECT path, depth, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM above GROUP BY 1, 2)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs, o.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM own o JOIN totals t ON t.path = o.path AND t.depth = o.depth LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.path = o.path[1:o.depth - 1]
+"""
