@@ -113,6 +113,58 @@ def _two_features(alpha: float) -> str:
     return _q(f"SELECT permno, month, split, {_r('my + b1 * (disc - m1) + b2 * (qty - m2)', 'forecast')} FROM split, b WHERE split <> 'train'", sums)
 
 
+def _industry_ridge(alphas: str) -> str:
+    """Ridge on the products of characteristics and industry, for each alpha: f has all rows with their forecasts.
+
+    The products of an industry meet no other, so that the scaled system is one of blocks less a product of the means; the blocks
+    are eliminated row by row with two right-hand sides.
+    """
+    k = len(CHARACTERISTICS)
+    steps = []
+    for i in range(1, k + 1):
+        row = f"list_transform(range(1, {k + 3}), lambda j: m[a][j] - m[a][{i}] / m[{i}][{i}] * m[{i}][j])"
+        own = f"list_transform(range(1, {k + 3}), lambda j: m[{i}][j] / m[{i}][{i}])"
+        steps.append(f"e{i} AS (SELECT alpha, sic2, list_transform(range(1, {k + 1}), lambda a: CASE WHEN a = {i} THEN {own} ELSE {row} END) AS m FROM e{i - 1})")
+    return f"""
+x AS (SELECT permno, month, split, sic2, ret_excess_lead1 AS y, [{', '.join(CHARACTERISTICS)}] AS x FROM split),
+t AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my FROM x WHERE split = 'train'),
+c AS (SELECT sic2, i, j, sum(x[i] * x[j]) AS g, sum(x[i]) AS sx, sum(x[i] * x[i]) AS sxx, sum(x[i] * y) AS sxy FROM x, range(1, {k + 1}) a(i), range(1, {k + 1}) b(j) WHERE split = 'train' GROUP BY ALL),
+s AS (SELECT DISTINCT sic2, i, sx / n AS m, CASE WHEN sxx / n - (sx / n) ** 2 > 1e-14 * greatest(1, (sx / n) ** 2) THEN sqrt(sxx / n - (sx / n) ** 2) ELSE 1 END AS s, sxy - sx * my AS cy FROM c, t),
+alphas(grid_index, alpha) AS (VALUES {alphas}),
+r AS (
+  SELECT alpha, c.sic2, c.i, list(c.g / (p.s * q.s) + CASE WHEN c.i = c.j THEN alpha ELSE 0 END ORDER BY c.j) || [any_value(p.cy / p.s), any_value(p.m / p.s)] AS m
+  FROM alphas, c JOIN s p ON p.sic2 = c.sic2 AND p.i = c.i JOIN s q ON q.sic2 = c.sic2 AND q.i = c.j GROUP BY ALL
+),
+e0 AS (SELECT alpha, sic2, list(m ORDER BY i) AS m FROM r GROUP BY ALL), {', '.join(steps)},
+u AS (SELECT alpha, s.sic2, s.i, s.m, s.s, e{k}.m[s.i][{k + 1}] AS u, e{k}.m[s.i][{k + 2}] AS w FROM e{k} JOIN s ON s.sic2 = e{k}.sic2),
+v AS (SELECT alpha, sum(m / s * u) * any_value(n) / (1 - any_value(n) * sum(m / s * w)) AS v FROM u, t GROUP BY alpha),
+b AS (SELECT u.alpha, sic2, i, m, (u + w * v) / s AS b FROM u JOIN v ON v.alpha = u.alpha),
+z AS (SELECT alpha, any_value(my) - sum(b * m) AS a FROM b, t GROUP BY alpha),
+bl AS (SELECT alpha, sic2, list(b ORDER BY i) AS b FROM b GROUP BY ALL),
+f AS (
+  SELECT permno, month, split, y, grid_index, z.alpha, z.a + coalesce(list_sum(list_transform(range(1, {k + 1}), lambda i: bl.b[i] * x.x[i])), 0) AS forecast
+  FROM x CROSS JOIN alphas JOIN z ON z.alpha = alphas.alpha LEFT JOIN bl ON bl.alpha = z.alpha AND bl.sic2 = x.sic2
+)"""
+
+
+def _walk_forward(alphas: str, expanding: bool) -> str:
+    """Ridge (alpha 0: least squares) on two features for each fold: w has every fold's validation R2 and coefficients by alpha, best the chosen ones."""
+    folds = _folds([(k, p, 1995 + (0 if expanding and p == "train" else k) + a, 1995 + k + b) for k in range(4) for p, a, b in (("train", 0, 1), ("validation", 2, 2), ("test", 3, 3))])
+    return f"""{folds},
+o AS (SELECT fold, f.split AS part, p.* FROM panel p JOIN folds f ON year(month) BETWEEN a AND b),
+s AS (
+  SELECT fold, count(*) AS n, avg(disc) AS m1, avg(qty) AS m2, avg(ret_excess_lead1) AS my, stddev_pop(disc) AS s1, stddev_pop(qty) AS s2,
+    covar_pop(disc, qty) AS c12, covar_pop(disc, ret_excess_lead1) AS c1, covar_pop(qty, ret_excess_lead1) AS c2
+  FROM o WHERE part = 'train' GROUP BY fold
+),
+alphas(grid_index, alpha) AS (VALUES {alphas}),
+z AS (SELECT *, n + alpha AS d, n * c12 / (s1 * s2) AS r, n * c1 / s1 AS y1, n * c2 / s2 AS y2 FROM s, alphas),
+k AS (SELECT *, (y1 * d - r * y2) / (d * d - r * r) / s1 AS b1, (y2 * d - r * y1) / (d * d - r * r) / s2 AS b2 FROM z),
+scores AS (SELECT o.fold, grid_index, 1 - sum((ret_excess_lead1 - my - b1 * (disc - m1) - b2 * (qty - m2)) ** 2) / sum(ret_excess_lead1 * ret_excess_lead1) AS r2 FROM o JOIN k ON k.fold = o.fold WHERE part = 'validation' GROUP BY ALL),
+best AS (SELECT k.*, r2 FROM k JOIN scores ON scores.fold = k.fold AND scores.grid_index = k.grid_index QUALIFY row_number() OVER (PARTITION BY k.fold ORDER BY r2 DESC, k.grid_index) = 1),
+w AS (SELECT permno, month, best.fold, alpha::DOUBLE AS alpha, my + b1 * (disc - m1) + b2 * (qty - m2) AS forecast FROM o JOIN best ON best.fold = o.fold WHERE part = 'test')"""
+
+
 def _three_features() -> str:
     x = ("disc", "qty", "tax")
     cov = ", ".join([*(f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x) if i <= j), *(f"covar_pop({a}, ret_excess_lead1) AS y{i}, avg({a}) AS m{i}" for i, a in enumerate(x))])
@@ -148,6 +200,7 @@ def _flagship() -> str:
 _PANEL_DOUBLES = ["market_equity", "ret", "rf_welch_goyal", "rf_ff", *_FACTORS, "umd", "ret_excess", "ret_excess_lead1", *CHARACTERISTICS, *MACROS]
 _INDUSTRY = " UNION ALL ".join(f"SELECT permno, month, '{c}__x__sic2_' || sic2 AS feature, {c} AS value FROM panel" for c in CHARACTERISTICS)
 _RIDGE_GRID = "grid(grid_index, alpha) AS (VALUES (0, 0.01), (1, 0.1), (2, 1.0), (3, 10.0), (4, 100.0), (5, 1000.0), (6, 10000.0), (7, 100000.0)), s AS (SELECT count(*) AS n, avg(disc) AS m, avg(ret_excess_lead1) AS my, stddev_pop(disc) AS sd, covar_pop(disc, ret_excess_lead1) AS c FROM split WHERE split = 'train'), f AS (SELECT grid_index, alpha, ret_excess_lead1, my + (n * c / sd) / (n + alpha) * (disc - m) / sd AS fc FROM split, s, grid WHERE split = 'validation')"
+_ALPHAS = ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate((0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)))
 _STACKED = "s AS (SELECT count(*) AS n, avg(disc) AS m, avg(ret_excess_lead1) AS my, stddev_pop(disc) AS sd, covar_pop(disc, ret_excess_lead1) AS c FROM split WHERE split = 'train'), k(model, alpha) AS (VALUES ('ols', 0.0), ('ridge', 10.0))"
 _QUANTILES = ", ".join(f"{_r(f'quantile_cont(x, {s})', f'p{round(100 * s)}')}" for s in (0.01, 0.25, 0.5, 0.75, 0.99))
 _LAGGED = "q AS (SELECT permno, last_day(month + INTERVAL 4 MONTH) AS at, ret AS v FROM returns WHERE month(month) % 3 = 0), y AS (SELECT permno, last_day(month + INTERVAL 6 MONTH) AS at, ret AS v FROM returns WHERE month(month) = 12), q1 AS (SELECT r.permno, r.month, q.v AS q_ret FROM returns r ASOF LEFT JOIN (SELECT * FROM q) q ON r.permno = q.permno AND r.month >= q.at)"
@@ -217,6 +270,11 @@ ORACLES: dict[str, str] = {
     "ridge_forecast_2f": _two_features(100.0),
     "wls_forecast_1f": _q(f"SELECT permno, month, split, {_r('my + b * (disc - mx)', 'forecast')} FROM split, t WHERE split <> 'train'", "s AS (SELECT sum(market_equity * disc) / sum(market_equity) AS mx, sum(market_equity * ret_excess_lead1) / sum(market_equity) AS my FROM split WHERE split = 'train'), t AS (SELECT any_value(mx) AS mx, any_value(my) AS my, sum(market_equity * (disc - mx) * (ret_excess_lead1 - my)) / sum(market_equity * (disc - mx) * (disc - mx)) AS b FROM split, s WHERE split = 'train')"),
     "ridge_grid_1f": _q(f"SELECT grid_index, alpha::DOUBLE AS alpha, {_r(_R2.format('fc'), 'validation_r2')} FROM f GROUP BY 1, 2", _RIDGE_GRID),
+    **{n: _q(f"SELECT permno, month, split, {_r('forecast')} FROM f WHERE split <> 'train'", _industry_ridge("(0, 10.0)")) for n in ("ridge_sparse_forecast", "ridge_sparse_conjugate")},
+    "ridge_sparse_grid": _q(f"SELECT grid_index, alpha::DOUBLE AS alpha, {_r('1 - sum((y - forecast) ** 2) / sum(y * y)', 'validation_r2')} FROM f WHERE split = 'validation' GROUP BY ALL", _industry_ridge(_ALPHAS)),
+    "walk_forward_ols": _q(f"SELECT permno, month, fold, {_r('forecast')} FROM w", _walk_forward("(0, 0.0)", False)),
+    "walk_forward_ridge": _q(f"SELECT permno, month, fold, alpha, {_r('forecast')} FROM w", _walk_forward(_ALPHAS, True)),
+    "walk_forward_choices": _q(f"SELECT fold, alpha::DOUBLE AS alpha, {_r('r2', 'validation_r2')}, n AS train_rows FROM best", _walk_forward(_ALPHAS, True)),
     "ols3_forecast": _three_features(),
     "decile_table": _flagship(),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkiln.functions.nulls import divide, plain
 from panelkiln.operators import evaluate as E
 from panelkiln.operators import features as X
-from panelkiln.operators import linear, neural, panel as P, trees
+from panelkiln.operators import linear, neural, panel as P, trees, vector_models, walk_forward
 from panelkiln.operators import portfolio as Q
 from panelkiln.operators.splits import apply_rolling, apply_split, make_split, rolling_year_splits
 from panelkiln.plans import runs
@@ -348,6 +348,46 @@ def ridge_grid_1f(spark, d):
     return _out(curve)
 
 
+def _interaction_panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All, training and validation rows with the sparse block of characteristics by industry."""
+    panel = X.interaction_vector(_split(spark, d), CHARACTERISTICS)
+    return panel, panel.where("split = 'train'"), panel.where("split = 'validation'")
+
+
+def ridge_sparse_forecast(spark, d):
+    panel, train, _ = _interaction_panel(spark, d)
+    model = vector_models.ridge_of_vectors(train, "interactions", TARGET, (10.0,))[0]
+    return _out(model.predict(panel.where("split <> 'train'")), *KEYS, "split", "forecast")
+
+
+def ridge_sparse_conjugate(spark, d):
+    """The same forecasts by conjugate gradients."""
+    panel, train, _ = _interaction_panel(spark, d)
+    model = vector_models.conjugate_ridge(train, "interactions", TARGET, (10.0,))[0][0]
+    return _out(model.predict(panel.where("split <> 'train'")), *KEYS, "split", "forecast")
+
+
+def ridge_sparse_grid(spark, d):
+    _, train, validation = _interaction_panel(spark, d)
+    return _out(vector_models.ridge_grid_of_vectors(train, validation, "interactions", TARGET)[1])
+
+
+def walk_forward_ols(spark, d):
+    splits = rolling_year_splits(1995, 2001, train=2, validation=1, test=1)
+    return _out(walk_forward.walk_forward(_panel(spark, d), splits, ["disc", "qty"], TARGET)[0], *KEYS, "fold", "forecast")
+
+
+def walk_forward_ridge(spark, d):
+    """Expanding training windows; each fold takes the penalty that its validation year prefers."""
+    splits = rolling_year_splits(1995, 2001, train=2, validation=1, test=1, expanding=True)
+    return _out(walk_forward.walk_forward(_panel(spark, d), splits, ["disc", "qty"], TARGET, linear.RIDGE_GRID)[0], *KEYS, "fold", "alpha", "forecast")
+
+
+def walk_forward_choices(spark, d):
+    splits = rolling_year_splits(1995, 2001, train=2, validation=1, test=1, expanding=True)
+    return _out(walk_forward.walk_forward(_panel(spark, d), splits, ["disc", "qty"], TARGET, linear.RIDGE_GRID)[1])
+
+
 def ols3_forecast(spark, d):
     return _fitted(lambda train, _: linear.ols(linear.gram(train, ["disc", "qty", "tax"], TARGET)))(spark, d)
 
@@ -412,6 +452,7 @@ standardized_features scaled_features market_equity_sic2 fixed_split_counts roll
 calibrated_evaluation full_evaluation model_metrics stacked_predictions dm_pooled monthly_error_difference dm_newey_west dm_matrix forecast_deciles vw_returns
 long_short decile_performance decile_monotonicity turnover sharpe r2_to_sharpe timing_strategy positive_forecasts hist_mean_benchmark
 sign_restricted_forecast drop_importance_linear group_importance ssd_importance top_bottom_subsample regime_subsample
-period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ols3_forecast pcr
+period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ridge_sparse_forecast ridge_sparse_conjugate ridge_sparse_grid
+walk_forward_ols walk_forward_ridge walk_forward_choices ols3_forecast pcr
 pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn seed_ensemble decile_table""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
