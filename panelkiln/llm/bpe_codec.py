@@ -111,12 +111,13 @@ class Codec:
 
     def _points(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised code points of the texts, and their bounds."""
-        out = []
+        out, given = [], []
         for text in texts:
             text = text or ""
             for k, (content, _) in enumerate(self.special):
                 if content in text:
                     text = text.replace(content, chr(_FIRST_SPECIAL + k))
+            given.append(text)
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("İ", "i̇")
             out.append(text)
@@ -125,7 +126,7 @@ class Codec:
         unknown = np.flatnonzero(kind[points] == _UNKNOWN)
         if len(unknown):
             for k in np.unique(np.searchsorted(bounds, unknown, side="right") - 1).tolist():
-                parts = re.split(r"([\ud800-\udfff])", out[k])
+                parts = re.split(r"([\ud800-\udfff])", given[k])  # not yet normalised: marks behind a letter that grows would change places
                 out[k] = "".join(x if i % 2 else self._library().normalizer.normalize_str(x) for i, x in enumerate(parts))
             points, bounds = _flat(out)
             for c in np.unique(points[kind[points] == _UNKNOWN]).tolist():

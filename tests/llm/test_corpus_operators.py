@@ -262,8 +262,9 @@ def odd_texts():
     r = random.Random(6)
     fixed = ["", "It's we'll they're 's 't '' \"'s 'sam 'llama '", "İstanbul ΣΑΣ Å", "123 4a5 ½ Ⅷ", "<|startoftext|>Hi<|endoftext|>", "<s> </s> <unk>", "x" * 3000, "  a   b ", "▁▁ x", "\x00\x1c\x85", "日本 😀"]
     random_texts = [*("".join(chr(r.choice([32, 39, r.randint(97, 122), r.randint(1, 0x2FF), r.randint(0x300, 0x1FFF), 10])) for _ in range(60)) for _ in range(80))]
+    mixed = ["İ\u0327\u1c89", *("".join(r.choice(["İ", "I", "\u0307", "\u0327", "\u0301", "\u0345", "a", "é", "\u1c89", "\u0378", "\U0001fae8", " ", "<|endoftext|>", "Σ"]) for _ in range(r.randint(2, 14))) for _ in range(300))]
     late = ["x\u1c89\u1c8ay", "\ua7cb1\ua7cd", "\U0001fae8\u2ffc\U0002ebf0a", "<|endoftext|>\u1c89<|startoftext|>", "\u0378\uffff"]
-    return [*fixed, *late, *random_texts, *thue_morse(), prose(500, 3)]
+    return [*fixed, *mixed, *late, *random_texts, *thue_morse(), prose(500, 3)]
 
 
 def thue_morse():
