@@ -110,21 +110,36 @@ def _block(docs: list, held: list, parts: list) -> pa.RecordBatch:
     held = np.concatenate(held)
     words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     learned = np.repeat(held == 0, sizes)
+    # Frequent words get small numbers, whose high bytes are 0 and compress well.
+    order = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    words, first, which = words[order], first[order], rank[which]
     trained = np.bincount(which[learned], minlength=len(words)).astype(np.int32)
     ids = pa.concat_arrays([d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d for d in docs])
-    tokens = zstandard.compress(which.astype(np.int32).tobytes(), 1)
-    blobs = (held.tobytes(), sizes.tobytes(), tokens, words.tobytes(), tails[first].tobytes(), trained.tobytes())
+    blobs = (held.tobytes(), sizes.tobytes(), _packed(which), words.tobytes(), (tails[first] % REST).astype(np.uint16).tobytes(), trained.tobytes())
     return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([b], pa.binary()) for b in blobs)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed integers, all first bytes before all second ones and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, place, word, tail, trained: the distinct words of each block."""
     for batch in batches:
         for block, w, tail, trained in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            words, tails, counts = np.frombuffer(w, np.int64), np.frombuffer(tail, np.uint32), np.frombuffer(trained, np.int32)
+            words, tails, counts = np.frombuffer(w, np.int64), np.frombuffer(tail, np.uint16), np.frombuffer(trained, np.int32)
             for s in range(0, len(words), 50_000):
                 e = min(s + 50_000, len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - s, block)), pa.array(np.arange(s, e)), pa.array(words[s:e]), pa.array((tails[s:e] % REST).astype(np.int32)), pa.array(counts[s:e])], ["block", "place", "word", "tail", "trained"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - s, block)), pa.array(np.arange(s, e)), pa.array(words[s:e]), pa.array(tails[s:e].astype(np.int32)), pa.array(counts[s:e])], ["block", "place", "word", "tail", "trained"])
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -149,8 +164,8 @@ def _known_batches(v: Vocabulary):
             for i in range(batch.num_rows):
                 row = [batch.column(k)[i] for k in range(8)]
                 held, sizes = row[1].as_py(), np.frombuffer(row[2].as_py(), np.int32)
-                local = np.frombuffer(zstandard.decompress(row[3].as_py()), np.int32)
-                words, tails = np.frombuffer(row[4].as_py(), np.uint64), np.frombuffer(row[5].as_py(), np.uint32) % REST
+                local = _unpacked(row[3].as_py(), np.int32)
+                words, tails = np.frombuffer(row[4].as_py(), np.uint64), np.frombuffer(row[5].as_py(), np.uint16).astype(np.int64)
                 counts = np.zeros(len(words), np.int64)
                 if row[6].is_valid:
                     sent = row[6].values.to_numpy(zero_copy_only=False)
@@ -167,7 +182,7 @@ def _known_batches(v: Vocabulary):
                 known = np.bincount(doc[counts[local] > 0], minlength=len(sizes)) + (v.ends > 0)
                 classes = np.full(len(local) + len(sizes), END, np.uint16)
                 classes[np.arange(len(local)) + doc] = of[local]
-                blobs = (held, (sizes + 1).tobytes(), zstandard.compress(classes.tobytes(), 1), base.tobytes(), rest.tobytes(), known.astype(np.int32).tobytes())
+                blobs = (held, (sizes + 1).tobytes(), _packed(classes), base.tobytes(), rest.tobytes(), known.astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([b], pa.binary()) for b in blobs)], [c.split()[0] for c in _KNOWN.split(", ")])
 
     return run
@@ -323,7 +338,7 @@ def _sum_batches(model: Model):
         for batch in batches:
             for held, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
-                tokens = np.frombuffer(zstandard.decompress(packed), np.uint16)
+                tokens = _unpacked(packed, np.uint16)
                 learned = np.frombuffer(held, np.uint8) == 0
                 tokens = tokens[np.repeat(learned, sizes)]
                 if learned.any():
@@ -374,7 +389,7 @@ def _score_batches(model: Model):
             for i in range(batch.num_rows):
                 held, sizes, packed, base, rest, known = (batch.column(k)[i].as_py() for k in range(1, 7))
                 sizes, held = np.frombuffer(sizes, np.int32), np.frombuffer(held, np.uint8)
-                tokens = np.frombuffer(zstandard.decompress(packed), np.uint16).astype(np.int64)
+                tokens = _unpacked(packed, np.uint16).astype(np.int64)
                 score = likelihoods(model, tokens, sizes.astype(np.int64)) + np.frombuffer(rest)
                 columns = [batch.column(0)[i].values, pa.array(held == 1, mask=held == 2), pa.array(sizes.astype(np.int64)), pa.array(np.frombuffer(known, np.int32).astype(np.int64)), pa.array(np.frombuffer(base)), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
