@@ -2,7 +2,7 @@
 
 Tokens are the lower-cased words of a text and one end. A state emits a class of tokens, and a class its tokens. Words with at
 least 1/FREQUENT of all training tokens, of which there can't be more than FREQUENT, and the end are classes of their own. The others
-share REST classes by their last letters; a class gives each of its words (count + 1) and an unknown word 1 of
+share REST classes by their last three letters (bytes); a class gives each of its words (count + 1) and an unknown word 1 of
 (tokens + words + 1) shares, so that the model is a distribution over texts. Counts of words cover the whole training corpus and stay on
 executors: they meet the texts through the distinct words of blocks of texts. Only class tables, whose size is fixed, reach the driver and the tasks.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.sparkops import bounded_rows, crc_mod, cut, map_batches, table
-from panelkiln.llm.textops import NON_SPACE, Words, pieces, ranges, utf8
+from panelkiln.llm.textops import NON_SPACE, Words, mix, pieces, ranges, utf8
 
 STATES, ROUNDS = 8, 4
 FREQUENT, REST = 1 << 15, 1 << 12
@@ -117,7 +117,7 @@ def _block(docs: list, held: list, parts: list) -> pa.RecordBatch:
     words, first, which = words[order], first[order], rank[which]
     trained = np.bincount(which[learned], minlength=len(words)).astype(np.int32)
     ids = pa.concat_arrays([d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d for d in docs])
-    blobs = (held.tobytes(), sizes.tobytes(), _packed(which), words.tobytes(), (tails[first] % REST).astype(np.uint16).tobytes(), trained.tobytes())
+    blobs = (held.tobytes(), sizes.tobytes(), _packed(which), words.tobytes(), (mix(tails[first].astype(np.uint64), 31) % np.uint64(REST)).astype(np.uint16).tobytes(), trained.tobytes())
     return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([b], pa.binary()) for b in blobs)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
