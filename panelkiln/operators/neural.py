@@ -1,8 +1,12 @@
-"""Feed-forward networks trained in parallel on partitions.
+"""Feed-forward networks trained by synchronous steps.
 
-In each epoch every partition runs mini-batch Adam from the shared weights over its own rows; the weights are averaged by
-row counts. Early stopping watches the validation loss. The weights are small (bounded by MOST_WEIGHTS) and travel in the
-task's function; forecasts and gradients are one pass of mapInArrow.
+Rows are standardised and packed once into blocks on the shared folder, training and validation rows apart. A step of Adam takes a mini-batch from
+all blocks: each epoch a hash deals the rows anew to batches of about the wanted size, tasks sum the gradients of their
+rows of the batch, the sums meet in a shuffle, and the driver, which keeps Adam's state over all steps, moves the weights. So the result is that of one process that goes
+through the same batches. The first step of an epoch also sums the validation loss of the weights that it starts from, so
+that early stopping costs no pass. The weights are bounded by MOST_WEIGHTS and travel in the task's function.
+
+A step costs a job: with very many rows choose larger batches. Forecasts pass the features alone through Python.
 """
 
 from __future__ import annotations
@@ -11,14 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import zero
 from panelkiln.operators.features import moments
+from panelkiln.sources.tables import shared_folder
 
 MOST_WEIGHTS = 2_000_000
+BLOCK_ROWS = 1 << 16
+_BLOCK = "held boolean, ids binary, x binary, y binary"
 WIDTHS = {f"NN{d}": [32] * d for d in range(1, 6)}
 
 
@@ -38,12 +46,13 @@ def _forward(w: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
     return layers
 
 
-def _gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, l2: float) -> list[np.ndarray]:
+def _gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Sums over rows of the gradients of the squared errors."""
     layers = _forward(w, x)
-    delta = 2 * (layers[-1] - y[:, None]) / len(y)
+    delta = 2 * (layers[-1] - y[:, None])
     out: list[np.ndarray] = []
     for k in range(len(w) - 2, -1, -2):
-        out = [layers[k // 2].T @ delta + l2 * w[k], delta.sum(axis=0), *out]
+        out = [layers[k // 2].T @ delta, delta.sum(axis=0), *out]
         delta = (delta @ w[k].T) * (layers[k // 2] > 0)
     return out
 
@@ -64,24 +73,49 @@ def _matrix(batch: pa.RecordBatch, features: int) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(features)], axis=1)
 
 
-def _epoch_batches(w: list[np.ndarray], features: int, rate: float, l2: float, size: int, seed: int):
+def batch_of(ids: np.ndarray, epoch: int, batches: int, seed: int) -> np.ndarray:
+    """The batch of each row in an epoch, by a hash of its number."""
+    x = ids.astype(np.uint64) + np.uint64((seed * 1_000_003 + epoch * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(batches)).astype(np.int64)
+
+
+def _pack_batches(features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, step = [x.copy() for x in w], 0, 0
-        m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-        draw = np.random.default_rng(seed)
         for batch in batches:
-            x, y = _matrix(batch, features), batch.column(features).to_numpy(zero_copy_only=False)
-            order = draw.permutation(len(y))
-            n += len(y)
-            for s in range(0, len(y), size):
-                at = order[s : s + size]
-                step += 1
-                for k, g in enumerate(_gradients(own, x[at], y[at], l2)):
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    own[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if n:
-            flat = _flat(own) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, n))], ["cell", "v"])
+            held = batch.column(features + 2).to_numpy(zero_copy_only=False)
+            x, y, ids = _matrix(batch, features), batch.column(features).to_numpy(zero_copy_only=False), batch.column(features + 1).to_numpy()
+            for kind in (False, True):
+                own = np.flatnonzero(held == kind)
+                for s in range(0, len(own), BLOCK_ROWS):
+                    at = own[s : s + BLOCK_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind]), *(pa.array([np.ascontiguousarray(v[at]).tobytes()], pa.binary()) for v in (ids, x, y))], ["held", "ids", "x", "y"])
+
+    return run
+
+
+def _step_batches(w: list[np.ndarray], epoch: int, batches: int, number: int, seed: int):
+    """Gradient sums of a mini-batch, its rows, and in an epoch's first batch the squared errors and rows held for validation."""
+    size = sum(x.size for x in w)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 3)
+        for table in rows:
+            for held, ids, x, y in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
+                y = np.frombuffer(y)
+                x = np.frombuffer(x).reshape(len(y), -1)
+                if held:
+                    if number == 0:
+                        total[-2:] += ((_forward(w, x)[-1][:, 0] - y) ** 2).sum(), len(y)
+                    continue
+                own = np.flatnonzero(batch_of(np.frombuffer(ids, np.int64), epoch, batches, seed) == number)
+                if len(own):
+                    total[:size] += _flat(_gradients(w, x[own], y[own]))
+                    total[size] += len(own)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "v"])
 
     return run
 
@@ -95,16 +129,14 @@ class Network:
     def _inputs(self, df: DataFrame):
         return [((zero(c) - self.scale[c][0]) / self.scale[c][1]).cast("double").alias(f"x{i}") for i, c in enumerate(self.features)]
 
-    def predict(self, df: DataFrame, output: str = "forecast", keys: tuple[str, ...] = ("permno", "month")) -> DataFrame:
-        """The keys and all other columns stay; only keys and inputs pass through Python when `keys` identify rows."""
-        w, k, names = self.weights, len(self.features), df.columns
-        rows = df.select(*self._inputs(df), F.struct(*names).alias("row"))
+    def predict(self, df: DataFrame, output: str = "forecast") -> DataFrame:
+        w, k = self.weights, len(self.features)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(k), pa.array(_forward(w, _matrix(batch, k))[-1][:, 0])], ["row", "f"])
+        @F.pandas_udf("double")
+        def forecast(columns: pd.DataFrame) -> pd.Series:
+            return pd.Series(_forward(w, columns.to_numpy(np.float64).reshape(-1, k))[-1][:, 0])
 
-        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, f double").select("row.*", F.col("f").alias(output))
+        return df.withColumn(output, forecast(F.struct(*self._inputs(df))))
 
     def ssd(self, df: DataFrame) -> DataFrame:
         """feature, ssd: sum over rows of the squared derivative by each raw feature."""
@@ -127,26 +159,55 @@ class Network:
         return sums.select(names[F.col("cell").cast("int")].alias("r"), "v").select("r.feature", (F.col("v") / (F.col("r.sd") * F.col("r.sd"))).alias("ssd"))
 
 
-def train_network(train: DataFrame, validation: DataFrame, features: list[str], target: str, widths: list[int] | None = None, epochs: int = 100, patience: int = 5, rate: float = 1e-3, l2: float = 1e-4, batch: int = 4096, seed: int = 1) -> Network:
+def packed_blocks(net: Network, train: DataFrame, validation: DataFrame, target: str) -> tuple[DataFrame, int]:
+    """The standardised rows with a target as blocks on the shared folder, and the number of training rows."""
+    spark = train.sparkSession
+    parts = [df.where(F.col(target).isNotNull()).select(*net._inputs(df), F.col(target).cast("double").alias("y"), F.lit(held).alias("held")) for df, held in ((train, False), (validation, True))]
+    both = parts[0].unionByName(parts[1])
+    count = {r.held: r.n for r in both.groupBy("held").agg(F.count("*").alias("n")).collect()}
+    tasks, path = max(1, -(-sum(count.values()) // BLOCK_ROWS)), f"{shared_folder(spark)}/blocks"
+    numbered = both.repartition(tasks).select(*(f"x{i}" for i in range(len(net.features))), "y", F.monotonically_increasing_id().alias("id"), "held")
+    numbered.mapInArrow(_pack_batches(len(net.features)), _BLOCK).write.parquet(path)
+    return spark.read.schema(_BLOCK).parquet(path).coalesce(tasks), count.get(False, 0)
+
+
+def adam(net: Network, blocks: DataFrame, rows: int, epochs: int, patience: int, rate: float, l2: float, batch: int, seed: int) -> Network:
+    """The weights with the best validation loss; without validation rows those of the last epoch."""
+    like, size, batches = net.weights, sum(w.size for w in net.weights), max(1, round(rows / batch))
+    decay = _flat([l2 * (w.ndim == 2) * np.ones_like(w) for w in like])
+    now, m, v = _flat(like), np.zeros(size), np.zeros(size)
+    best, best_loss, since, step = now, float("inf"), 0, 0
+    for epoch in range(epochs + 1):
+        for number in range(batches):
+            sums = np.zeros(size + 3)
+            found = blocks.mapInArrow(_step_batches(_shaped(now, like), epoch, batches, number, seed), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+            sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
+            if number == 0 and epoch:  # the validation loss of the epoch before
+                loss = sums[-2] / sums[-1] if sums[-1] else None
+                if loss is None or loss < best_loss - 1e-12:
+                    best, best_loss, since = now, loss or best_loss, 0
+                elif (since := since + 1) >= patience:
+                    return Network(net.features, net.scale, _shaped(best, like))
+                if epoch == epochs:
+                    return Network(net.features, net.scale, _shaped(best, like))
+            if not sums[size]:  # a hash may leave a small batch empty
+                continue
+            g = sums[:size] / sums[size] + decay * now
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            now = now - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return Network(net.features, net.scale, _shaped(best, like))
+
+
+def train_network(
+    train: DataFrame, validation: DataFrame, features: list[str], target: str, widths: list[int] | None = None, epochs: int = 100, patience: int = 5, rate: float = 1e-3, l2: float = 1e-4,
+    batch: int = 4096, seed: int = 1,
+) -> Network:
     """ReLU layers of the given widths; stops when `patience` epochs brought no better validation loss."""
-    scale = moments(train, features)
-    known = train.where(F.col(target).isNotNull())
-    net = Network(features, scale, _start(WIDTHS["NN3"] if widths is None else widths, len(features), seed))
+    net = Network(features, moments(train, features), _start(WIDTHS["NN3"] if widths is None else widths, len(features), seed))
     if sum(w.size for w in net.weights) > MOST_WEIGHTS:
         raise ValueError(f"more than {MOST_WEIGHTS} weights")
-    rows = known.select(*net._inputs(known), F.col(target).cast("double").alias("y")).cache()
-    held = validation.where(F.col(target).isNotNull())
-    best, best_loss, since = net, float("inf"), 0
-    for epoch in range(epochs):
-        run = _epoch_batches(net.weights, len(features), rate, l2, batch, seed * 1000 + epoch)
-        sums = rows.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros(sum(w.size for w in net.weights) + 1)
-        flat[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-        net = Network(features, scale, _shaped(flat[:-1] / flat[-1], net.weights))
-        loss = net.predict(held).agg(F.avg((F.col(target) - F.col("forecast")) * (F.col(target) - F.col("forecast")))).head()[0]
-        if loss is not None and loss < best_loss - 1e-12:
-            best, best_loss, since = net, loss, 0
-        elif (since := since + 1) >= patience:
-            break
-    rows.unpersist()
-    return best
+    blocks, rows = packed_blocks(net, train, validation, target)
+    if not rows:
+        raise ValueError("no training rows")
+    return adam(net, blocks, rows, epochs, patience, rate, l2, batch, seed)

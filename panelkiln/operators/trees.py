@@ -1,9 +1,9 @@
-"""Tree models on Spark's own learners, and boosting for the Huber loss that they lack."""
+"""Tree models on Spark's own learners. Boosting for the Huber loss, which they lack, is in `boosting`."""
 
 from __future__ import annotations
 
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.operators.evaluate import oos_r2
@@ -56,49 +56,3 @@ def random_forest_grid(train: DataFrame, validation: DataFrame, features: list[s
     rows.unpersist()
     best = max(curve, key=lambda r: (r[3] is not None, r[3] or 0.0, -r[0]))[0]
     return fits[best], train.sparkSession.createDataFrame(curve, "grid_index int, max_depth int, max_features string, validation_r2 double")
-
-
-class Boosted:
-    """start + rate times the sum of the trees' leaf values."""
-
-    def __init__(self, start: float, rate: float, stages: list[tuple], features: list[str]):
-        self.start, self.rate, self.stages, self.features = start, rate, stages, features
-
-    def predict(self, df: DataFrame, output: str = "forecast") -> DataFrame:
-        rows, total = _vector(df, self.features), F.lit(self.start)
-        for k, (tree, values) in enumerate(self.stages):
-            rows = tree.transform(rows).withColumnRenamed("__leaf", f"__leaf{k}").drop("prediction")
-            total = total + self.rate * _leaf_value(f"__leaf{k}", values)
-        return rows.withColumn(output, total).drop("__features", *(f"__leaf{k}" for k in range(len(self.stages))))
-
-
-def _leaf_value(leaf: str, values: dict[float, float]) -> Column:
-    found = F.lit(0.0)
-    for k, v in values.items():
-        found = F.when(F.col(leaf) == k, v).otherwise(found)
-    return found
-
-
-def boosted_huber(train: DataFrame, features: list[str], target: str, stages: int = 500, rate: float = 0.01, depth: int = 2, leaf: int = 100, quantile: float = 0.9, seed: int = 1) -> Boosted:
-    """Gradient boosting for the Huber loss.
-
-    Each stage clips residuals at their absolute quantile, fits a tree to them, and sets each leaf to the median
-    residual plus the mean clipped rest. The lineage is cut by checkpoint() every 20 stages.
-    """
-    base = train.where(F.col(target).isNotNull())
-    start = base.agg(F.percentile_approx(target, 0.5)).head()[0]
-    rows = _vector(base, features).select("__features", F.col(target).cast("double").alias("__y"), F.lit(float(start)).alias("__f")).cache()
-    done = []
-    for k in range(stages):
-        residual = rows.withColumn("__r", F.col("__y") - F.col("__f"))
-        delta = float(residual.agg(F.percentile_approx(F.abs("__r"), quantile)).head()[0])
-        clipped = residual.withColumn("__g", F.greatest(F.least("__r", F.lit(delta)), F.lit(-delta)))
-        tree = DecisionTreeRegressor(featuresCol="__features", labelCol="__g", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=leaf, seed=seed + k).fit(clipped)
-        leaves = tree.transform(residual).select("__leaf", "__r")
-        middle = leaves.groupBy("__leaf").agg(F.percentile_approx("__r", 0.5).alias("m"))
-        rest = F.col("__r") - F.col("m")
-        values = dict(leaves.join(F.broadcast(middle), "__leaf").groupBy("__leaf").agg((F.first("m") + F.avg(F.signum(rest) * F.least(F.abs(rest), F.lit(delta)))).alias("v")).collect())
-        done.append((tree, values))
-        moved = tree.transform(rows).withColumn("__f", F.col("__f") + rate * _leaf_value("__leaf", values)).select("__features", "__y", "__f")
-        rows = moved.checkpoint() if k % 20 == 19 else moved
-    return Boosted(float(start), rate, done, features)

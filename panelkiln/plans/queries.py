@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkiln.functions.nulls import divide, plain
 from panelkiln.operators import evaluate as E
 from panelkiln.operators import features as X
-from panelkiln.operators import linear, neural, panel as P, trees, vector_models, walk_forward
+from panelkiln.operators import boosting, linear, neural, panel as P, trees, vector_models, walk_forward
 from panelkiln.operators import portfolio as Q
 from panelkiln.operators.splits import apply_rolling, apply_split, make_split, rolling_year_splits
 from panelkiln.plans import runs
@@ -423,11 +423,16 @@ def random_forest_grid(spark, d):
 
 
 def gbrt_huber(spark, d):
-    return _fitted(lambda train, _: trees.boosted_huber(train, CHARACTERISTICS, TARGET, stages=4, rate=0.1, leaf=20))(spark, d)
+    return _fitted(lambda train, _: boosting.boosted_huber(train, CHARACTERISTICS, TARGET))(spark, d)
 
 
-def nn(spark, d):
-    return _fitted(lambda train, validation: neural.train_network(train, validation, CHARACTERISTICS, TARGET, [8, 4], epochs=3, batch=256))(spark, d)
+def _network(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A network at its preset's widths, batch and number of epochs."""
+    return _fitted(lambda train, validation: neural.train_network(train, validation, CHARACTERISTICS, TARGET, neural.WIDTHS[name]))
+
+
+nn1, nn2, nn3, nn4, nn5 = (_network(name) for name in neural.WIDTHS)
+nn = nn3
 
 
 def seed_ensemble(spark, d):
@@ -454,5 +459,5 @@ long_short decile_performance decile_monotonicity turnover sharpe r2_to_sharpe t
 sign_restricted_forecast drop_importance_linear group_importance ssd_importance top_bottom_subsample regime_subsample
 period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ridge_sparse_forecast ridge_sparse_conjugate ridge_sparse_grid
 walk_forward_ols walk_forward_ridge walk_forward_choices ols3_forecast pcr
-pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn seed_ensemble decile_table""".split()
+pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn nn1 nn2 nn4 nn5 seed_ensemble decile_table""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

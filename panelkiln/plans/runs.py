@@ -9,7 +9,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.operators import linear, neural, trees
+from panelkiln.operators import boosting, linear, neural, trees
 from panelkiln.operators.evaluate import calibrated, information_coefficient, mae, mse, oos_r2
 from panelkiln.operators.features import FeatureBuilder, assemble, spline_basis, spline_knots
 from panelkiln.operators.panel import first_rows
@@ -74,7 +74,7 @@ def models(small: tuple[str, ...] = OLS3) -> dict[str, Fit]:
         "ols": by_gram(linear.ols), "ols3": lambda train, _, features, target: linear.ols(linear.gram(train, [c for c in features if c in small], target)), "ridge": by_gram(linear.ridge),
         "enet_huber": lambda train, _, features, target: linear.elastic_net_huber(train, features, target), "pcr": by_gram(linear.pcr), "pls": by_gram(linear.pls),
         "glm": lambda train, _, features, target: glm_spline(train, features, target), "rf": lambda train, _, features, target: trees.random_forest(train, features, target),
-        "gbrt_huber": lambda train, _, features, target: trees.boosted_huber(train, features, target), **{k: network(w) for k, w in neural.WIDTHS.items()},
+        "gbrt_huber": lambda train, _, features, target: boosting.boosted_huber(train, features, target), **{k: network(w) for k, w in neural.WIDTHS.items()},
     }
 
 

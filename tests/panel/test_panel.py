@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkiln.functions.nulls import nan_to_null
 from panelkiln.operators import evaluate as E
 from panelkiln.operators import features as X
-from panelkiln.operators import linear, neural, trees
+from panelkiln.operators import boosting, linear, neural, trees
 from panelkiln.operators import panel as P
 from panelkiln.operators import portfolio as Q
 from panelkiln.operators.splits import apply_rolling, apply_split, make_split, rolling_year_splits
@@ -231,8 +231,8 @@ def test_nonlinear_models_find_the_signal(sample):
     train, validation = df.where("split = 'train'"), df.where("split = 'validation'")
     assert r2_of(trees.regression_tree(train, FEATURES, "y", 4, 10), df) > 0.4
     assert r2_of(trees.random_forest(train, FEATURES, "y", numTrees=15, maxDepth=5, minInstancesPerNode=5), df) > 0.4
-    assert r2_of(trees.boosted_huber(train, FEATURES, "y", stages=8, rate=0.5, leaf=5), df) > 0.4
-    net = neural.train_network(train, validation, FEATURES, "y", [16], epochs=25, batch=16, rate=0.01)
+    assert r2_of(boosting.boosted_huber(train, FEATURES, "y", stages=8, rate=0.5, leaf=5), df) > 0.4
+    net = neural.train_network(train, validation, FEATURES, "y", [16], epochs=40, batch=150, rate=0.03)
     assert r2_of(net, df) > 0.6
     ssd = {r.feature: r.ssd for r in net.ssd(df).collect()}
     assert ssd["x0"] > 3 * ssd["x2"] and set(ssd) == set(FEATURES)
