@@ -8,16 +8,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import divide, zero
+from panelkiln.functions.ordering import cut, long_values, positions
 from panelkiln.functions.ranks import rank_minmax_scaled, rank_pct_scaled
 from panelkiln.sources.schema import INTERACTION_MARK
 
 
-def rank_columns(panel: DataFrame, columns: list[str], by: str = "month", scale: str = "pct", low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """The panel with the columns replaced by their ranks; rows without date get none."""
+def rank_columns(panel: DataFrame, columns: list[str], by: str = "month", scale: str = "pct", low: float = -1.0, high: float = 1.0, spread: bool = False) -> DataFrame:
+    """The panel with the columns replaced by their ranks; rows without date get none.
+
+    A period is sorted in one task, all columns after one exchange. With `spread` a period of any size goes over all tasks, at
+    the cost of a stored copy of the panel and a row for each value in the shuffles.
+    """
+    if spread:
+        return _spread_ranks(panel, columns, by, scale, low, high)
     make = (lambda c: rank_pct_scaled(c, by, low, high)) if scale == "pct" else (lambda c: rank_minmax_scaled(c, by))
     return panel.select(*(F.when(F.col(by).isNotNull(), make(c)).alias(c) if c in columns else F.col(c) for c in panel.columns))
 
 
+def _spread_ranks(panel: DataFrame, columns: list[str], by: str, scale: str, low: float, high: float) -> DataFrame:
+    """Places of all values of all columns in one range exchange; equal values share the mean of their first and last place."""
+    kept = cut(panel.withColumn("__id", F.monotonically_increasing_id()))
+    placed = positions(long_values(kept.where(F.col(by).isNotNull()), columns, "__id", by), ["__column", by], ["__value", "__id"], "__place", "__size")
+    ties = placed.groupBy(F.col("__column").alias("__c"), F.col(by).alias("__by"), F.col("__value").alias("__v")).agg(((F.min("__place") + F.max("__place")) / 2).alias("__rank"))
+    ranked = placed.join(ties, (F.col("__column") == F.col("__c")) & (F.col(by) == F.col("__by")) & (F.col("__value") == F.col("__v")))
+    n = F.col("__size")
+    scaled = low + (high - low) * F.col("__rank") / n if scale == "pct" else F.when(n > 1, 2 * (F.col("__rank") - 1) / F.nullif(n - 1, F.lit(0)) - 1)
+    wide = ranked.withColumn("__s", scaled).groupBy(F.col("__id").alias("__of")).agg(*(F.max(F.when(F.col("__column") == i, F.col("__s"))).alias(f"__r{i}") for i in range(len(columns))))
+    joined = kept.join(wide, kept["__id"] == wide["__of"], "left")
+    return joined.select(*(F.col(f"__r{columns.index(c)}").alias(c) if c in columns else kept[c] for c in panel.columns))
+
+
 def interaction_names(columns: list[str], others: list[str], others_first: bool = False) -> list[str]:
     if others_first:
         return [f"{c}{INTERACTION_MARK}{o}" for o in others for c in columns]

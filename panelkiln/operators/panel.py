@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import nan_to_null
+from panelkiln.functions.ordering import cut, exact_quantiles, positions
 from panelkiln.sources.schema import MACROS, raw_characteristics
 
 FACTORS = ("rf", "mktrf", "smb", "hml", "rmw", "cma", "umd")
@@ -64,8 +65,13 @@ def drop_incomplete(panel: DataFrame, characteristics: list[str], target: str =
 
 
 def median_impute(panel: DataFrame, columns: list[str], date: str = "month") -> DataFrame:
-    """Missing values get the median of their month: one pre-aggregated pass, joined back on the month."""
-    medians = panel.where(F.col(date).isNotNull()).groupBy(date).agg(*(F.median(c).alias(f"__{c}") for c in columns))
+    """Missing values get the median of their month, found in one range exchange of all columns and joined back on the month.
+
+    The panel is stored once and read from there, so that it isn't built anew for each use.
+    """
+    panel = cut(panel)
+    found = exact_quantiles(panel.where(F.col(date).isNotNull()), columns, (0.5,), [date])
+    medians = found.groupBy(date).agg(*(F.max(F.when(F.col("__column") == i, F.col("__q")[0])).alias(f"__{c}") for i, c in enumerate(columns)))
     filled = panel.join(medians, date, "left")
     return filled.select(*(F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in panel.columns))
 
@@ -110,12 +116,18 @@ def huber(residual: Column, xi: float) -> Column:
     return F.when(F.abs(residual) <= xi, residual * residual).otherwise(2 * xi * F.abs(residual) - xi * xi)
 
 
-def by_size(panel: DataFrame, n: int = 1000, weight: str = "market_equity", date: str = "month", asset: str = "permno") -> DataFrame:
-    """The n largest and the n smallest assets of each month, marked top and bottom (top if both)."""
-    def place(order: Column) -> Column:
-        return F.row_number().over(Window.partitionBy(date).orderBy(order, asset))
+def by_size(panel: DataFrame, n: int = 1000, weight: str = "market_equity", date: str = "month", asset: str = "permno", spread: bool = False) -> DataFrame:
+    """The n largest and the n smallest assets of each month, marked top and bottom (top if both).
 
-    ranked = panel.select("*", place(F.col(weight).desc_nulls_last()).alias("__down"), place(F.col(weight).asc_nulls_last()).alias("__up"))
+    With `spread` a month of any size goes over all tasks instead of one.
+    """
+    down, up = F.col(weight).desc_nulls_last(), F.col(weight).asc_nulls_last()
+    if spread:
+        ranked = panel
+        for name, order in (("__down", down), ("__up", up)):
+            ranked = positions(ranked, [date], [order, asset], name, "__size").drop("__size")
+    else:
+        ranked = panel.select("*", *(F.row_number().over(Window.partitionBy(date).orderBy(order, asset)).alias(name) for name, order in (("__down", down), ("__up", up))))
     side = F.when(F.col("__down") <= n, "top").when(F.col("__up") <= n, "bottom")
     return ranked.withColumn("side", side).where("side IS NOT NULL").drop("__down", "__up")
 

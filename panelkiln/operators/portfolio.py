@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkiln.functions.nulls import divide
+from panelkiln.functions.ordering import positions
 from panelkiln.functions.ranks import quantile_bucket
 
 
-def assign_deciles(panel: DataFrame, forecast: str = "forecast", date: str = "month", asset: str = "permno", buckets: int = 10, output: str = "bucket") -> DataFrame:
-    """Equal-frequency buckets of the forecasts of each month; ties in the order of the assets."""
-    return panel.withColumn(output, F.when(F.col(date).isNotNull(), quantile_bucket(forecast, date, asset, buckets)))
+def assign_deciles(panel: DataFrame, forecast: str = "forecast", date: str = "month", asset: str = "permno", buckets: int = 10, output: str = "bucket", spread: bool = False) -> DataFrame:
+    """Equal-frequency buckets of the forecasts of each month; ties in the order of the assets.
+
+    With `spread` a month of any size goes over all tasks instead of one.
+    """
+    if not spread:
+        return panel.withColumn(output, F.when(F.col(date).isNotNull(), quantile_bucket(forecast, date, asset, buckets)))
+    known = F.col(date).isNotNull() & F.col(forecast).isNotNull()
+    placed = positions(panel.withColumn("__known", known), [date, "__known"], [forecast, asset], "__place", "__size")
+    steps = ((F.col("__place") - 1) * buckets + F.col("__size") - 2) / F.nullif(F.col("__size") - 1, F.lit(0))
+    bucket = F.when(F.col("__known") & (F.col("__size") > 1), F.greatest(F.lit(1), F.floor(steps).cast("int")))
+    return placed.withColumn(output, bucket).drop("__known", "__place", "__size")
 
 
 def value_weighted(panel: DataFrame, ret: str, weight: str, by: tuple[str, ...] = ("month", "bucket")) -> DataFrame:

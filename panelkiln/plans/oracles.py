@@ -90,7 +90,7 @@ _MSE = "avg((ret_excess_lead1 - {0}) * (ret_excess_lead1 - {0}))"
 _LINE = "line AS (SELECT model, regr_slope(ret_excess_lead1, forecast) AS slope, regr_intercept(ret_excess_lead1, forecast) AS intercept FROM forecasts WHERE split = 'validation' GROUP BY 1), adjusted AS (SELECT f.*, intercept + slope * forecast AS calibrated FROM forecasts f JOIN line USING (model))"
 _SHARPE = "sqrt({1}) * avg({0}) / nullif(stddev_samp({0}), 0)"
 _PAST = "(PARTITION BY permno ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_PRODUCTS = {f"{c}__x__{m}": f"{c} * {m}" for c in CHARACTERISTICS[:3] for m in MACROS}
+_PRODUCTS = {f"{c}__x__{m}": f"{c} * {m}" for c in CHARACTERISTICS for m in MACROS}
 _FOLDS = "folds(fold, split, a, b) AS (VALUES {})"
 
 
@@ -208,7 +208,10 @@ _REGRESSION = "rows AS (SELECT permno, month, regr_slope(ret_excess_lead1, disc)
 
 ORACLES: dict[str, str] = {
     "panel_build": _q(f"SELECT permno, month, yyyymm, next_month, sic2, {_list(_PANEL_DOUBLES)} FROM panel"),
-    "panel_manifest": _q(f"SELECT count(*) AS rows, '{','.join(CHARACTERISTICS)}' AS characteristics, '{','.join(MACROS)}' AS macros, 'ret_excess_lead1' AS target_column, 'month' AS date_column FROM panel"),
+    "panel_manifest": _q(
+        f"SELECT count(*) AS rows, {5 + len(_PANEL_DOUBLES)}::BIGINT AS columns, '{','.join(CHARACTERISTICS)}' AS characteristics, '' AS dummies, '{','.join(MACROS)}' AS macros, "
+        "'ret_excess_lead1' AS target_column, 'month' AS date_column, 'permno' AS asset_column, 'market_equity' AS weight_column FROM panel"
+    ),
     "sample_summary": _q(f"SELECT (SELECT count(*) FROM panel) AS n_rows, (SELECT count(DISTINCT permno) FROM panel) AS n_assets, (SELECT min(month) FROM panel) AS first_month, (SELECT max(month) FROM panel) AS last_month, {_r('avg(n)', 'mean_assets')}, {_r('avg(k)', 'mean_industries')}, count(*) AS n_months FROM (SELECT month, count(*) AS n, count(DISTINCT sic2) AS k FROM panel GROUP BY 1)"),
     "missing_rates": _q(" UNION ALL ".join(f"SELECT '{c}' AS feature, '{'trade' if c in ('n_lines', 'qty', 'disp') else 'terms'}' AS family, {_r(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)', 'missing_rate')} FROM chars" for c in CHARACTERISTICS)),
     "target_distribution": _q(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(x) AS n, {_r('avg(x)', 'mean')}, {_r('stddev_samp(x)', 'sd')}, {_QUANTILES} FROM (SELECT {c} AS x FROM panel)" for c in ("ret_excess_lead1", "market_equity"))),
@@ -220,7 +223,7 @@ ORACLES: dict[str, str] = {
     "median_impute": _q(f"SELECT permno, month, {', '.join(_r(f'coalesce({c}, median({c}) OVER (PARTITION BY month))', c) for c in CHARACTERISTICS)} FROM allrows"),
     "asof_release_lag": _q(f"SELECT q1.permno, q1.month, {_r('q_ret', 'q_ret_lag4')}, {_r('y.v', 'a_ret_lag6')} FROM q1 ASOF LEFT JOIN y ON q1.permno = y.permno AND q1.month >= y.at", _LAGGED),
     "macro_interactions": _q(f"SELECT permno, month, {', '.join(_r(x, n) for n, x in _PRODUCTS.items())} FROM panel"),
-    "kronecker_features": _q(f"SELECT permno, month, {_list(CHARACTERISTICS[:2])}, {', '.join(_r(f'{c} * {m}', f'{c}__x__{m}') for c in CHARACTERISTICS[:2] for m in MACROS[:2])}, {', '.join(f'CASE WHEN sic2 = {k} THEN 1.0 ELSE 0.0 END::DOUBLE AS sic2_{k}' for k in range(25))} FROM panel"),
+    "kronecker_features": _q(f"SELECT permno, month, {_list(CHARACTERISTICS)}, {', '.join(_r(f'{c} * {m}', f'{c}__x__{m}') for c in CHARACTERISTICS for m in MACROS)}, {', '.join(f'CASE WHEN sic2 = {k} THEN 1.0 ELSE 0.0 END::DOUBLE AS sic2_{k}' for k in range(25))} FROM panel"),
     "industry_interactions_long": _q(f"SELECT permno, month, feature, {_r('value')} FROM ({_INDUSTRY}) WHERE value <> 0"),
     "interaction_vector": _q(f"SELECT permno, month, CAST({' + '.join(f'CASE WHEN {c} <> 0 THEN 1 ELSE 0 END' for c in CHARACTERISTICS)} AS BIGINT) AS n_nonzero, {_r(' + '.join(CHARACTERISTICS), 'total')} FROM panel"),
     "spline_basis": _q(f"SELECT permno, month, {_r('qty')}, {', '.join(_r(f'(qty - {k}) * (qty - {k})', f'qty_sq{i}') for i, k in enumerate((20.0, 25.0, 30.0)))} FROM panel"),
@@ -278,3 +281,4 @@ ORACLES: dict[str, str] = {
     "ols3_forecast": _three_features(),
     "decile_table": _flagship(),
 }
+ORACLES |= {new: ORACLES[old] for new, old in (("rank_pct_spread", "rank_pct_scaled"), ("rank_minmax_spread", "rank_minmax_scaled"), ("deciles_spread", "forecast_deciles"), ("size_groups_spread", "top_bottom_subsample"))}

@@ -69,7 +69,8 @@ def panel_build(spark, d):
 
 
 def panel_manifest(spark, d):
-    return tables.manifest(_panel(spark, d)).select("rows", F.array_join("characteristics", ",").alias("characteristics"), F.array_join("macros", ",").alias("macros"), "target_column", "date_column")
+    found = tables.manifest(_panel(spark, d))
+    return found.select(*(F.array_join(c, ",").alias(c) if kind.startswith("array") else F.col(c) for c, kind in found.dtypes))
 
 
 def sample_summary(spark, d):
@@ -93,6 +94,22 @@ def rank_minmax_scaled(spark, d):
     return _out(X.rank_columns(_panel(spark, d), CHARACTERISTICS, scale="minmax"), *KEYS, *CHARACTERISTICS)
 
 
+def rank_pct_spread(spark, d):
+    return _out(X.rank_columns(_panel(spark, d), CHARACTERISTICS, spread=True), *KEYS, *CHARACTERISTICS)
+
+
+def rank_minmax_spread(spark, d):
+    return _out(X.rank_columns(_panel(spark, d), CHARACTERISTICS, scale="minmax", spread=True), *KEYS, *CHARACTERISTICS)
+
+
+def deciles_spread(spark, d):
+    return _out(Q.assign_deciles(_one(spark, d), spread=True), *KEYS, "forecast", "bucket")
+
+
+def size_groups_spread(spark, d):
+    return P.by_size(_panel(spark, d), 3, spread=True).select(*KEYS, "side")
+
+
 def ranked_characteristics(spark, d):
     return _out(tables.ranked(raw_tables(spark, d)["stock_characteristics"]))
 
@@ -122,13 +139,13 @@ def asof_release_lag(spark, d):
 
 
 def macro_interactions(spark, d):
-    wide = X.macro_interactions(_panel(spark, d), CHARACTERISTICS[:3], MACROS)
-    return _out(wide, *KEYS, *X.interaction_names(CHARACTERISTICS[:3], MACROS))
+    wide = X.macro_interactions(_panel(spark, d), CHARACTERISTICS, MACROS)
+    return _out(wide, *KEYS, *X.interaction_names(CHARACTERISTICS, MACROS))
 
 
 def kronecker_features(spark, d):
-    panel = P.one_hot(_panel(spark, d).drop(), codes=list(range(25)))
-    wide = X.kronecker(panel, CHARACTERISTICS[:2], MACROS[:2], [f"sic2_{k}" for k in range(25)], KEYS)
+    panel = P.one_hot(_panel(spark, d), codes=list(range(25)))
+    wide = X.kronecker(panel, CHARACTERISTICS, MACROS, [f"sic2_{k}" for k in range(25)], KEYS)
     return _out(wide)
 
 
@@ -451,7 +468,8 @@ def decile_table(spark, d):
     return _out(Q.value_weighted(Q.assign_deciles(model.predict(split.where("split = 'test'"))), TARGET, "market_equity"))
 
 
-_NAMES = """panel_build panel_manifest sample_summary missing_rates target_distribution rank_pct_scaled rank_minmax_scaled ranked_characteristics
+_NAMES = """panel_build panel_manifest sample_summary missing_rates target_distribution rank_pct_scaled rank_minmax_scaled
+rank_pct_spread rank_minmax_spread deciles_spread size_groups_spread ranked_characteristics
 rank_guard per_date_counts median_impute asof_release_lag macro_interactions kronecker_features industry_interactions_long interaction_vector spline_basis
 standardized_features scaled_features market_equity_sic2 fixed_split_counts rolling_split_counts expanding_split_counts oos_r2_by_model mse_mae monthly_ic calibration
 calibrated_evaluation full_evaluation model_metrics stacked_predictions dm_pooled monthly_error_difference dm_newey_west dm_matrix forecast_deciles vw_returns
