@@ -165,6 +165,76 @@ best AS (SELECT k.*, r2 FROM k JOIN scores ON scores.fold = k.fold AND scores.gr
 w AS (SELECT permno, month, best.fold, alpha::DOUBLE AS alpha, my + b1 * (disc - m1) + b2 * (qty - m2) AS forecast FROM o JOIN best ON best.fold = o.fold WHERE part = 'test')"""
 
 
+def _tree(depth: int = 2, leaf: int = 100) -> str:
+    """The regression tree on n_lines, every cut tried: f has all rows with the mean of their leaf."""
+    steps = []
+    for k in range(depth):
+        steps.append(f"""
+v{k} AS (SELECT node, x, count(*) AS n, sum(y) AS s FROM t{k} WHERE split = 'train' GROUP BY ALL),
+u{k} AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER (PARTITION BY node) AS tn, sum(s) OVER (PARTITION BY node) AS ts, lead(x) OVER w AS above FROM v{k} WINDOW w AS (PARTITION BY node ORDER BY x)),
+g{k} AS (SELECT *, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS gain FROM u{k} WHERE ln >= {leaf} AND tn - ln >= {leaf}),
+c{k} AS (SELECT node, (x + above) / 2 AS cut FROM g{k} WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, x) = 1),
+t{k + 1} AS (SELECT t{k}.* REPLACE (2 * node + CASE WHEN x > cut THEN 1 ELSE 0 END AS node) FROM t{k} LEFT JOIN c{k} USING (node))""")
+    return f"""t0 AS (SELECT permno, month, split, n_lines AS x, ret_excess_lead1 AS y, 1 AS node FROM split),{','.join(steps)},
+leaves AS (SELECT node, avg(y) AS forecast FROM t{depth} WHERE split = 'train' GROUP BY node),
+f AS (SELECT t{depth}.*, forecast FROM t{depth} JOIN leaves USING (node))"""
+
+
+def _pls(k: int) -> str:
+    """Partial least squares from the products of standardised features: a step a component, each a row of lists."""
+    c, p = CHARACTERISTICS, len(CHARACTERISTICS)
+    gram = ", ".join("[" + ", ".join(f"n * covar_pop({a}, {b}) / (stddev_samp({a}) * stddev_samp({b}))" for b in c) + "]" for a in c)
+    first = (
+        f"s0 AS (SELECT avg(ret_excess_lead1) AS my, [{', '.join(f'avg({a})' for a in c)}] AS m, [{', '.join(f'stddev_samp({a})' for a in c)}] AS sd, [{gram}] AS xx, "
+        f"[{', '.join(f'n * covar_pop({a}, ret_excess_lead1) / stddev_samp({a})' for a in c)}] AS xy FROM split, (SELECT count(*) AS n FROM split WHERE split = 'train') WHERE split = 'train' GROUP BY n), "
+        "k0 AS (SELECT *, xy AS s, []::DOUBLE[][] AS w, []::DOUBLE[][] AS p, []::DOUBLE[] AS q FROM s0)"
+    )
+    steps = []
+    for i in range(k):
+        r = f"a{i} AS (SELECT *, list_transform(s, lambda v: v / sqrt(list_dot_product(s, s))) AS r0 FROM k{i})"
+        cleaned = "r0" if i == 0 else "list_transform(range(1, {0}), lambda j: r0[j] - w[1][j] * list_dot_product(p[1], r0))".format(p + 1)
+        steps += [
+            r,
+            f"b{i} AS (SELECT *, {cleaned} AS r FROM a{i})",
+            f"d{i} AS (SELECT *, list_transform(xx, lambda row: list_dot_product(row, r)) AS xr FROM b{i})",
+            f"e{i} AS (SELECT *, list_dot_product(r, xr) AS t FROM d{i})",
+            f"k{i + 1} AS (SELECT my, m, sd, xx, xy, list_transform(range(1, {p + 1}), lambda j: s[j] - xr[j] / t * list_dot_product(r, xy)) AS s, list_append(w, r) AS w, list_append(p, list_transform(xr, lambda v: v / t)) AS p, "
+            f"list_append(q, list_dot_product(r, xy) / t) AS q FROM e{i})",
+        ]
+    beta = f"list_transform(range(1, {p + 1}), lambda j: ({' + '.join(f'w[{i + 1}][j] * q[{i + 1}]' for i in range(k))}) / sd[j])"
+    return ", ".join([first, *steps, f"z AS (SELECT my, m, {beta} AS b FROM k{k})"])
+
+
+def _spline_1f(knot: float, penalty: float) -> str:
+    """Group lasso on qty and one square: in the basis (1, 1), (1, -1) the length of the coefficients is the root of one equation, found by halving."""
+    return f"""
+x AS (SELECT permno, month, split, ret_excess_lead1 AS y, qty AS a, (qty - {knot}) * (qty - {knot}) AS b FROM split),
+s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, {penalty} * sqrt(2) AS l FROM x WHERE split = 'train'),
+turned AS (SELECT *, (ca + cb) / sqrt(2) AS c1, (ca - cb) / sqrt(2) AS c2 FROM s),
+h AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS low, 1e6::DOUBLE AS high FROM turned
+  UNION ALL
+  SELECT k + 1, CASE WHEN big THEN mid ELSE low END, CASE WHEN big THEN high ELSE mid END
+  FROM (SELECT h.*, (low + high) / 2 AS mid, (c1 / ((1 + r) * (low + high) / 2 + l)) ** 2 + (c2 / ((1 - r) * (low + high) / 2 + l)) ** 2 > 1 AS big FROM h, turned WHERE k < 200)
+),
+t AS (SELECT turned.*, CASE WHEN c1 * c1 + c2 * c2 <= l * l THEN 0 ELSE low END AS t FROM turned, h WHERE k = 200),
+v AS (SELECT *, CASE WHEN t > 0 THEN c1 / (1 + r + l / t) ELSE 0 END AS d1, CASE WHEN t > 0 THEN c2 / (1 - r + l / t) ELSE 0 END AS d2 FROM t)"""
+
+
+def _linear_step(rate: float = 0.05, l2: float = 1e-4) -> str:
+    """One step of Adam from the first weights of a network without hidden layers: each weight moves by rate g / (|g| + 1e-8)."""
+    from panelkiln.operators.neural import _start
+
+    w1, w2 = (float(v) for v in _start([], 2, 1)[0][:, 0])
+    moved = ", ".join(f"{w!r} - {rate} * {g} / (abs({g}) + 1e-8) AS {n}" for w, g, n in ((w1, "g1", "w1"), (w2, "g2", "w2"), (0.0, "g0", "w0")))
+    return f"""
+s AS (SELECT avg(disc) AS m1, avg(qty) AS m2, stddev_pop(disc) AS s1, stddev_pop(qty) AS s2 FROM split WHERE split = 'train'),
+z AS (SELECT permno, month, split, ret_excess_lead1 AS y, (disc - m1) / s1 AS z1, (qty - m2) / s2 AS z2 FROM split, s),
+e AS (SELECT *, {w1!r} * z1 + {w2!r} * z2 - y AS e FROM z WHERE split = 'train'),
+d AS (SELECT 2 * avg(e * z1) + {l2} * {w1!r} AS g1, 2 * avg(e * z2) + {l2} * {w2!r} AS g2, 2 * avg(e) AS g0 FROM e),
+w AS (SELECT {moved} FROM d)"""
+
+
 def _three_features() -> str:
     x = ("disc", "qty", "tax")
     cov = ", ".join([*(f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x) if i <= j), *(f"covar_pop({a}, ret_excess_lead1) AS y{i}, avg({a}) AS m{i}" for i, a in enumerate(x))])
@@ -281,4 +351,28 @@ ORACLES: dict[str, str] = {
     "ols3_forecast": _three_features(),
     "decile_table": _flagship(),
 }
+_PCR = """s AS (
+  SELECT count(*) AS n, avg(ret_excess_lead1) AS my, avg(disc) AS m1, avg(qty) AS m2, stddev_pop(disc) AS s1, stddev_pop(qty) AS s2, avg(disc * disc) AS q1, avg(qty * qty) AS q2, avg(disc * qty) AS q12,
+    covar_pop(disc, qty) AS c12, covar_pop(disc, ret_excess_lead1) AS y1, covar_pop(qty, ret_excess_lead1) AS y2
+  FROM split WHERE split = 'train'
+),
+a AS (SELECT *, atan2(2 * q12 / (s1 * s2), q1 / (s1 * s1) - q2 / (s2 * s2)) / 2 AS angle FROM s),
+b AS (SELECT *, cos(angle) / s1 AS v1, sin(angle) / s2 AS v2 FROM a),
+k AS (SELECT *, n * (v1 * y1 + v2 * y2) / (n * (v1 * v1 * s1 * s1 + 2 * v1 * v2 * c12 + v2 * v2 * s2 * s2) + 1) AS gamma FROM b)"""
+_ENET = """s AS (SELECT avg(ret_excess_lead1) AS my, avg(disc) AS m, stddev_pop(disc) AS sd, covar_pop(disc, ret_excess_lead1) / stddev_pop(disc) AS c FROM split WHERE split = 'train'),
+b AS (SELECT *, sign(c) * greatest(abs(c) - 0.01, 0) / 1.01 / sd AS b FROM s)"""
+_FORECAST = f"SELECT permno, month, split, {_r('forecast')} FROM f WHERE split <> 'train'"
+_ROWS = "SELECT permno, month, split, {} FROM {} WHERE split <> 'train'"
+ORACLES |= {
+    "pcr_2f": _q(_ROWS.format(_r("my + gamma * (v1 * (disc - m1) + v2 * (qty - m2))", "forecast"), "split, k"), _PCR),
+    "pls": _q(_ROWS.format(_r(f"my + list_dot_product(b, [{', '.join(CHARACTERISTICS)}]) - list_dot_product(b, m)", "forecast"), "split, z"), _pls(2)),
+    "glm_spline_1f": _q(_ROWS.format(_r("my + (d1 + d2) / sqrt(2) / sa * (a - ma) + (d1 - d2) / sqrt(2) / sb * (b - mb)", "forecast"), "x, v"), _spline_1f(25.0, 0.002)).replace("WITH ", "WITH RECURSIVE ", 1),
+    "regression_tree_1f": _q(_FORECAST, _tree()),
+    "random_forest_1f": _q(_FORECAST, _tree()),
+    "random_forest_grid_1f": " UNION ALL ".join(f"(SELECT {k - 1} AS grid_index, {k} AS max_depth, 'all' AS max_features, {_r('1 - sum((y - forecast) * (y - forecast)) / sum(y * y)', 'validation_r2')} FROM ({_q('SELECT * FROM f', _tree(k))}) WHERE split = 'validation')" for k in (1, 2)),
+    "gbrt_squares_1f": _q(_ROWS.format(_r("start + 0.5 * (forecast - start)", "forecast"), "f, o"), _tree() + ", o AS (SELECT y AS start FROM (SELECT y, row_number() OVER (ORDER BY y) AS k, count(*) OVER () AS n FROM t0 WHERE split = 'train') WHERE k = (n + 1) // 2)"),
+    "ensemble_mean": _q(f"SELECT permno, month, {_r('avg(forecast)', 'forecast')}, count(*) AS n_runs FROM forecasts GROUP BY 1, 2"),
+    "nn_linear_step": _q(_ROWS.format(_r("w0 + w1 * z1 + w2 * z2", "forecast"), "z, w"), _linear_step()),
+    "enet_1f": _q(_ROWS.format(_r("my + b * (disc - m)", "forecast"), "split, b"), _ENET),
+}
 ORACLES |= {new: ORACLES[old] for new, old in (("rank_pct_spread", "rank_pct_scaled"), ("rank_minmax_spread", "rank_minmax_scaled"), ("deciles_spread", "forecast_deciles"), ("size_groups_spread", "top_bottom_subsample"))}

@@ -417,6 +417,45 @@ def pls(spark, d):
     return _fitted(lambda train, _: linear.pls(linear.gram(train, CHARACTERISTICS, TARGET), 2))(spark, d)
 
 
+def pcr_2f(spark, d):
+    """One of two directions."""
+    return _fitted(lambda train, _: linear.pcr(linear.gram(train, ["disc", "qty"], TARGET), 1))(spark, d)
+
+
+def glm_spline_1f(spark, d):
+    return _fitted(lambda train, _: runs.glm_spline(train, ["qty"], TARGET, penalty=0.002, knots={"qty": [25.0]}))(spark, d)
+
+
+def regression_tree_1f(spark, d):
+    return _fitted(lambda train, _: trees.regression_tree(train, ["n_lines"], TARGET, depth=2, leaf=100))(spark, d)
+
+
+def random_forest_1f(spark, d):
+    """Trees that see all rows and features are all the same tree."""
+    return _fitted(lambda train, _: trees.random_forest(train, ["n_lines"], TARGET, numTrees=3, maxDepth=2, bootstrap=False))(spark, d)
+
+
+def random_forest_grid_1f(spark, d):
+    panel = _split(spark, d)
+    grid = [{"numTrees": 2, "maxDepth": k, "minInstancesPerNode": 100, "featureSubsetStrategy": "all", "subsamplingRate": 1.0, "bootstrap": False} for k in (1, 2)]
+    return _out(trees.random_forest_grid(panel.where("split = 'train'"), panel.where("split = 'validation'"), ["n_lines"], TARGET, grid)[1])
+
+
+def gbrt_squares_1f(spark, d):
+    """One stage that clips nothing: boosting of squared errors."""
+    return _fitted(lambda train, _: boosting.boosted_huber(train, ["n_lines"], TARGET, stages=1, rate=0.5, quantile=1.0))(spark, d)
+
+
+def ensemble_mean(spark, d):
+    forecasts = _forecasts(spark, d)
+    return _out(runs.seed_ensemble([forecasts.where(F.col("model") == m).select(*KEYS, "forecast") for m in "abc"]))
+
+
+def enet_1f(spark, d):
+    """A threshold that no residual reaches: the elastic net of squared errors."""
+    return _fitted(lambda train, _: linear.elastic_net_huber(train, ["disc"], TARGET, alpha=0.02, xi=1e6, rounds=200))(spark, d)
+
+
 def enet_huber(spark, d):
     return _fitted(lambda train, _: linear.elastic_net_huber(train, CHARACTERISTICS, TARGET, rounds=12))(spark, d)
 
@@ -452,6 +491,11 @@ nn1, nn2, nn3, nn4, nn5 = (_network(name) for name in neural.WIDTHS)
 nn = nn3
 
 
+def nn_linear_step(spark, d):
+    """A network without hidden layers after one step over all rows."""
+    return _fitted(lambda train, validation: neural.train_network(train, validation, ["disc", "qty"], TARGET, [], epochs=1, rate=0.05, batch=10**9))(spark, d)
+
+
 def seed_ensemble(spark, d):
     panel = _split(spark, d)
     def run(seed: int) -> DataFrame:
@@ -477,5 +521,5 @@ long_short decile_performance decile_monotonicity turnover sharpe r2_to_sharpe t
 sign_restricted_forecast drop_importance_linear group_importance ssd_importance top_bottom_subsample regime_subsample
 period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ridge_sparse_forecast ridge_sparse_conjugate ridge_sparse_grid
 walk_forward_ols walk_forward_ridge walk_forward_choices ols3_forecast pcr
-pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn nn1 nn2 nn4 nn5 seed_ensemble decile_table""".split()
+pcr_2f glm_spline_1f regression_tree_1f random_forest_1f random_forest_grid_1f gbrt_squares_1f ensemble_mean enet_1f pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn nn1 nn2 nn4 nn5 nn_linear_step seed_ensemble decile_table""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

@@ -53,9 +53,9 @@ class _Splined:
         return self.inner.predict(wide, output).select(*df.columns, output)
 
 
-def glm_spline(train: DataFrame, features: list[str], target: str, n_knots: int = 3, penalty: float = 1e-3) -> _Splined:
-    """Quadratic splines of every feature with a group penalty that drops whole features."""
-    knots = spline_knots(train, features, n_knots)
+def glm_spline(train: DataFrame, features: list[str], target: str, n_knots: int = 3, penalty: float = 1e-3, knots: dict[str, list[float]] | None = None) -> _Splined:
+    """Quadratic splines of every feature with a group penalty that drops whole features; knots at quantiles, or as given."""
+    knots = knots or spline_knots(train, features, n_knots)
     names = [n for c in features for n in (c, *(f"{c}_sq{i}" for i in range(len(knots[c]))))]
     groups = [[k for k, n in enumerate(names) if n == c or n.startswith(f"{c}_sq")] for c in features]
     fit = linear.group_lasso(linear.gram(spline_basis(train, features, knots), names, target), groups, penalty)

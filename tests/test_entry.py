@@ -13,7 +13,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["panel_build", "rank_minmax_scaled", "asof_release_lag", "dm_matrix", "turnover", "ols3_forecast", "decile_table", "full_evaluation", *stored.QUERIES])
+@pytest.mark.parametrize("name", ["panel_build", "rank_minmax_scaled", "asof_release_lag", "dm_matrix", "turnover", "ols3_forecast", "decile_table", "full_evaluation", "ridge_sparse_grid", "walk_forward_ridge", "rank_pct_spread", "pls", "glm_spline_1f", "nn_linear_step", *stored.QUERIES])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
