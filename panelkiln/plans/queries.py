@@ -453,11 +453,11 @@ def ensemble_mean(spark, d):
 
 def enet_1f(spark, d):
     """A threshold that no residual reaches: the elastic net of squared errors."""
-    return _fitted(lambda train, _: linear.elastic_net_huber(train, ["disc"], TARGET, alpha=0.02, xi=1e6, rounds=200))(spark, d)
+    return _fitted(lambda train, _: linear.elastic_net_huber(train, ["disc"], TARGET, alpha=0.02, xi=1e6, tolerance=1e-14))(spark, d)
 
 
 def enet_huber(spark, d):
-    return _fitted(lambda train, _: linear.elastic_net_huber(train, CHARACTERISTICS, TARGET, rounds=12))(spark, d)
+    return _fitted(lambda train, _: linear.elastic_net_huber(train, CHARACTERISTICS, TARGET))(spark, d)
 
 
 def glm_spline(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from panelkiln.operators import evaluate as E
 from panelkiln.operators import features as X
 from panelkiln.operators import linear
 from panelkiln.operators import panel as P
+from panelkiln.operators import portfolio as Q
 from panelkiln.plans import oracles as O
 from panelkiln.plans import queries as R
-from panelkiln.plans import runs
+from panelkiln.plans import runs, stages
 from panelkiln.sources import schema, tables
 from panelkiln.sources.fixture import raw_tables
 
@@ -115,6 +117,38 @@ def estimator_adapter(spark, d):
     return R._fitted(lambda train, _: runs.SparkEstimator(LinearRegression(solver="normal"), ["disc", "qty"]).fit(train, R.TARGET))(spark, d)
 
 
+def pipeline_saved_forecast(spark, d):
+    """A family fitted inside a pipeline, saved and read back."""
+    panel, path = R._split(spark, d), f"{tables.shared_folder(spark)}/pipeline"
+    Pipeline(stages=[stages.PanelRegressor(family="ols", features=["disc", "qty"], target=R.TARGET, split="split")]).fit(panel).save(path)
+    return R._out(PipelineModel.load(path).transform(panel.where("split <> 'train'")), *R.KEYS, "split", "forecast")
+
+
+def all_reports_read_back(spark, d):
+    """The six reports, written and read back: rows of each and the sum of one measure."""
+    folder, forecasts, panel = tables.shared_folder(spark), R._forecasts(spark, d).cache(), R._panel(spark, d)
+    portfolios, model = R._portfolios(spark, d), R._fixed_linear()
+    reports = {
+        "sample_summary": E.sample_summary(panel), "model_r2": runs.model_metrics(forecasts, R.TARGET), "model_dm_tests": E.dm_matrix(forecasts, R.TARGET, lags=3),
+        "decile_portfolios": Q.decile_performance(portfolios), "long_short_performance": runs.evaluate_on_test(forecasts, R.TARGET)["spread"],
+        "variable_importance": E.drop_importance(model.predict(panel), R.TARGET, "forecast", model.terms()),
+    }
+    reports = {n: R._out(df) for n, df in reports.items()}
+    tables.write_reports(reports, folder)
+    forecasts.unpersist()
+    out = None
+    for name, measure in _REPORT_MEASURES.items():
+        found = spark.read.option("header", True).schema(reports[name].schema).csv(f"{folder}/{name}")
+        row = found.agg(F.lit(name).alias("report"), F.count("*").alias("n_rows"), F.sum(measure).alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return R._out(out)
+
+
+_REPORT_MEASURES = {
+    "sample_summary": "mean_assets", "model_r2": "test_oos_r2", "model_dm_tests": "dm_stat", "decile_portfolios": "mean_return", "long_short_performance": "mean_spread", "variable_importance": "importance",
+}
+
+
 def custom_function(spark, d):
     def fit(train, validation, test, target, features, config, seed):
         model = linear.ridge(linear.gram(train, features, target), config["alpha"])
@@ -163,4 +197,12 @@ ORACLES: dict[str, str] = {
     "custom_function": O.ORACLES["ridge_forecast_2f"],
     "rescored_importance": O.ORACLES["drop_importance_linear"],
 }
+_REPORT_SQL = {
+    "sample_summary": O.ORACLES["sample_summary"], "model_r2": O.ORACLES["model_metrics"], "model_dm_tests": O.ORACLES["dm_matrix"], "decile_portfolios": O.ORACLES["decile_performance"],
+    "long_short_performance": ORACLES["evaluation_spread"], "variable_importance": O.ORACLES["drop_importance_linear"],
+}
+ORACLES |= {
+    "pipeline_saved_forecast": O.ORACLES["ols_forecast_2f"],
+    "all_reports_read_back": " UNION ALL ".join(f"(SELECT '{n}' AS report, count(*) AS n_rows, {O._r(f'sum({m})', 'total')} FROM ({_REPORT_SQL[n]}))" for n, m in _REPORT_MEASURES.items()),
+}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in ORACLES}

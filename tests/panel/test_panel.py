@@ -218,7 +218,7 @@ def test_elastic_net_huber_equals_a_long_run(sample):
         a += step * u.mean()
         b = b + step * (z.T @ u / len(y) - alpha * 0.5 * b)
         b = np.sign(b) * np.maximum(np.abs(b) - step * alpha * 0.5, 0)
-    fit = linear.elastic_net_huber(df.where("split = 'train'"), FEATURES, "y", alpha=alpha, xi=None, rounds=60)
+    fit = linear.elastic_net_huber(df.where("split = 'train'"), FEATURES, "y", alpha=alpha, xi=None, tolerance=1e-13)
     assert np.allclose(np.array(fit.coefficients) * x.std(0), b, atol=1e-5)
 
 
