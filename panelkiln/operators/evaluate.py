@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkiln.functions.nulls import divide
+from panelkiln.functions.nulls import divide, zero
 from panelkiln.functions.ordering import cut, exact_quantiles
 
+#: Forecasts that a task makes at once.
+_ABLATION_CELLS = 1 << 21
+
 
 def oos_r2(actual: str, forecast: str, benchmark: float | str = 0.0) -> Column:
     """1 - SSE / SSE of the benchmark; NULL if any actual or forecast is missing."""
@@ -121,6 +128,40 @@ def rescored_importance(model, panel: DataFrame, target: str, features: list[str
     return each.select("feature", "baseline_r2", "ablated_r2", (F.col("baseline_r2") - F.col("ablated_r2")).alias("importance"))
 
 
+def ablation_importance(model, panel: DataFrame, target: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """The same for networks and boosted trees, by feature or by named groups of features, without a copied row.
+
+    Each row is read once and scored for all ablations together by the model's `ablated`; tasks add up the squared errors. As with
+    `oos_r2` the measures are NULL if a target is missing.
+    """
+    names = list(groups) if groups else list(model.features)
+    columns = [[model.features.index(c) for c in (groups[n] if groups else [n])] for n in names]
+    p, k = len(model.features), len(names) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k + 1)
+        for batch in batches:
+            for s in range(0, batch.num_rows, max(1, _ABLATION_CELLS // k)):
+                part = batch.slice(s, max(1, _ABLATION_CELLS // k))
+                y = part.column(p).to_numpy(zero_copy_only=False)
+                raw = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(p)], axis=1)
+                errors = model.ablated(raw, columns) - y[:, None]
+                total += np.append((errors * errors).sum(axis=0), (y * y).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1)), pa.array(total)], ["cell", "v"])
+
+    rows = panel.select(*(zero(c).cast("double").alias(f"x{i}") for i, c in enumerate(model.features)), F.coalesce(F.col(target).cast("double"), F.lit(float("nan"))).alias("y"))
+    sums = rows.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("sums"))
+    def of(cell: Column) -> Column:
+        return F.element_at("sums", cell.cast("long"))
+
+    def r2(cell: Column) -> Column:
+        return F.nanvl(1 - divide(of(cell), of(F.lit(k))), F.lit(None).cast("double"))
+
+    entries = F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(i + 1).alias("i")) for i, n in enumerate(names)))
+    each = sums.where(F.size("sums") > 0).select("sums", F.explode(entries).alias("e")).select("e.feature", r2(F.lit(0)).alias("baseline_r2"), r2(F.col("e.i")).alias("ablated_r2"))
+    return each.select("feature", "baseline_r2", "ablated_r2", (F.col("baseline_r2") - F.col("ablated_r2")).alias("importance"))
+
+
 def sample_summary(panel: DataFrame, date: str = "month", asset: str = "permno", industry: str = "sic2") -> DataFrame:
     monthly = panel.groupBy(date).agg(F.count("*").alias("n"), F.countDistinct(industry).alias("k"))
     whole = panel.agg(F.count("*").alias("n_rows"), F.countDistinct(asset).alias("n_assets"), F.min(date).alias("first_month"), F.max(date).alias("last_month"))

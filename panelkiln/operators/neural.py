@@ -138,6 +138,24 @@ class Network:
 
         return df.withColumn(output, forecast(F.struct(*self._inputs(df))))
 
+    def inputs(self, raw: np.ndarray) -> np.ndarray:
+        scale = np.array([self.scale[c] for c in self.features]).reshape(-1, 2)
+        return (raw - scale[:, 0]) / scale[:, 1]
+
+    def ablated(self, raw: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+        """Forecasts of rows of raw features, in the first column as they are and then with each group of features set to 0.
+
+        Only what the group adds to the first layer is taken out of it.
+        """
+        x, w = self.inputs(raw), self.weights
+        at_zero = self.inputs(np.zeros((1, raw.shape[1])))[0]
+        first = x @ w[0] + w[1]
+        out = []
+        for own in [[], *groups]:
+            z = first - (x[:, own] - at_zero[own]) @ w[0][own]
+            out.append(z[:, 0] if len(w) == 2 else _forward(w[2:], np.maximum(z, 0))[-1][:, 0])
+        return np.stack(out, axis=1)
+
     def ssd(self, df: DataFrame) -> DataFrame:
         """feature, ssd: sum over rows of the squared derivative by each raw feature."""
         w, k = self.weights, len(self.features)

@@ -361,6 +361,8 @@ b AS (SELECT *, cos(angle) / s1 AS v1, sin(angle) / s2 AS v2 FROM a),
 k AS (SELECT *, n * (v1 * y1 + v2 * y2) / (n * (v1 * v1 * s1 * s1 + 2 * v1 * v2 * c12 + v2 * v2 * s2 * s2) + 1) AS gamma FROM b)"""
 _ENET = """s AS (SELECT avg(ret_excess_lead1) AS my, avg(disc) AS m, stddev_pop(disc) AS sd, covar_pop(disc, ret_excess_lead1) / stddev_pop(disc) AS c FROM split WHERE split = 'train'),
 b AS (SELECT *, sign(c) * greatest(abs(c) - 0.01, 0) / 1.01 / sd AS b FROM s)"""
+_DROPS = "SELECT feature, {}, {}, {} FROM (SELECT r.feature AS feature, 1 - sum((y - f) * (y - f)) / sum(y * y) AS base, 1 - sum((y - r.g) * (y - r.g)) / sum(y * y) AS r2 FROM a GROUP BY 1)"
+_LOWER_MEDIAN = "SELECT y AS start FROM (SELECT y, row_number() OVER (ORDER BY y) AS k, count(*) OVER () AS n FROM t0 WHERE split = 'train') WHERE k = (n + 1) // 2"
 _FORECAST = f"SELECT permno, month, split, {_r('forecast')} FROM f WHERE split <> 'train'"
 _ROWS = "SELECT permno, month, split, {} FROM {} WHERE split <> 'train'"
 ORACLES |= {
@@ -370,9 +372,14 @@ ORACLES |= {
     "regression_tree_1f": _q(_FORECAST, _tree()),
     "random_forest_1f": _q(_FORECAST, _tree()),
     "random_forest_grid_1f": " UNION ALL ".join(f"(SELECT {k - 1} AS grid_index, {k} AS max_depth, 'all' AS max_features, {_r('1 - sum((y - forecast) * (y - forecast)) / sum(y * y)', 'validation_r2')} FROM ({_q('SELECT * FROM f', _tree(k))}) WHERE split = 'validation')" for k in (1, 2)),
-    "gbrt_squares_1f": _q(_ROWS.format(_r("start + 0.5 * (forecast - start)", "forecast"), "f, o"), _tree() + ", o AS (SELECT y AS start FROM (SELECT y, row_number() OVER (ORDER BY y) AS k, count(*) OVER () AS n FROM t0 WHERE split = 'train') WHERE k = (n + 1) // 2)"),
+    "gbrt_squares_1f": _q(_ROWS.format(_r("start + 0.5 * (forecast - start)", "forecast"), "f, o"), _tree() + f", o AS ({_LOWER_MEDIAN})"),
     "ensemble_mean": _q(f"SELECT permno, month, {_r('avg(forecast)', 'forecast')}, count(*) AS n_runs FROM forecasts GROUP BY 1, 2"),
     "nn_linear_step": _q(_ROWS.format(_r("w0 + w1 * z1 + w2 * z2", "forecast"), "z, w"), _linear_step()),
+    "network_importance": _q(_DROPS.format(_r("base", "baseline_r2"), _r("r2", "ablated_r2"), _r("base - r2", "importance")), _linear_step() + """,
+p AS (SELECT y, w0 + w1 * z1 + w2 * z2 AS f, w0 - w1 * m1 / s1 + w2 * z2 AS disc, w0 + w1 * z1 - w2 * m2 / s2 AS qty FROM z, w, s), a AS (SELECT y, f, unnest([{'feature': 'disc', 'g': disc}, {'feature': 'qty', 'g': qty}]) AS r FROM p)"""),
+    "boosted_importance": _q(_DROPS.format(_r("base", "baseline_r2"), _r("r2", "ablated_r2"), _r("base - r2", "importance")), _tree() + f""",
+o AS ({_LOWER_MEDIAN}), least AS (SELECT forecast AS low FROM f ORDER BY x LIMIT 1), p AS (SELECT y, (start + forecast) / 2 AS f, (start + low) / 2 AS none FROM f, o, least),
+a AS (SELECT y, f, unnest([{{'feature': 'trade', 'g': none}}, {{'feature': 'none', 'g': f}}, {{'feature': 'both', 'g': none}}]) AS r FROM p)"""),
     "enet_1f": _q(_ROWS.format(_r("my + b * (disc - m)", "forecast"), "split, b"), _ENET),
 }
 ORACLES |= {new: ORACLES[old] for new, old in (("rank_pct_spread", "rank_pct_scaled"), ("rank_minmax_spread", "rank_minmax_scaled"), ("deciles_spread", "forecast_deciles"), ("size_groups_spread", "top_bottom_subsample"))}

@@ -317,6 +317,21 @@ def group_importance(spark, d):
     return _out(E.drop_importance(model.predict(_panel(spark, d)), TARGET, "forecast", {"terms": t["disc"] + t["tax"], "trade": t["qty"]}))
 
 
+def network_importance(spark, d):
+    """By feature, of a network without hidden layers after one step."""
+    panel = _split(spark, d)
+    parts = (panel.where(F.col("split") == p) for p in ("train", "validation"))
+    model = neural.train_network(*parts, ["disc", "qty"], TARGET, [], epochs=1, rate=0.05, batch=10**9)
+    return _out(E.ablation_importance(model, panel, TARGET))
+
+
+def boosted_importance(spark, d):
+    """By group, of a stage of boosting that only one feature can split."""
+    panel = _split(spark, d).withColumn("still", F.lit(1.0))
+    model = boosting.boosted_huber(panel.where("split = 'train'"), ["n_lines", "still"], TARGET, stages=1, rate=0.5, quantile=1.0)
+    return _out(E.ablation_importance(model, panel, TARGET, {"trade": ["n_lines"], "none": ["still"], "both": ["n_lines", "still"]}))
+
+
 def ssd_importance(spark, d):
     return _out(linear.ssd_importance(_fixed_linear(), _panel(spark, d)))
 
@@ -518,7 +533,7 @@ rank_guard per_date_counts median_impute asof_release_lag macro_interactions kro
 standardized_features scaled_features market_equity_sic2 fixed_split_counts rolling_split_counts expanding_split_counts oos_r2_by_model mse_mae monthly_ic calibration
 calibrated_evaluation full_evaluation model_metrics stacked_predictions dm_pooled monthly_error_difference dm_newey_west dm_matrix forecast_deciles vw_returns
 long_short decile_performance decile_monotonicity turnover sharpe r2_to_sharpe timing_strategy positive_forecasts hist_mean_benchmark
-sign_restricted_forecast drop_importance_linear group_importance ssd_importance top_bottom_subsample regime_subsample
+sign_restricted_forecast drop_importance_linear group_importance network_importance boosted_importance ssd_importance top_bottom_subsample regime_subsample
 period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ridge_sparse_forecast ridge_sparse_conjugate ridge_sparse_grid
 walk_forward_ols walk_forward_ridge walk_forward_choices ols3_forecast pcr
 pcr_2f glm_spline_1f regression_tree_1f random_forest_1f random_forest_grid_1f gbrt_squares_1f ensemble_mean enet_1f pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn nn1 nn2 nn4 nn5 nn_linear_step seed_ensemble decile_table""".split()
