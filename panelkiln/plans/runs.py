@@ -31,17 +31,23 @@ Fit = Callable[[DataFrame, DataFrame, list[str], str], Model]
 
 
 class SparkEstimator:
-    """Any pyspark.ml estimator as a model of this library; dense and sparse inputs are one vector column."""
+    """Any pyspark.ml estimator as a model of this library; numeric and vector features become one vector column."""
 
     def __init__(self, estimator: Estimator, features: list[str]):
         self.estimator, self.features, self.model = estimator, features, None
 
+    def _assembled(self, df: DataFrame) -> DataFrame:
+        kinds = dict(df.dtypes)
+        vectors = [c for c in self.features if kinds[c] == "vector"]
+        return assemble(df, [c for c in self.features if c not in vectors], vectors, "__features")
+
     def fit(self, train: DataFrame, target: str) -> SparkEstimator:
-        self.model = self.estimator.fit(assemble(train.where(F.col(target).isNotNull()), self.features).withColumn("label", F.col(target)))
+        rows = self._assembled(train.where(F.col(target).isNotNull())).withColumn("__label", F.col(target))
+        self.model = self.estimator.copy({self.estimator.featuresCol: "__features", self.estimator.labelCol: "__label"}).fit(rows)
         return self
 
     def predict(self, df: DataFrame, output: str = "forecast") -> DataFrame:
-        return self.model.transform(assemble(df, self.features)).withColumn(output, F.col("prediction")).drop("prediction", "features")
+        return self.model.transform(self._assembled(df)).withColumn(output, F.col("prediction")).drop("prediction", "__features")
 
 
 class _Splined:

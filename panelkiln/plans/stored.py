@@ -34,7 +34,7 @@ def raw_tables_read_back(spark, d):
     folder, raw = tables.shared_folder(spark), raw_tables(spark, d)
     for name, df in raw.items():
         df.write.parquet(f"{folder}/{name}.parquet")
-    return R._out(P.build_panel(tables.read_raw(spark, folder, {n: df.schema for n, df in raw.items()})))
+    return R._out(P.build_panel(tables.read_raw(spark, folder, schema.raw_schemas(R.CHARACTERISTICS))))
 
 
 def panel_read_back(spark, d):
@@ -117,6 +117,13 @@ def estimator_adapter(spark, d):
     return R._fitted(lambda train, _: runs.SparkEstimator(LinearRegression(solver="normal"), ["disc", "qty"]).fit(train, R.TARGET))(spark, d)
 
 
+def estimator_on_vectors(spark, d):
+    """A vector column among the features."""
+    panel = X.assemble(R._split(spark, d), ["qty"], output="packed")
+    model = runs.SparkEstimator(LinearRegression(solver="normal"), ["disc", "packed"]).fit(panel.where("split = 'train'"), R.TARGET)
+    return R._out(model.predict(panel.where("split <> 'train'")), *R.KEYS, "split", "forecast")
+
+
 def pipeline_saved_forecast(spark, d):
     """A family fitted inside a pipeline, saved and read back."""
     panel, path = R._split(spark, d), f"{tables.shared_folder(spark)}/pipeline"
@@ -202,6 +209,7 @@ _REPORT_SQL = {
     "long_short_performance": ORACLES["evaluation_spread"], "variable_importance": O.ORACLES["drop_importance_linear"],
 }
 ORACLES |= {
+    "estimator_on_vectors": O.ORACLES["ols_forecast_2f"],
     "pipeline_saved_forecast": O.ORACLES["ols_forecast_2f"],
     "all_reports_read_back": " UNION ALL ".join(f"(SELECT '{n}' AS report, count(*) AS n_rows, {O._r(f'sum({m})', 'total')} FROM ({_REPORT_SQL[n]}))" for n, m in _REPORT_MEASURES.items()),
 }

@@ -26,6 +26,24 @@ def named(names: dict[str, str] | None = None) -> dict[str, str]:
     return USUAL | (names or {})
 
 
+def raw_schemas(characteristics: list[str], codes: list[int] = ()) -> dict[str, T.StructType]:  # type: ignore[assignment]
+    """The types of the five raw tables: for given characteristics, and for the codes that have a dummy column in the industry table."""
+    def table(*columns: tuple[str, T.DataType]) -> T.StructType:
+        return T.StructType([T.StructField(n, kind) for n, kind in columns])
+
+    asset, month, period = ("permno", T.LongType()), ("month", T.DateType()), ("yyyymm", T.IntegerType())
+    def doubles(names: list[str]) -> list[tuple[str, T.DataType]]:
+        return [(n, T.DoubleType()) for n in names]
+
+    return {
+        "stock_returns": table(asset, month, *doubles(["me", "ret"])),
+        "stock_characteristics": table(asset, period, *doubles(characteristics)),
+        "industry_dummies": table(asset, month, ("sic2", T.IntegerType()), *doubles([f"{DUMMY_PREFIX}{k}" for k in codes])),
+        "welch_goyal_macros": table(period, *doubles([*MACROS, "rf_welch_goyal"])),
+        "fama_french_factors": table(period, *doubles("rf mktrf smb hml rmw cma umd".split())),
+    }
+
+
 def validate(panel: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """The panel itself; ValueError naming the required columns that are missing."""
     own = named(names)
