@@ -37,6 +37,19 @@ def raw_tables_read_back(spark, d):
     return R._out(P.build_panel(tables.read_raw(spark, folder, schema.raw_schemas(R.CHARACTERISTICS))))
 
 
+def bucketed_panel_build(spark, d):
+    """The panel from raw tables that were stored by asset once; the catalog forgets them, the files stay for the result."""
+    folder = tables.shared_folder(spark)
+    prefix = f"raw_{folder.rsplit('/', 1)[-1]}"
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    tables.write_bucketed(raw_tables(spark, d), prefix, folder, buckets=8)
+    panel = P.build_panel(tables.read_bucketed(spark, prefix))
+    for name in tables.RAW_TABLES:
+        spark.sql(f"DROP TABLE {prefix}_{name}")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+    return R._out(panel)
+
+
 def panel_read_back(spark, d):
     path = f"{tables.shared_folder(spark)}/panel"
     tables.write_panel(R._panel(spark, d), path)
@@ -189,6 +202,7 @@ _BEST = "curve AS (SELECT grid_index, alpha, " + O._R2.format("fc") + " AS r2 FR
 
 ORACLES: dict[str, str] = {
     "raw_tables_read_back": O.ORACLES["panel_build"],
+    "bucketed_panel_build": O.ORACLES["panel_build"],
     "panel_read_back": O.ORACLES["panel_build"],
     "results_read_back": O._q(f"SELECT b.*, n_predictions FROM ({O._q('SELECT model, max(n) FILTER (split = $$test$$) AS test_rows, max(r2) FILTER (split = $$test$$) AS test_oos_r2, max(r2) FILTER (split = $$validation$$) AS validation_oos_r2 FROM b GROUP BY 1', f'b AS (SELECT model, split, count(*) AS n, {O._r(O._R2.format("forecast"), "r2")} FROM forecasts GROUP BY 1, 2)')}) b JOIN (SELECT model, count(*) AS n_predictions FROM forecasts GROUP BY 1) USING (model)"),
     "family_results_read_back": O._q(f"SELECT model, bucket, {O._r('avg(portfolio_return)', 'mean_return')}, {O._r(O._SHARPE.format('portfolio_return', 12), 'sharpe')}, {O._r('any_value(mse_raw)', 'mse_raw')} FROM mreturns JOIN merror USING (model) GROUP BY 1, 2", _test_portfolios()),

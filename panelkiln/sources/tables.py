@@ -43,6 +43,30 @@ def read_raw(spark: SparkSession, folder: str, schemas: dict[str, StructType] |
     return {name: read(name) for name in RAW_TABLES}
 
 
+def write_bucketed(raw: dict[str, DataFrame], prefix: str, folder: str, buckets: int = 200, asset: str = "permno") -> None:
+    """The raw tables as catalog tables `prefix`_name whose files lie in `folder`.
+
+    Tables with an asset are dealt to buckets by it and sorted by asset and time, once. Choose buckets of some hundred MB; all
+    tables must have the same number.
+    """
+    for name, df in raw.items():
+        writer = df.write.mode("overwrite").format("parquet").option("path", f"{folder}/{name}")
+        if asset in df.columns:
+            time = "month" if "month" in df.columns else "yyyymm"
+            writer = df.repartition(buckets, asset).write.mode("overwrite").format("parquet").option("path", f"{folder}/{name}").bucketBy(buckets, asset).sortBy(asset, time)
+        writer.saveAsTable(f"{prefix}_{name}")
+
+
+def read_bucketed(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
+    """The tables of `write_bucketed`. Leads and joins by asset and month of these need no exchange.
+
+    Sets spark.sql.requireAllClusterKeysForCoPartition to false in the session: by default Spark deals the tables of a join
+    anew unless they are dealt by all of its keys, although rows of one asset lie together already.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return {name: nan_to_null(spark.table(f"{prefix}_{name}")) for name in RAW_TABLES}
+
+
 def load_panel(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """A stored panel, checked. Its order is left open: whatever needs one orders its windows."""
     date = named(names)["date"]

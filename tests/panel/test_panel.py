@@ -109,6 +109,21 @@ def test_panel(spark):
     assert P.build_panel(empty).count() == 0
 
 
+def test_stored_by_asset_the_panel_needs_no_exchange_of_a_long_table(spark, tmp_path):
+    key, tables_of = "spark.sql.requireAllClusterKeysForCoPartition", raw(spark)
+    before = spark.conf.get(key)
+    tables.write_bucketed(tables_of, "asset_store", str(tmp_path), buckets=3)
+    try:
+        panel = P.build_panel(tables.read_bucketed(spark, "asset_store"))
+        plan = panel._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        assert sorted(map(repr, panel.collect())) == sorted(map(repr, P.build_panel(tables_of).select(panel.columns).collect()))
+    finally:
+        spark.conf.set(key, before)
+        for name in tables.RAW_TABLES:
+            spark.sql(f"DROP TABLE asset_store_{name}")
+
+
 def test_median_and_release_lag(spark):
     df = frame(spark, [(1, M[0], 1.0), (2, M[0], None), (3, M[0], 4.0), (1, M[1], None)], "permno long, month date, x double")
     assert {(r.permno, r.month): r.x for r in P.median_impute(df, ["x"]).collect()} == {(1, M[0]): 1.0, (2, M[0]): 2.5, (3, M[0]): 4.0, (1, M[1]): None}
