@@ -239,7 +239,7 @@ def boosted_huber(
 
     def written(blocks: DataFrame, k: int) -> DataFrame:
         blocks.write.parquet(f"{folder}/blocks-{k}")
-        return spark.read.schema(_BLOCK).parquet(f"{folder}/blocks-{k}").coalesce(tasks)
+        return spark.read.schema(_BLOCK).parquet(f"{folder}/blocks-{k}").coalesce(tasks).cache()
 
     blocks = written(rows.repartition(tasks).mapInArrow(_packed(edges, float(start)), _BLOCK), 0)
     inner, leaves = (1 << depth) - 1, 1 << depth
@@ -274,7 +274,10 @@ def boosted_huber(
         grown = Trees(depth, feature[None], cut[None], values[None])
         done, since = _with(done, grown), _with(since, grown)
         if k % REFRESH == REFRESH - 1 and k + 1 < stages:
-            blocks, since = written(blocks.mapInArrow(_refresh_batches(p, since, rate), _BLOCK), k + 1), empty
+            before, blocks = blocks, written(blocks.mapInArrow(_refresh_batches(p, since, rate), _BLOCK), k + 1)
+            before.unpersist()
+            since = empty
+    blocks.unpersist()
     return BoostedTrees(list(features), edges, float(start), rate, done, losses)
 
 

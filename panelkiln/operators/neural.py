@@ -186,7 +186,7 @@ def packed_blocks(net: Network, train: DataFrame, validation: DataFrame, target:
     tasks, path = max(1, -(-sum(count.values()) // BLOCK_ROWS)), f"{shared_folder(spark)}/blocks"
     numbered = both.repartition(tasks).select(*(f"x{i}" for i in range(len(net.features))), "y", F.monotonically_increasing_id().alias("id"), "held")
     numbered.mapInArrow(_pack_batches(len(net.features)), _BLOCK).write.parquet(path)
-    return spark.read.schema(_BLOCK).parquet(path).coalesce(tasks), count.get(False, 0)
+    return spark.read.schema(_BLOCK).parquet(path).coalesce(tasks).cache(), count.get(False, 0)
 
 
 def adam(net: Network, blocks: DataFrame, rows: int, epochs: int, patience: int, rate: float, l2: float, batch: int, seed: int) -> Network:
@@ -228,4 +228,6 @@ def train_network(
     blocks, rows = packed_blocks(net, train, validation, target)
     if not rows:
         raise ValueError("no training rows")
-    return adam(net, blocks, rows, epochs, patience, rate, l2, batch, seed)
+    fitted = adam(net, blocks, rows, epochs, patience, rate, l2, batch, seed)
+    blocks.unpersist()
+    return fitted

@@ -494,7 +494,7 @@ def random_forest_grid(spark, d):
 
 
 def gbrt_huber(spark, d):
-    return _fitted(lambda train, _: boosting.boosted_huber(train, CHARACTERISTICS, TARGET))(spark, d)
+    return _fitted(lambda train, _: boosting.boosted_huber(train, CHARACTERISTICS, TARGET, stages=100, rate=0.05))(spark, d)
 
 
 def _network(name: str) -> Callable[[SparkSession, str], DataFrame]:
