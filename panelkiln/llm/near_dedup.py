@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkiln.llm.components import connected_components
-from panelkiln.llm.sparkops import cut, map_batches, table
-from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, pieces, ranges, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.sparkops import cut, map_batches, returning, table
+from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, packed_pieces, pieces, ranges, sequence_hashes, sequence_sums, utf8
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
@@ -114,10 +114,6 @@ def packed(sketch: np.ndarray) -> np.ndarray:
     return (low << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-#: Bytes of compressed text of either side handled at once; a few times as many when unpacked.
-PACKED_BYTES = 1 << 18
-
-
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,17 +177,16 @@ def _likely(percent: int) -> Column:
 def _verify_batches(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outer in pieces(batch, "text_a", PACKED_BYTES):
-                for piece in pieces(outer, "text_b", PACKED_BYTES):
-                    (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
-                    linked = np.zeros(piece.num_rows, bool)
-                    for i in range(piece.num_rows):
-                        both = np.concatenate([h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]])
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        linked[i] = len(both) > 0 and 100 * shared >= percent * (len(both) - shared)
-                    chosen = pa.array(linked)
-                    yield pa.RecordBatch.from_arrays([piece.column(0).filter(chosen), piece.column(1).filter(chosen)], ["a", "b"])
+            for piece in packed_pieces(batch, ["text_a", "text_b"]):
+                (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
+                linked = np.zeros(piece.num_rows, bool)
+                for i in range(piece.num_rows):
+                    both = np.concatenate([h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    linked[i] = len(both) > 0 and 100 * shared >= percent * (len(both) - shared)
+                chosen = pa.array(linked)
+                yield pa.RecordBatch.from_arrays([piece.column(0).filter(chosen), piece.column(1).filter(chosen)], ["a", "b"])
 
     return run
 
@@ -205,25 +200,24 @@ def _difference_batches(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outer in pieces(batch, "text_a", PACKED_BYTES):
-                for piece in pieces(outer, "text_b", PACKED_BYTES):
-                    (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
-                    elements, extras, sizes, ws, slacks = [], [], [], [], []
-                    for i in range(piece.num_rows):
-                        head, own = h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]
-                        extra, missing = np.setdiff1d(own, head, assume_unique=True), np.setdiff1d(head, own, assume_unique=True)
-                        elements += [extra, missing ^ _ONLY_HEAD]
-                        extras += [np.ones(len(extra), bool), np.zeros(len(missing), bool)]
-                        sizes.append(len(extra) + len(missing))
-                        ws.append(100 * len(missing) + percent * len(extra))
-                        slacks.append((100 - percent) * len(head))
-                    at = np.repeat(np.arange(piece.num_rows), sizes)
-                    w, slack = np.array(ws, np.int64)[at], np.array(slacks, np.int64)[at]
-                    hub, doc, n, label = (piece.column(k).take(pa.array(at)) for k in (0, 1, 4, 5))
-                    yield pa.RecordBatch.from_arrays(
-                        [hub, pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(extras)), doc, n, label, pa.array(w > slack), pa.array(w), pa.array(slack)],
-                        ["hub", "element", "extra", "doc", "n", "label", "open", "w", "slack"],
-                    )
+            for piece in packed_pieces(batch, ["text_a", "text_b"]):
+                (h, x), (g, y) = (shingle_sets(*unpacked(piece.column(i)), width) for i in (2, 3))
+                elements, extras, sizes, ws, slacks = [], [], [], [], []
+                for i in range(piece.num_rows):
+                    head, own = h[x[i] : x[i + 1]], g[y[i] : y[i + 1]]
+                    extra, missing = np.setdiff1d(own, head, assume_unique=True), np.setdiff1d(head, own, assume_unique=True)
+                    elements += [extra, missing ^ _ONLY_HEAD]
+                    extras += [np.ones(len(extra), bool), np.zeros(len(missing), bool)]
+                    sizes.append(len(extra) + len(missing))
+                    ws.append(100 * len(missing) + percent * len(extra))
+                    slacks.append((100 - percent) * len(head))
+                at = np.repeat(np.arange(piece.num_rows), sizes)
+                w, slack = np.array(ws, np.int64)[at], np.array(slacks, np.int64)[at]
+                hub, doc, n, label = (piece.column(k).take(pa.array(at)) for k in (0, 1, 4, 5))
+                yield pa.RecordBatch.from_arrays(
+                    [hub, pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(extras)), doc, n, label, pa.array(w > slack), pa.array(w), pa.array(slack)],
+                    ["hub", "element", "extra", "doc", "n", "label", "open", "w", "slack"],
+                )
 
     return run
 
@@ -279,7 +273,7 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, low, high (a 128-bit digest of the set) and sketch (empty for an empty set) of each text."""
-    return map_batches(documents.select("doc_id", "text"), _sketch_batches(width), "doc_id long, n_shingles long, low long, high long, sketch binary")
+    return map_batches(documents.select("doc_id", "text"), returning(_sketch_batches(width)), "doc_id long, n_shingles long, low long, high long, sketch binary")
 
 
 def _size_ok(percent: int) -> Column:
@@ -294,11 +288,11 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: sizes, then the estimate, then the full sets."""
-    bits = map_batches(sets.select("doc_id", "n_shingles", "sketch"), _packed_batches, "doc_id long, n long, " + ", ".join(f"r{k} long" for k in range(WORDS)))
+    bits = map_batches(sets.select("doc_id", "n_shingles", "sketch"), returning(_packed_batches), "doc_id long, n long, " + ", ".join(f"r{k} long" for k in range(WORDS)))
     a, b = (bits.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in bits.columns)) for x in "ab")
     near = pairs.distinct().join(b, "b").join(a, "a").where(_size_ok(percent)).where(_likely(percent)).select("a", "b")
     with_texts = _with_texts(near.distinct(), texts).select("a", "b", "text_a", "text_b")
-    return cut(map_batches(with_texts, _verify_batches(width, percent), "a long, b long").distinct())
+    return cut(map_batches(with_texts, returning(_verify_batches(width, percent)), "a long, b long").distinct())
 
 
 def _labels(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,14 +311,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     full = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = cut(full.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.min_by("sketch", "doc_id").alias("sketch")))
 
-    buckets = map_batches(sets.select("doc_id", "sketch"), _band_batches, "key long, doc long")
+    buckets = map_batches(sets.select("doc_id", "sketch"), returning(_band_batches), "key long, doc long")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(sizes, "key").select("key", "doc", "size"))
     members = members.join(members.groupBy("doc").agg(F.sum("size").alias("score")), "doc")
     hubs = members.groupBy("key").agg(F.expr("max_by(doc, score * 1048576L + (xxhash64(doc) & 1048575L))").alias("hub"))
     members = cut(members.join(hubs, "key").select("key", "doc", "size", "score", "hub"))
     # Only documents that share a bucket are ever compared; their texts are dealt once, compressed.
-    texts = map_batches(documents.select("doc_id", "text"), _pack_batches, "doc_id long, text binary")
+    texts = map_batches(documents.select("doc_id", "text"), returning(_pack_batches), "doc_id long, text binary")
     texts = cut(texts.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     to_hubs = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     edges = _verified(to_hubs, sets, texts, width, percent)
@@ -339,7 +333,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     heads = hubs.groupBy("label").agg(F.expr("max_by(hub, score * 1048576L + (xxhash64(hub) & 1048575L))").alias("head"))
     heads = hubs.join(heads, "label").select("key", "head").distinct()
     of_heads = large.join(heads, "key").where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"), "n", "label").distinct()
-    differences = cut(map_batches(_with_texts(of_heads, texts).select("a", "b", "text_a", "text_b", "n", "label"), _difference_batches(width, percent), _DIFFERENCES))
+    differences = cut(map_batches(_with_texts(of_heads, texts).select("a", "b", "text_a", "text_b", "n", "label"), returning(_difference_batches(width, percent)), _DIFFERENCES))
     to_heads = differences.where("NOT open").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     more = _through_differences(differences, percent)
     edges = cut(edges.union(to_heads).union(_verified(pairs.union(more), sets, texts, width, percent)))

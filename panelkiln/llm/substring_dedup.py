@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.sparkops import map_batches, table
-from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, pieces, sequence_hashes, sequence_sums, utf8
+from panelkiln.llm.sparkops import map_batches, returning, table
+from panelkiln.llm.textops import NON_SPACE, PIECE_BYTES, Words, binary_column, mix, packed_pieces, pieces, sequence_hashes, sequence_sums, utf8
 
 SPAN = 3
 LEAST_WORDS = 10
@@ -41,7 +41,7 @@ CUT = 5
 FORCED = 12
 ANCHOR = 26
 WINDOW = 26
-FILTER_BITS = 28
+FILTER_BITS, MOST_FILTERED = 28, 1 << 36
 #: Hashes that a task holds before it sends them out, and the text for which the hash space gets one more range.
 HELD = 1 << 20
 RANGE_BYTES = 1 << 24
@@ -167,19 +167,19 @@ def _hash_batches(range_bits: int):
     return run
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
+def _bits(h: np.ndarray, filter_bits: int) -> np.ndarray:
     """The place of each hash in the filter."""
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - filter_bits)).astype(np.int64)
 
 
-def _filter_batches(range_bits: int):
+def _filter_batches(range_bits: int, filter_bits: int):
     """Rows part, bits: the filter's bits of one range, compressed. Rows come sorted by part."""
-    size = 1 << (FILTER_BITS - range_bits)
+    size = 1 << (filter_bits - range_bits)
 
     def sent(part: int, blocks: list[bytes]) -> pa.RecordBatch:
         h = np.sort(np.frombuffer(b"".join(blocks), np.uint64))
         marks = np.zeros(size, bool)
-        marks[_bits(h[1:][h[1:] == h[:-1]]) & (size - 1)] = True
+        marks[_bits(h[1:][h[1:] == h[:-1]], filter_bits) & (size - 1)] = True
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zstandard.compress(np.packbits(marks).tobytes())], pa.binary())], ["part", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,28 +197,36 @@ def _filter_batches(range_bits: int):
     return run
 
 
-def repeated_filter(texts: DataFrame) -> bytes:
-    """Bits of the hashes that several rows have, and of those that fall on the same bits, compressed."""
+def repeated_filter(texts: DataFrame) -> bytes | None:
+    """Bits of the hashes that several rows have, and of those that fall on the same bits, compressed.
+
+    Its size follows the text, up to 2 ** FILTER_BITS bits. Text of more than MOST_FILTERED bytes would set them nearly all:
+    then there is no filter, and every run is dealt out.
+    """
     amount = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    range_bits = min(FILTER_BITS - 3, max(6, (amount // RANGE_BYTES).bit_length()))
-    blocks = map_batches(texts, _hash_batches(range_bits), "part long, block binary")
+    if amount > MOST_FILTERED:
+        return None
+    filter_bits = min(FILTER_BITS, max(16, int(amount).bit_length() - 2))
+    range_bits = min(filter_bits - 3, max(6, (amount // RANGE_BYTES).bit_length()))
+    blocks = map_batches(texts, returning(_hash_batches(range_bits)), "part long, block binary")
     dealt = blocks.repartition(1 << (range_bits - 2), "part").sortWithinPartitions("part")
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (FILTER_BITS - 3 - range_bits)
-    for part, found in map_batches(dealt, _filter_batches(range_bits), "part long, bits binary").collect():
+    bits = np.zeros(1 << (filter_bits - 3), np.uint8)
+    size = 1 << (filter_bits - 3 - range_bits)
+    for part, found in map_batches(dealt, returning(_filter_batches(range_bits, filter_bits)), "part long, bits binary").collect():
         bits[part * size : (part + 1) * size] = np.frombuffer(zstandard.decompress(found), np.uint8)
     return zstandard.compress(bits.tobytes())
 
 
-def _run_batches(packed: bytes, inner: bool):
+def _run_batches(packed: bytes | None, inner: bool):
     """Runs that pass the filter; inner: the places of runs that the same text has before, joined, without hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zstandard.decompress(packed), np.uint8)
+        bits = np.frombuffer(zstandard.decompress(packed), np.uint8) if packed else np.full(1 << 13, 0xFF, np.uint8)
+        filter_bits = (len(bits) * 8).bit_length() - 1
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_BYTES // 2):
                 h, g, doc, from_byte, to_byte, again = _piece_runs(piece)
-                at = _bits(h)
+                at = _bits(h, filter_bits)
                 keep = np.flatnonzero(~again & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))
                 place = pa.array((from_byte[keep] << 32) | to_byte[keep])
                 rows = pa.array(doc[keep])
@@ -261,7 +269,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for piece in pieces(batch, "__text", PIECE_BYTES // 2):
+        for piece in packed_pieces(batch, ["__text"]):
             out, spans = [], []
             for packed, marks in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 text = None if packed is None else unpack.decompress(packed).decode()
@@ -277,8 +285,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("tag")).where("doc_id IS NOT NULL")
     bits = repeated_filter(texts.select("doc_id", "text"))
     schema = "h long, g int, doc long, tag long, at long"
-    first = map_batches(texts, _run_batches(bits, False), schema).groupBy("h", "g").agg(F.min("doc").alias("first"))
-    found = map_batches(texts, _run_batches(bits, True), schema)
+    first = map_batches(texts, returning(_run_batches(bits, False)), schema).groupBy("h", "g").agg(F.min("doc").alias("first"))
+    found = map_batches(texts, returning(_run_batches(bits, True)), schema)
     # Left: runs without a hash have no first row.
     later = found.join(first, ["h", "g"], "left").where("h IS NULL OR doc > first")
     return later.groupBy("doc", "tag").agg(F.collect_set("at").alias("cuts"))
@@ -290,10 +298,10 @@ def remove_repeated(documents: DataFrame) -> DataFrame:
     cuts = repeated_spans(documents)
     inner = documents.select(F.col("text").alias("__text"), F.xxhash64("text").alias("__tag"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))
     kinds = [f"__{i} {kind}" for i, (_, kind) in enumerate(documents.select(*names).dtypes)]
-    packed = map_batches(inner, _pack_batches, ", ".join(["__text binary", "__tag long", *kinds]))
+    packed = map_batches(inner, returning(_pack_batches), ", ".join(["__text binary", "__tag long", *kinds]))
     same = (packed[f"__{names.index('doc_id')}"] == cuts.doc) & (packed["__tag"] == cuts.tag)
     joined = packed.join(cuts, same, "left").select("__text", F.col("cuts").alias("__cuts"), *(f"__{i}" for i in range(len(names))))
-    done = map_batches(joined, _cut_batches, ", ".join([*kinds, "__new string", "__spans long"]))
+    done = map_batches(joined, returning(_cut_batches), ", ".join([*kinds, "__new string", "__spans long"]))
     back = {c: F.col(f"__{i}") for i, c in enumerate(names)} | {"text": F.col("__new")}
     return done.select(*(back[c].alias(c) for c in documents.columns), F.col("__spans").alias("span_hits"))
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -79,6 +80,24 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         start = stop
 
 
+def packed_pieces(batch: pa.RecordBatch, columns: list[str], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose compressed columns hold at most `limit` bytes once unpacked, and at least a row.
+
+    A compressed text says its length; text that repeats itself can pack to a ten-thousandth of it.
+    """
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        packed = batch.column(batch.schema.get_field_index(c)).to_pylist()
+        sizes += np.fromiter((0 if x is None else zstandard.frame_content_size(x) for x in packed), np.int64, len(packed))
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    start, rows = 0, batch.num_rows
+    while start < rows:
+        stop = int(np.searchsorted(upto, upto[start] + limit, side="right")) - 1
+        stop = min(max(stop, start + 1), rows, start + 20_000)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _byte_table(separators: set[int]) -> np.ndarray:
     """For each byte 0 if it separates words, else the byte with A-Z lower-cased."""
     table = np.arange(256, dtype=np.uint8)
