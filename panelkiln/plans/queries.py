@@ -493,6 +493,15 @@ def random_forest_grid(spark, d):
     return _out(trees.random_forest_grid(panel.where("split = 'train'"), panel.where("split = 'validation'"), CHARACTERISTICS, TARGET, grid)[1])
 
 
+def random_forest_preset(spark, d):
+    return _fitted(lambda train, _: trees.random_forest(train, CHARACTERISTICS, TARGET))(spark, d)
+
+
+def random_forest_grid_preset(spark, d):
+    panel = _split(spark, d)
+    return _out(trees.random_forest_grid(panel.where("split = 'train'"), panel.where("split = 'validation'"), CHARACTERISTICS, TARGET)[1])
+
+
 def gbrt_huber(spark, d):
     return _fitted(lambda train, _: boosting.boosted_huber(train, CHARACTERISTICS, TARGET, stages=100, rate=0.05))(spark, d)
 
@@ -536,5 +545,5 @@ long_short decile_performance decile_monotonicity turnover sharpe r2_to_sharpe t
 sign_restricted_forecast drop_importance_linear group_importance network_importance boosted_importance ssd_importance top_bottom_subsample regime_subsample
 period_sector_subsample panel_head duplicate_keys loss_table ols_forecast_2f ridge_forecast_2f wls_forecast_1f ridge_grid_1f ridge_sparse_forecast ridge_sparse_conjugate ridge_sparse_grid
 walk_forward_ols walk_forward_ridge walk_forward_choices ols3_forecast pcr
-pcr_2f glm_spline_1f regression_tree_1f random_forest_1f random_forest_grid_1f gbrt_squares_1f ensemble_mean enet_1f pls enet_huber glm_spline regression_tree random_forest random_forest_grid gbrt_huber nn nn1 nn2 nn4 nn5 nn_linear_step seed_ensemble decile_table""".split()
+pcr_2f glm_spline_1f regression_tree_1f random_forest_1f random_forest_grid_1f gbrt_squares_1f ensemble_mean enet_1f pls enet_huber glm_spline regression_tree random_forest random_forest_preset random_forest_grid random_forest_grid_preset gbrt_huber nn nn1 nn2 nn4 nn5 nn_linear_step seed_ensemble decile_table""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
