@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from panelkiln.llm.pair_merging import PairTable, merge_all
-from panelkiln.llm.sparkops import map_batches, table
+from panelkiln.llm.sparkops import map_batches, returning, table
 from panelkiln.llm.textops import binary_column, distinct_spans, pieces, ranges, utf8
 
 MOST_TOKENS = 1_000_000
@@ -237,7 +237,7 @@ def _encode_batches(path: str):
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row of `documents` (doc_id, text)."""
-    return map_batches(documents.select("doc_id", "text"), _encode_batches(path), "doc_id long, ids binary")
+    return map_batches(documents.select("doc_id", "text"), returning(_encode_batches(path)), "doc_id long, ids binary")
 
 
 def _decode_batches(path: str):
@@ -255,7 +255,7 @@ def _decode_batches(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of each row of `encoded` (doc_id, ids)."""
-    return map_batches(encoded.select("doc_id", "ids"), _decode_batches(path), "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), returning(_decode_batches(path)), "doc_id long, text string")
 
 
 def _digest_batches(path: str, with_ids: bool):
@@ -275,12 +275,12 @@ def _digest_batches(path: str, with_ids: bool):
 
 def round_trip_digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, decoded and hashed in one pass."""
-    return map_batches(documents.select("doc_id", "text"), _digest_batches(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(documents.select("doc_id", "text"), returning(_digest_batches(path, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_with_digests(documents: DataFrame, path: str) -> DataFrame:
     """The columns of round_trip_digests, and ids."""
-    return map_batches(documents.select("doc_id", "text"), _digest_batches(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return map_batches(documents.select("doc_id", "text"), returning(_digest_batches(path, True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelkiln.llm.sparkops import cut, map_batches, table
+from panelkiln.llm.sparkops import cut, map_batches, returning, table
 from panelkiln.llm.textops import ALPHANUMERIC, Words, binary_column, pieces, ranges, utf8
 
 WIDTH = 13
@@ -53,7 +53,7 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def build_index(documents: DataFrame) -> DataFrame:
     """The index of `documents` (doc_id, text), stored in the shared folder."""
-    return cut(map_batches(documents.select("doc_id", "text").where("doc_id IS NOT NULL"), _index_batches, _INDEX))
+    return cut(map_batches(documents.select("doc_id", "text").where("doc_id IS NOT NULL"), returning(_index_batches), _INDEX))
 
 
 class Shard:
@@ -181,7 +181,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def word_counts(index: DataFrame) -> DataFrame:
     """doc_id, n_words of every indexed row."""
-    return map_batches(index.select("ids", "firsts"), _count_batches, "doc_id long, n_words long")
+    return map_batches(index.select("ids", "firsts"), returning(_count_batches), "doc_id long, n_words long")
 
 
 def _item_pieces(text: str, width: int, limit: int) -> Iterator[str]:
@@ -224,7 +224,7 @@ def item_blocks(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """block, item_id, text: the test items packed into blocks of bounded size, stored in the shared folder."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    packed = map_batches(items.repartition(max(1, -(-size // BLOCK_BYTES))), _block_batches(width, BLOCK_BYTES), "block long, item_id long, text string")
+    packed = map_batches(items.repartition(max(1, -(-size // BLOCK_BYTES))), returning(_block_batches(width, BLOCK_BYTES)), "block long, item_id long, text string")
     return cut(packed)
 
 
@@ -235,7 +235,7 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: i
     found = None
     for block in blocks:
         rows = [(r[0], r[1]) for r in items.where(F.col("block") == block).select("item_id", "text").collect()]
-        part = map_batches(index, _search_batches(rows, width, slack), _MATCH)
+        part = map_batches(index, returning(_search_batches(rows, width, slack)), _MATCH)
         if len(blocks) > 1:
             part = cut(part)
         found = part if found is None else found.union(part)

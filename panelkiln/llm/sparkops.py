@@ -28,7 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch; the default of 64 MB, grown by doubling on the JVM and held once more by Python, is a large part of a small executor.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; the session's Arrow batches become at most BATCH_BYTES large (a row may be larger)."""
+    session = df.sparkSession
+    if session.conf.get(_BATCH, None) in (None, "67108864b", "64MB"):
+        session.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

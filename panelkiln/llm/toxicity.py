@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.sparkops import bounded_rows, crc_mod, cut, map_batches, table
+from panelkiln.llm.sparkops import bounded_rows, crc_mod, cut, map_batches, returning, table
 from panelkiln.llm.textops import ALPHANUMERIC, Words, mix, pieces, utf8
 
 BITS = 22
@@ -166,7 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     dealt = texts.select("text", F.col("label").cast("double").alias("label"), fold.alias("fold"), models.alias("model"), "place", "doc_id")
     dealt = dealt.repartition(TASKS, "model").sortWithinPartitions("model", "place", "doc_id").select("text", "label", "fold", "model")
     none = not n or toxic in (0, n)
-    rows = [] if none else bounded_rows(cut(map_batches(dealt, _train_batches, "model int, at long, value double, label double")), most_rows + (1 << BITS) + 1, "weights and calibration rows")
+    rows = [] if none else bounded_rows(cut(map_batches(dealt, returning(_train_batches), "model int, at long, value double, label double")), most_rows + (1 << BITS) + 1, "weights and calibration rows")
     if not rows:
         share = toxic / n if n else 0.0
         return Weights(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))) if 0 < share < 1 else 35.0 * np.sign(share - 0.5))
@@ -206,7 +206,7 @@ def score(documents: DataFrame, weights: Weights) -> DataFrame:
     """`documents` with toxicity (double, 0 to 1); a column of that name is replaced."""
     names = [c for c in documents.columns if c != "toxicity"]
     inner = documents.select(F.col("text").alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(names) if c != "text"))
-    done = map_batches(inner, _score_batches(weights), ", ".join(f"{c} {kind}" for c, kind in [*inner.dtypes, ("__score", "double")]))
+    done = map_batches(inner, returning(_score_batches(weights)), ", ".join(f"{c} {kind}" for c, kind in [*inner.dtypes, ("__score", "double")]))
     return done.select(*((F.col("__text") if c == "text" else F.col(f"__{i}")).alias(c) for i, c in enumerate(names)), F.col("__score").alias("toxicity"))
 
 
