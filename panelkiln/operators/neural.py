@@ -1,22 +1,28 @@
 """Feed-forward networks trained by synchronous steps.
 
 Rows are standardised and packed once into blocks on the shared folder, training and validation rows apart. A step of Adam takes a mini-batch from
-all blocks: each epoch a hash deals the rows anew to batches of about the wanted size, tasks sum the gradients of their
-rows of the batch, the sums meet in a shuffle, and the driver, which keeps Adam's state over all steps, moves the weights. So the result is that of one process that goes
-through the same batches. The first step of an epoch also sums the validation loss of the weights that it starts from, so
-that early stopping costs no pass. The weights are bounded by MOST_WEIGHTS and travel in the task's function.
+all blocks: each epoch a hash deals the rows anew to batches of about the wanted size. The result is that of one process that
+goes through the same batches.
 
-A step costs a job: with very many rows choose larger batches. Forecasts pass the features alone through Python.
+Steps follow one another, and a batch of usual size is milliseconds of work, less than a job costs. So an epoch is dealt by one shuffle to groups of
+consecutive batches (GROUP_BYTES at most), and a task goes through the steps of one group, from the weights and Adam's state that the
+group before has left. No task holds more than a group; jobs and bytes of an epoch grow with the rows. A sum over all
+validation rows after each epoch decides on early stopping.
+
+A batch that is larger than a group, or holds all rows, is spread instead: tasks sum the gradients of their rows, the sums meet in a shuffle, and the driver moves the weights. Its
+first step of an epoch also sums the validation loss of the weights that it starts from. The weights are bounded by MOST_WEIGHTS and
+travel in the task's function. Forecasts pass the features alone through Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from panelkiln.sources.tables import shared_folder
 
 MOST_WEIGHTS = 2_000_000
 BLOCK_ROWS = 1 << 16
+#: Most bytes of rows that a task goes through step by step.
+GROUP_BYTES = 1 << 25
 _BLOCK = "held boolean, ids binary, x binary, y binary"
 WIDTHS = {f"NN{d}": [32] * d for d in range(1, 6)}
 
@@ -120,6 +128,66 @@ def _step_batches(w: list[np.ndarray], epoch: int, batches: int, number: int, se
     return run
 
 
+@dataclass
+class _Adam:
+    """Weights and Adam's moments; a step takes mean gradients of a batch."""
+
+    now: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    step: int = 0
+
+    def move(self, g: np.ndarray, rate: float) -> None:
+        self.step += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+        self.now = self.now - rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _dealt(epoch: int, batches: int, group: int, seed: int):
+    """The rows of a block by group of batches: group, then first row number of the block, batches, features and targets."""
+
+    def run(block) -> Iterator[tuple[int, tuple]]:
+        ids, y = np.frombuffer(block.ids, np.int64), np.frombuffer(block.y)
+        x, number = np.frombuffer(block.x).reshape(len(y), -1), batch_of(ids, epoch, batches, seed)
+        order = np.argsort(number, kind="stable")
+        at = np.searchsorted(number[order], np.arange(0, batches + group, group))
+        for k in range(len(at) - 1):
+            own = order[at[k] : at[k + 1]]
+            if len(own):
+                yield k, (int(ids[0]), number[own].astype(np.int32).tobytes(), x[own].tobytes(), y[own].tobytes())
+
+    return run
+
+
+def _group_steps(state: _Adam, like: list[np.ndarray], decay: np.ndarray, rate: float):
+    """Adam's state after the steps of a group of batches."""
+
+    def run(pieces: Iterator[tuple[int, tuple]]) -> list[_Adam]:
+        own, found = replace(state), sorted((p for _, p in pieces), key=lambda p: p[0])
+        if not found:
+            return [own]
+        number, x, y = (np.concatenate([np.frombuffer(p[i], t) for p in found]) for i, t in ((1, np.int32), (2, float), (3, float)))
+        order = np.argsort(number, kind="stable")
+        x, y = x.reshape(len(y), -1)[order], y[order]
+        ends = np.flatnonzero(np.diff(number[order], append=-1)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own.move(_flat(_gradients(_shaped(own.now, like), x[a:b], y[a:b])) / (b - a) + decay * own.now, rate)
+        return [own]
+
+    return run
+
+
+def _held_loss(w: list[np.ndarray]):
+    """First row number, squared errors and rows of a block held for validation."""
+
+    def run(block) -> tuple[int, float, int]:
+        y = np.frombuffer(block.y)
+        error = _forward(w, np.frombuffer(block.x).reshape(len(y), -1))[-1][:, 0] - y
+        return int(np.frombuffer(block.ids, np.int64)[0]), float(error @ error), len(y)
+
+    return run
+
+
 @dataclass(frozen=True)
 class Network:
     features: list[str]
@@ -189,31 +257,52 @@ def packed_blocks(net: Network, train: DataFrame, validation: DataFrame, target:
     return spark.read.schema(_BLOCK).parquet(path).coalesce(tasks).cache(), count.get(False, 0)
 
 
+def _spread_epoch(blocks: DataFrame, state: _Adam, like: list[np.ndarray], decay: np.ndarray, epoch: int, batches: int, rate: float, seed: int, first_only: bool) -> Iterator[float | None]:
+    """The steps of an epoch, a job each; first yields the validation loss of the weights before it."""
+    size = len(state.now)
+    for number in range(1 if first_only else batches):
+        sums = np.zeros(size + 3)
+        found = blocks.mapInArrow(_step_batches(_shaped(state.now, like), epoch, batches, number, seed), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+        sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        if number == 0:
+            yield sums[-2] / sums[-1] if sums[-1] else None
+        if sums[size]:  # a hash may leave a small batch empty
+            state.move(sums[:size] / sums[size] + decay * state.now, rate)
+
+
+def _grouped_epoch(blocks: RDD, held: RDD, state: _Adam, like: list[np.ndarray], decay: np.ndarray, epoch: int, batches: int, rate: float, seed: int, first_only: bool, group: int) -> Iterator[float | None]:
+    """The same by groups of batches, one after another."""
+    sums = sorted(held.map(_held_loss(_shaped(state.now, like))).collect()) if epoch else []
+    rows = sum(n for _, _, n in sums)
+    yield sum(e for _, e, _ in sums) / rows if rows else None
+    if first_only:
+        return
+    groups = -(-batches // group)
+    dealt = blocks.flatMap(_dealt(epoch, batches, group, seed)).partitionBy(groups, int)
+    for k in range(groups):
+        state.__dict__.update(blocks.context.runJob(dealt, _group_steps(replace(state), like, decay, rate), [k])[0].__dict__)
+
+
 def adam(net: Network, blocks: DataFrame, rows: int, epochs: int, patience: int, rate: float, l2: float, batch: int, seed: int) -> Network:
     """The weights with the best validation loss; without validation rows those of the last epoch."""
-    like, size, batches = net.weights, sum(w.size for w in net.weights), max(1, round(rows / batch))
+    like, batches = net.weights, max(1, round(rows / batch))
     decay = _flat([l2 * (w.ndim == 2) * np.ones_like(w) for w in like])
-    now, m, v = _flat(like), np.zeros(size), np.zeros(size)
-    best, best_loss, since, step = now, float("inf"), 0, 0
+    now = _flat(like)
+    state, best, best_loss, since = _Adam(now, np.zeros_like(now), np.zeros_like(now)), now, float("inf"), 0
+    group = int(GROUP_BYTES / (8 * (len(net.features) + 1) * max(1, rows / batches))) if batches > 1 else 0
+    if group:
+        trained, held = (blocks.where(f"held = {kind}").select("ids", "x", "y").rdd for kind in ("false", "true"))
     for epoch in range(epochs + 1):
-        for number in range(batches):
-            sums = np.zeros(size + 3)
-            found = blocks.mapInArrow(_step_batches(_shaped(now, like), epoch, batches, number, seed), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-            sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
-            if number == 0 and epoch:  # the validation loss of the epoch before
-                loss = sums[-2] / sums[-1] if sums[-1] else None
-                if loss is None or loss < best_loss - 1e-12:
-                    best, best_loss, since = now, loss or best_loss, 0
-                elif (since := since + 1) >= patience:
-                    return Network(net.features, net.scale, _shaped(best, like))
-                if epoch == epochs:
-                    return Network(net.features, net.scale, _shaped(best, like))
-            if not sums[size]:  # a hash may leave a small batch empty
-                continue
-            g = sums[:size] / sums[size] + decay * now
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            now = now - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        settings = (state, like, decay, epoch, batches, rate, seed, epoch == epochs)
+        work, before = _grouped_epoch(trained, held, *settings, group) if group else _spread_epoch(blocks, *settings), state.now
+        loss = next(work)
+        if epoch:
+            if loss is None or loss < best_loss - 1e-12:
+                best, best_loss, since = before, loss or best_loss, 0
+            elif (since := since + 1) >= patience:
+                break
+        for _ in work:  # the steps
+            pass
     return Network(net.features, net.scale, _shaped(best, like))
 
 

@@ -53,6 +53,22 @@ def test_steps_equal_one_process_with_the_same_batches(spark, monkeypatch, block
     assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(found.weights, want, strict=True))
 
 
+@pytest.mark.parametrize("group_bytes", [0, 100 * 24, 1 << 25])
+def test_groups_of_batches_change_nothing_and_take_few_jobs(spark, monkeypatch, group_bytes):
+    """0: spread over tasks; 100 rows: groups of four batches; else one group."""
+    train, held = sample(spark)
+    net = N.Network(["a", "b"], {"a": (0.1, 2.0), "b": (0.0, 1.0)}, N._start([6], 2, 3))
+    blocks, rows = N.packed_blocks(net, train, held, "y")
+    want = N.adam(net, blocks, rows, 2, 99, 0.02, 1e-3, 25, 7)
+    monkeypatch.setattr(N, "GROUP_BYTES", group_bytes)
+    spark.sparkContext.setJobGroup(f"groups-{group_bytes}", "steps of a network")
+    found = N.adam(net, blocks, rows, 2, 99, 0.02, 1e-3, 25, 7)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"groups-{group_bytes}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(found.weights, want.weights, strict=True))
+    assert jobs > 2 * 21 if group_bytes == 0 else jobs <= 2 * (1 + -(-21 // (4 if group_bytes < 10_000 else 21)))
+
+
 def test_batches_are_dealt_anew_each_epoch():
     ids = np.arange(4000)
     one, two = (N.batch_of(ids, e, 8, 1) for e in (0, 1))
