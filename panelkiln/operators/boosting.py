@@ -101,11 +101,55 @@ class BoostedTrees:
         return df.withColumn(output, forecast(inputs))
 
 
+def _value_batches(p: int, most: int):
+    """The values of each feature in a task, or the first most + 1 of them, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0)] * p
+        for batch in batches:
+            for i in range(p):
+                if len(found[i]) <= most:
+                    found[i] = np.union1d(found[i], batch.column(i).to_numpy(zero_copy_only=False))[: most + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(p), [len(v) for v in found])), pa.array(np.concatenate(found))], ["column", "v"])
+
+    return run
+
+
 def quantile_edges(train: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
-    """At most bins - 1 cuts of each feature; values up to a cut lie left of it."""
+    """At most bins - 1 cuts of each feature; values up to a cut lie left of it.
+
+    A feature of at most `bins` values gets every cut, halfway between neighbours; others are cut at quantiles.
+    """
+    inputs = train.select(*(zero(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)))
+    values: list[list[float]] = [[] for _ in features]
+    for column, v in inputs.mapInArrow(_value_batches(len(features), bins), "column long, v double").distinct().where("v IS NOT NULL").groupBy("column").agg(F.slice(F.array_sort(F.collect_set("v")), 1, bins + 1)).collect():
+        values[column] = v
+    many = [i for i, v in enumerate(values) if len(v) > bins]
     shares = [i / bins for i in range(1, bins)]
-    row = train.agg(*(F.percentile_approx(zero(c).cast("double"), shares, 10 * bins).alias(f"q{i}") for i, c in enumerate(features))).head()
-    return [np.unique(np.array(row[i] or [0.0], float)) for i in range(len(features))]
+    row = inputs.agg(*(F.percentile_approx(f"x{i}", shares, 10 * bins) for i in many)).head() if many else []
+    edges = [np.array(v[:-1]) + np.diff(v) / 2 for v in values]
+    for i, cuts in zip(many, row, strict=True):
+        edges[i] = np.unique(np.array(cuts, float))
+    return edges
+
+
+def lower_median(rows: DataFrame, column: str, count: int, low: float, high: float, most: int = 100_000) -> float:
+    """The exact value at place (count + 1) // 2 of a column without NULLs, whose values lie between low and high.
+
+    Quantiles within known bounds of error narrow the range until few rows are left of it.
+    """
+    place, below, left = (count + 1) // 2, 0, count
+    while left > most:
+        share = (place - below) / left
+        a, b = rows.where(F.col(column).between(low, high)).agg(F.percentile_approx(column, [max(0.0, share - 1e-3), min(1.0, share + 1e-3)], 10_000)).head()[0]
+        under, within = rows.agg(F.count_if(F.col(column) < a), F.count_if(F.col(column).between(a, b))).head()
+        if not under < place <= under + within or (a, b) == (low, high):  # never outside; equal values can't be narrowed
+            break
+        low, high, below, left = a, b, under, within
+        if low == high:
+            return low
+    found = rows.where(F.col(column).between(low, high)).groupBy(column).count().orderBy(column).collect()
+    return float(found[int(np.searchsorted(np.cumsum([n for _, n in found]), place - below))][0])
 
 
 def _packed(edges: list[np.ndarray], start: float):
@@ -220,7 +264,7 @@ def boosted_huber(
 ) -> BoostedTrees:
     """Boosting with the Huber loss, at the preset's settings.
 
-    Each stage clips residuals at the `quantile` of their sizes, grows a tree on them, and sets a leaf to its median residual plus the mean clipped rest.
+    Each stage clips residuals at the `quantile` of their sizes (1: nothing is clipped), grows a tree on them, and sets a leaf to its median residual plus the mean clipped rest.
     Nothing is drawn: `seed` is there for callers that pass one to every learner. Missing features count as 0. loss holds
     the mean Huber loss of the training rows before each stage, at that stage's clipping point.
     """
@@ -231,7 +275,8 @@ def boosted_huber(
     about = known.agg(F.percentile_approx(F.col(target).cast("double"), [0.25, 0.5, 0.75], 10_000), F.min(target), F.max(target), F.count("*")).head()
     if about[1] is None:
         raise ValueError("no training rows")
-    low, start, high = about[0]
+    low, _, high = about[0]
+    start = lower_median(known.select(F.col(target).cast("double").alias("y")), "y", about[3], float(about[1]), float(about[2]))
     scale = max(high - low, 1e-9 * max(1.0, abs(about[1]), abs(about[2]))) / 2
     reach = float(np.arcsinh(2 * (about[2] - about[1]) / scale)) or 1.0
     spark, folder, tasks = train.sparkSession, shared_folder(train.sparkSession), -(-about[3] // BLOCK_ROWS)
@@ -255,7 +300,7 @@ def boosted_huber(
         size, mean = n[some], (s[some] / n[some]) - rate * np.repeat(values, some.sum(axis=1))
         order = np.argsort(np.abs(mean), kind="stable")
         upto = np.cumsum(size[order])
-        clip = max(float(np.abs(mean)[order][np.searchsorted(upto, quantile * upto[-1])]), 1e-12 * scale)
+        clip = max(float(np.abs(mean)[order][np.searchsorted(upto, quantile * upto[-1])]), 1e-12 * scale) if quantile < 1 else float("inf")
         losses.append(float((size * np.where(np.abs(mean) <= clip, mean * mean / 2, clip * (np.abs(mean) - clip / 2))).sum() / upto[-1]))
         feature, cut = np.zeros(inner, np.int64), np.full(inner, width, np.int64)
         for level in range(depth):

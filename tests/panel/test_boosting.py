@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelkiln.operators import boosting as B
 
@@ -71,3 +72,24 @@ def test_missing_values_constants_and_small_leaves(spark):
         B.boosted_huber(df.where("y > 5"), ["a"], "y")
     with pytest.raises(ValueError, match="bins"):
         B.boosted_huber(df, ["a"], "y", bins=1000)
+
+
+def test_few_values_get_every_cut_and_the_start_is_the_exact_median(spark):
+    """A value too rare for a quantile, and more rows than the sketch of a quantile keeps."""
+    df = spark.range(0, 300_000, 1, 6).select((F.col("id") % 3 + F.when(F.col("id") % 1000 == 7, 10).otherwise(0)).cast("double").alias("a"), (F.hash("id") / 1e6).alias("b"))
+    edges = B.quantile_edges(df, ["a", "b"], 64)
+    assert edges[0].tolist() == [0.5, 1.5, 6.0, 10.5, 11.5] and len(edges[1]) == 63
+    values = np.sort([r.b for r in df.select("b").collect()])
+    for most in (100_000, 50):
+        assert B.lower_median(df, "b", 300_000, values[0], values[-1], most) == values[149_999]
+    assert B.lower_median(df.withColumn("b", F.lit(2.0)), "b", 300_000, 1.0, 3.0, 50) == 2.0
+    model = B.boosted_huber(df, ["a"], "b", stages=1)
+    assert model.start == values[149_999]
+
+
+def test_a_quantile_of_one_clips_nothing(spark):
+    """The far value lies in a leaf of negative median: its distance from that is larger than any residual."""
+    df = spark.createDataFrame([(0.0, -3.0)] * 6 + [(0.0, 50.0)] + [(1.0, 1.0)] * 8, "a double, y double")
+    model = B.boosted_huber(df, ["a"], "y", stages=1, rate=1.0, leaf=2, quantile=1.0)
+    found = {r.a: r.forecast for r in model.predict(df).distinct().collect()}
+    assert found[0.0] == pytest.approx(32 / 7) and found[1.0] == pytest.approx(1.0)
