@@ -16,6 +16,7 @@ from panelkiln.operators.panel import first_rows
 from panelkiln.operators.portfolio import assign_deciles, long_short, sharpe, value_weighted
 from panelkiln.operators.splits import TimeSplit, apply_split
 from panelkiln.sources.schema import roles
+from panelkiln.sources.tables import stored
 
 OLS3 = ("mvel1", "bm", "mom12m")
 
@@ -120,7 +121,11 @@ def seed_ensemble(runs: list[DataFrame], keys: tuple[str, ...] = ("month", "perm
 
 
 def evaluate_on_test(predictions: DataFrame, target: str, weight: str = "market_equity", by: tuple[str, ...] = ("model",)) -> dict[str, DataFrame]:
-    """Raw and calibrated R2, MSE, MAE and mean IC on test rows, the decile table and the spread's performance."""
+    """Raw and calibrated R2, MSE, MAE and mean IC on test rows, the decile table and the spread's performance, and the predictions.
+
+    The predictions are stored first: all results read them from there, so that what they are made from is made once.
+    """
+    predictions = stored(predictions)
     both = calibrated(predictions, target, "forecast", by=by).where("split = 'test'")
     metrics = both.groupBy(*by).agg(*(f(target, c).alias(f"{n}_{k}") for k, c in (("raw", "forecast"), ("calibrated", "calibrated")) for n, f in (("r2", oos_r2), ("mse", mse), ("mae", mae))))
     metrics = metrics.join(information_coefficient(both, target, "forecast", by=by), list(by))
@@ -129,7 +134,7 @@ def evaluate_on_test(predictions: DataFrame, target: str, weight: str = "market_
     portfolios = value_weighted(assign_deciles(cell, date="__cell"), target, weight, (*by, "month", "bucket"))
     deciles = portfolios.groupBy(*by, "bucket").agg(F.avg("portfolio_return").alias("mean_return"), sharpe(F.col("portfolio_return")).alias("sharpe"))
     spread = long_short(portfolios, by=(*by, "month")).groupBy(*by).agg(F.avg("long_short").alias("mean_spread"), sharpe(F.col("long_short")).alias("sharpe"))
-    return {"metrics": metrics, "deciles": deciles, "spread": spread}
+    return {"metrics": metrics, "deciles": deciles, "spread": spread, "predictions": predictions}
 
 
 def run_custom(function: Callable, panel: DataFrame, features: list[str], target: str, config: dict | None = None, seed: int = 1, keys: tuple[str, ...] = ("month", "permno")) -> tuple[DataFrame, DataFrame]:

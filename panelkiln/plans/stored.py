@@ -68,7 +68,7 @@ def family_results_read_back(spark, d):
     """The decile table of the test rows, with the mean squared error that the family's metrics hold."""
     folder, forecasts = tables.shared_folder(spark), R._forecasts(spark, d)
     done = runs.evaluate_on_test(forecasts, R.TARGET)
-    tables.write_family_results("fixed", done["metrics"], done["deciles"], forecasts, folder)
+    tables.write_family_results("fixed", done["metrics"], done["deciles"], done["predictions"], folder)
     deciles = spark.read.option("header", True).schema(done["deciles"].schema).csv(f"{folder}/fixed_deciles")
     metrics = spark.read.schema(done["metrics"].schema).json(f"{folder}/fixed_metrics").select("model", "mse_raw")
     return R._out(deciles.join(metrics, "model"))

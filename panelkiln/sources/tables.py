@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to a new shared folder and read back, for work that reads them several times."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_raw(spark: SparkSession, folder: str, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
     """The five raw tables, NaN turned into NULL. Scans stay lazy, so each use reads its own columns.
 
