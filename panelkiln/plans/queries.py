@@ -36,8 +36,12 @@ def _out(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _forecasts(spark: SparkSession, d: str) -> DataFrame:
-    """Two fixed forecasts of the panel's rows, long: model a follows discounts, model b quantities."""
-    panel = apply_split(_panel(spark, d), SPLIT, check=False)
+    return _of_panel(_panel(spark, d))
+
+
+def _of_panel(panel: DataFrame) -> DataFrame:
+    """Three fixed forecasts of the panel's rows, long: model a follows discounts, model b quantities, model c taxes."""
+    panel = apply_split(panel, SPLIT, check=False)
     both = F.array(F.struct(F.lit("a").alias("model"), F.round((F.col("disc") - 0.05) * 0.8, 8).alias("forecast")), F.struct(F.lit("b").alias("model"), F.round((F.col("qty") - 25) / 100, 8).alias("forecast")), F.struct(F.lit("c").alias("model"), F.round((F.col("tax") - 0.04) * F.col("qty") / 10, 8).alias("forecast")))
     return panel.select(*KEYS, TARGET, "market_equity", "split", F.explode(both).alias("m")).select(*KEYS, TARGET, "market_equity", "split", "m.model", "m.forecast")
 
@@ -47,7 +51,11 @@ def _one(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _portfolios(spark: SparkSession, d: str) -> DataFrame:
-    return Q.value_weighted(Q.assign_deciles(_one(spark, d)), TARGET, "market_equity")
+    return _valued(_one(spark, d))
+
+
+def _valued(forecasts: DataFrame) -> DataFrame:
+    return Q.value_weighted(Q.assign_deciles(forecasts), TARGET, "market_equity")
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:

@@ -146,16 +146,17 @@ def pipeline_saved_forecast(spark, d):
 
 def all_reports_read_back(spark, d):
     """The six reports, written and read back: rows of each and the sum of one measure."""
-    folder, forecasts, panel = tables.shared_folder(spark), R._forecasts(spark, d).cache(), R._panel(spark, d)
-    portfolios, model = R._portfolios(spark, d), R._fixed_linear()
+    folder, panel, model = tables.shared_folder(spark), tables.stored(R._panel(spark, d)), R._fixed_linear()
+    evaluated = runs.evaluate_on_test(R._of_panel(panel), R.TARGET)
+    forecasts = evaluated["predictions"]
+    portfolios = R._valued(forecasts.where("model = 'a'").drop("model"))
     reports = {
         "sample_summary": E.sample_summary(panel), "model_r2": runs.model_metrics(forecasts, R.TARGET), "model_dm_tests": E.dm_matrix(forecasts, R.TARGET, lags=3),
-        "decile_portfolios": Q.decile_performance(portfolios), "long_short_performance": runs.evaluate_on_test(forecasts, R.TARGET)["spread"],
+        "decile_portfolios": Q.decile_performance(portfolios), "long_short_performance": evaluated["spread"],
         "variable_importance": E.drop_importance(model.predict(panel), R.TARGET, "forecast", model.terms()),
     }
     reports = {n: R._out(df) for n, df in reports.items()}
     tables.write_reports(reports, folder)
-    forecasts.unpersist()
     out = None
     for name, measure in _REPORT_MEASURES.items():
         found = spark.read.option("header", True).schema(reports[name].schema).csv(f"{folder}/{name}")
