@@ -8,7 +8,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["family_results_read_back", "all_reports_read_back"])
+@pytest.mark.parametrize("name", ["family_results_read_back", "all_reports_read_back", "walk_forward_ridge", "walk_forward_ols"])
 def test_the_panel_is_built_once(spark, monkeypatch, name):
     """Every build of a panel scans the orders for its macros and its factors."""
     from panelkiln.sources import tables
