@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from panelkiln.functions.nulls import zero
 from panelkiln.sources.tables import shared_folder
 
-MOST_BINS, REFRESH = 64, 50
+MOST_BINS, REFRESH = 64, 10
 BLOCK_ROWS = 1 << 16
 #: Steps of the scale on which residuals are summed.
 STEPS = 4096
@@ -55,8 +55,14 @@ def nodes(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -
     at = np.zeros(len(bins), np.int64)
     rows = np.arange(len(bins))
     for level in range(levels):
-        inner = at + (1 << level) - 1
-        at = 2 * at + (bins[rows, feature[inner]] > cut[inner])
+        first = (1 << level) - 1
+        if level < 3:  # few nodes: whole columns are compared, which is faster than a look-up for each row
+            right = bins[:, feature[first]] > cut[first]
+            for k in range(1, 1 << level):
+                right = np.where(at == k, bins[:, feature[first + k]] > cut[first + k], right)
+        else:
+            right = bins[rows, feature[at + first]] > cut[at + first]
+        at = 2 * at + right
     return at
 
 
@@ -174,7 +180,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], p: int, since: Trees, rate: float
     """bins, y and the current forecast of each block."""
     for batch in batches:
         for bins, y, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            bins, y = np.frombuffer(bins, np.uint8).reshape(-1, p), np.frombuffer(y)
+            bins, y = np.asfortranarray(np.frombuffer(bins, np.uint8).reshape(-1, p)), np.frombuffer(y)
             yield bins, y, np.frombuffer(f) + rate * since.forecast(bins)
 
 

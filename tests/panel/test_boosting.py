@@ -93,3 +93,20 @@ def test_a_quantile_of_one_clips_nothing(spark):
     model = B.boosted_huber(df, ["a"], "y", stages=1, rate=1.0, leaf=2, quantile=1.0)
     found = {r.a: r.forecast for r in model.predict(df).distinct().collect()}
     assert found[0.0] == pytest.approx(32 / 7) and found[1.0] == pytest.approx(1.0)
+
+
+def test_a_pass_scores_few_trees(spark, monkeypatch):
+    """Trees that the blocks' forecasts do not hold yet are scored in every pass over the rows."""
+    seen, plain_batches = [], B._level_batches
+    monkeypatch.setattr(B, "_level_batches", lambda p, width, since, *rest: (seen.append(len(since.value)), plain_batches(p, width, since, *rest))[1])
+    B.boosted_huber(sample(spark, 200)[0], FEATURES, "y", stages=14, leaf=10, bins=8)
+    assert len(seen) == 28 and max(seen) < 10
+    draw = np.random.default_rng(1)
+    bins, feature, cut = draw.integers(0, 9, (200, 3)).astype(np.uint8), draw.integers(0, 3, 31), draw.integers(0, 9, 31)
+    want = []
+    for row in bins:
+        at = 0
+        for level in range(5):
+            at = 2 * at + int(row[feature[at + (1 << level) - 1]] > cut[at + (1 << level) - 1])
+        want.append(at)
+    assert B.nodes(bins, feature, cut, 5).tolist() == want
