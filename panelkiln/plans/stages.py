@@ -1,6 +1,6 @@
 """The model families as pipeline stages that can be fitted, saved and read back.
 
-A fitted stage keeps what its forecasts need: Spark's own trees as Spark saves them, every other family as one JSON text
+A fitted stage keeps what its forecasts need: Spark's own models as Spark saves them, every other family as one JSON text
 of names and numbers, whose size is that of the model.
 """
 
@@ -17,7 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.operators import boosting, linear, neural, trees, vector_models
+from panelkiln.operators import boosting, forest, linear, neural, trees, vector_models
 from panelkiln.plans import runs
 
 
@@ -33,6 +33,8 @@ def to_state(model) -> dict[str, Any]:
         t = model.trees
         grown = {"depth": t.depth, "feature": t.feature.tolist(), "cut": t.cut.tolist(), "value": t.value.tolist()}
         return {"kind": "boosted", "features": list(model.features), "edges": [e.tolist() for e in model.edges], "start": model.start, "rate": model.rate, "trees": grown, "loss": model.loss}
+    if isinstance(model, forest.Forest):
+        return {"kind": "forest", "features": list(model.features), "edges": [e.tolist() for e in model.edges], "depth": model.depth, "feature": model.feature.tolist(), "cut": model.cut.tolist(), "value": model.value.tolist()}
     if isinstance(model, runs._Splined):
         return {"kind": "spline", "inner": to_state(model.inner), "features": model.features, "knots": model.knots}
     raise TypeError(f"{type(model).__name__} can't be saved")
@@ -50,6 +52,9 @@ def from_state(s: dict[str, Any]):
         inner, leaves = (1 << t["depth"]) - 1, 1 << t["depth"]
         grown = boosting.Trees(t["depth"], np.array(t["feature"], np.int64).reshape(-1, inner), np.array(t["cut"], np.int64).reshape(-1, inner), np.array(t["value"], float).reshape(-1, leaves))
         return boosting.BoostedTrees(s["features"], [np.array(e) for e in s["edges"]], s["start"], s["rate"], grown, s["loss"])
+    if s["kind"] == "forest":
+        inner = (1 << s["depth"]) - 1
+        return forest.Forest(s["features"], [np.array(e) for e in s["edges"]], s["depth"], *(np.array(s[c], np.int64).reshape(-1, inner) for c in ("feature", "cut")), np.array(s["value"], float).reshape(-1, 2 * inner + 1))
     if s["kind"] == "spline":
         return runs._Splined(from_state(s["inner"]), s["features"], s["knots"])
     raise ValueError(f"unknown kind {s['kind']}")
